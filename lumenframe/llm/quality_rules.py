@@ -101,5 +101,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"),
-        "n_lines", "n_stop_words", "failed_rules",
+        "n_lines", "n_stop_words", F.array_join("failed_rules", ",").alias("failed_rules"),
     )
