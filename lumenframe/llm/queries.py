@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm.exact_dedup import exact_dedup
+from lumenframe.llm.near_dedup import near_groups
 from lumenframe.llm.quality_rules import quality_rules
 from lumenframe.llm.sql import ORACLE_SQL
 
@@ -17,6 +18,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document, over 4-word shingles at 0.8."""
+    return near_groups(_docs(spark, sf_dir), width=4)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the threshold table for every document."""
     return quality_rules(_docs(spark, sf_dir))
@@ -28,6 +34,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
 }
