@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.bpe import bpe_encode, bpe_round_trip
 from lumenframe.llm.exact_dedup import exact_dedup
 from lumenframe.llm.near_dedup import near_groups
 from lumenframe.llm.quality_rules import quality_rules
+from lumenframe.llm.sstable import token_shards
 from lumenframe.llm.sql import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,15 +31,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir))
 
 
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids written to sorted-string tables and read back."""
+    return token_shards(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2).drop("shard")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document, by a heavy-hitter split of digests."""
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the transducer and decoded as a stream."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_round_trip(bpe_encode(_docs(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sstable": op5_sstable,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe": op7_bpe,
 }
 
 
