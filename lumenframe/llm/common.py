@@ -39,6 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: as ``cut``, but compressed."""
+    path = new_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def blocks(docs: DataFrame, rows: int = 2048) -> DataFrame:
+    """``docs`` with ``block``: a number for each run of so many rows of a scanned partition. Two
+    reads of one table give the same numbers; other inputs need a stored copy first."""
+    return docs.withColumn("block", F.shiftright(F.monotonically_increasing_id(), rows.bit_length() - 1))
+
+
 def whole(text: Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(text, F.lit(""))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm.bpe import bpe_encode, bpe_round_trip
 from lumenframe.llm.exact_dedup import exact_dedup
+from lumenframe.llm.kneser_ney import quality_by_perplexity
+from lumenframe.llm.lattice import lattice_scores
 from lumenframe.llm.near_dedup import near_groups
 from lumenframe.llm.quality_rules import quality_rules
 from lumenframe.llm.sstable import token_shards
@@ -47,12 +49,25 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(bpe_encode(_docs(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under a model of trusted text, and its language's threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_by_perplexity(_docs(spark, sf_dir), labels, is_table=True)
+
+
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's marginal probability over all segmentations, and its add-one base."""
+    return lattice_scores(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), is_table=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op4_quality_rules": op4_quality_rules,
     "op5_sstable": op5_sstable,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op8_kneser_ney": op8_kneser_ney,
+    "op10_lattice": op10_lattice,
 }
 
 
