@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenframe.llm.bpe import bpe_encode, bpe_round_trip
 from lumenframe.llm.exact_dedup import exact_dedup
 from lumenframe.llm.kneser_ney import quality_by_perplexity
 from lumenframe.llm.lattice import lattice_scores
 from lumenframe.llm.near_dedup import near_groups
+from lumenframe.llm.packing import pack_documents
+from lumenframe.llm.pii import personal_spans
 from lumenframe.llm.quality_rules import quality_rules
+from lumenframe.llm.sharding import shard_documents
 from lumenframe.llm.sstable import token_shards
 from lumenframe.llm.sql import ORACLE_SQL
 
@@ -28,6 +32,18 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_docs(spark, sf_dir), width=4)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the run that holds it after two arrivals and their compactions."""
+    table = shard_documents(_docs(spark, sf_dir))
+    runs = table.runs().select("run", "tier", "n_rows", "n_bytes")
+    return table.rows().select("doc_id", F.col("_run").alias("run"), F.octet_length("text").cast("long").alias("bytes")).join(runs, "run")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with the bin that best fit puts it in."""
+    return pack_documents(_docs(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the threshold table for every document."""
     return quality_rules(_docs(spark, sf_dir))
@@ -55,6 +71,11 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_by_perplexity(_docs(spark, sf_dir), labels, is_table=True)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, and all spans."""
+    return personal_spans(_docs(spark, sf_dir))
+
+
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's marginal probability over all segmentations, and its add-one base."""
     return lattice_scores(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), is_table=True)
@@ -62,11 +83,14 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
+    "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_sstable": op5_sstable,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_kneser_ney": op8_kneser_ney,
+    "op9_pii": op9_pii,
     "op10_lattice": op10_lattice,
 }
 
