@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns as they are."""
-    kept = exact_dedup(docs, id_col, text_col, support).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    found = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return found.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    kept = exact_dedup(docs, id_col, text_col, support).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("sha"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
+    return found.dropDuplicates(["id", "sha"]).select("row.*")

@@ -46,12 +46,13 @@ RULES = (
 )
 
 
-def _measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _measures(docs: DataFrame, text_col: str, **kept: Column) -> DataFrame:
+    """The counts of each row, and the ``kept`` columns."""
     stop = sorted({w for x in STOP_WORDS.values() for w in x.split()})
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""
     one = docs.select(
-        F.col(id_col).alias("doc_id"),
+        *[c.alias(k) for k, c in kept.items()],
         words(F.col(text_col)).alias("words"),
         F.filter(F.split(text, "\n"), has_word).alias("lines"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -61,7 +62,7 @@ def _measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     window = lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("p"))
     spans = F.when(F.size("words") >= 3, F.sequence(F.lit(0), F.size("words") - 3)).otherwise(F.array().cast("array<int>"))
     two = one.select(
-        "doc_id",
+        *kept,
         "n_symbols",
         "word_chars",
         F.size("words").cast("long").alias("n_words"),
@@ -93,13 +94,21 @@ def _passes(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, checks)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per input row: the counts, ``base_failed``, ``kept`` and ``failed_rules``."""
+def _judged(measures: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     failed = F.array_compact(F.array(*[F.when(~_passes(r), F.lit(r.name)) for r in rules]))
-    judged = _measures(docs, id_col, text_col).withColumn("base_failed", base).withColumn("failed_rules", failed)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"),
+    judged = measures.withColumn("base_failed", base).withColumn("failed_rules", failed)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per input row: the counts, ``base_failed``, ``kept`` and ``failed_rules``."""
+    return _judged(_measures(docs, text_col, doc_id=F.col(id_col)), rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_stop_words", F.array_join("failed_rules", ",").alias("failed_rules"),
     )
+
+
+def keep_passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns as they are."""
+    return _judged(_measures(docs, text_col, row=F.struct("*")), rules).where("kept").select("row.*")
