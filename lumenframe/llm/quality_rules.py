@@ -111,4 +111,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns as they are."""
-    return _judged(_measures(docs, text_col, row=F.struct("*")), rules).where("kept").select("row.*")
+    # A filter moves below projections that are deterministic, where it would repeat all counts.
+    judged = _judged(_measures(docs, text_col, row=F.struct("*")), rules).select("row", "kept", F.monotonically_increasing_id().alias("place"))
+    return judged.where((F.col("place") >= 0) & F.col("kept")).select("row.*")
