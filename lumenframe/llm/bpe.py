@@ -26,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.chunks import Memo, chunks
+from lumenframe.llm.chunks import Memo
 
 #: Transducer states kept before the tables are made anew.
-STATES = 200_000
+STATES = 100_000
+_BYTES = [bytes([b]) for b in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +47,8 @@ class Transducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.made: dict[int, tuple[int, int] | None] = {}
+        self.prefixes = {k[:i] for k in ranks for i in range(1, len(k))}
         self.reset()
 
     def reset(self) -> None:
@@ -53,68 +56,87 @@ class Transducer:
         # bytes it lies back and which tokens lead to it from the agreed place.
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.start = self._number((b"", ((0, ()),)))
 
     def _number(self, state: tuple) -> int:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.steps.append({})
         return self.numbers[state]
 
-    def merged(self, word: bytes) -> list[int]:
-        """The encoding by definition: joins the neighbours of lowest rank, leftmost first."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[x] for x in parts]
+    def _parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``: none for a byte, and (-1, -1) if merges of
+        its bytes end elsewhere."""
+        if token not in self.made:
+            word = self.bytes_of[token]
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while len(parts) > 2:
+                rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+                if rank == 1 << 40:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.made[token] = None if len(parts) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+        return self.made[token]
 
     def _fits(self, a: int | None, b: int) -> bool:
-        """Whether ``b`` can follow ``a``; at a word's start, whether merges make ``b`` at all."""
+        """Whether ``b`` can follow ``a``; at a word's start, whether merges make ``b`` at all.
+
+        The merges that made the two are undone, the latest first. Whenever the neighbours at the
+        seam have a merge of their own that would have come before the one just undone, the seam
+        does not last. Of equal ranks the left one comes first."""
         key = (-1 if a is None else a, b)
-        if key not in self.pairs:
-            right = self.bytes_of[b]
-            if a is None:
-                self.pairs[key] = self.merged(right) == [b]
-            else:
-                self.pairs[key] = self.merged(self.bytes_of[a] + right) == [a, b]
-        return self.pairs[key]
+        found = self.pairs.get(key)
+        if found is None:
+            found = self._parts(b) != (-1, -1)
+            bytes_of, left, right = self.bytes_of, a, b
+            # Merges at the seam count if they come before this rank, or at it from the left.
+            before, ties = 1 << 40, False
+            while found and left is not None:
+                across = self.ranks.get(bytes_of[left] + bytes_of[right])
+                if across is not None and (across < before or ties and across == before):
+                    found = False
+                    break
+                of_left, of_right = self._parts(left), self._parts(right)
+                if of_left is None and of_right is None:
+                    break
+                if of_right is None or of_left is not None and left > right:
+                    before, ties, left = left, False, of_left[1]
+                else:
+                    before, ties, right = right, True, of_right[0]
+            self.pairs[key] = found
+        return found
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         tail, live = self.states[number]
-        tail += bytes([byte])
-        path = None
-        for back, tokens in sorted(live, reverse=True):
-            token = self.ranks.get(tail[len(tail) - back - 1 :])
-            last = tokens[-1] if tokens else None
-            # A live position always keeps its last token, so None is the word's start.
-            if token is not None and self._fits(last, token):
-                path = (*tokens, token)
-                break
+        tail += _BYTES[byte]
+        size, path, alive = len(tail), None, []
+        # Live positions stand from the farthest back to the nearest.
+        for back, tokens in live:
+            back += 1
+            piece = tail[size - back :]
+            if path is None:
+                token = self.ranks.get(piece)
+                if token is not None and self._fits(tokens[-1] if tokens else None, token):
+                    path = (*tokens, token)
+            # From a position at which no longer token can begin, nothing more is read.
+            if piece in self.prefixes:
+                alive.append((back, tokens))
         if path is None:
             raise ValueError("the vocabulary lacks a byte")
-        grown = tuple((back + 1, tokens) for back, tokens in live if back + 1 < self.longest) + ((0, path),)
-        # Positions from which no longer token can begin are dead.
-        size = len(tail)
-        alive = [(back, tokens) for back, tokens in grown if back == 0 or tail[size - back :] in self.prefixes]
-        shared = 0
-        shortest = min(len(t) for _, t in alive)
-        while shared < shortest - 1 and len({t[shared] for _, t in alive}) == 1:
-            shared += 1
-        out = alive[0][1][:shared]
-        alive = tuple((back, tokens[shared:]) for back, tokens in alive)
-        tail = tail[size - max(back for back, _ in alive) :] if max(back for back, _ in alive) else b""
-        return self._number((tail, alive)), out
-
-    @property
-    def prefixes(self) -> set[bytes]:
-        if not hasattr(self, "_prefixes"):
-            self._prefixes = {k[:i] for k in self.ranks for i in range(1, len(k))}
-        return self._prefixes
+        # A live position keeps its last token, so that none at all means the word's start.
+        shared = len(path) - 1
+        for _, tokens in alive:
+            same = 0
+            while same < shared and same < len(tokens) - 1 and tokens[same] == path[same]:
+                same += 1
+            shared = same
+            if not shared:
+                break
+        alive.append((0, path))
+        if shared:
+            alive = [(back, tokens[shared:]) for back, tokens in alive]
+        return self._number((tail[size - alive[0][0] :] if alive[0][0] else b"", tuple(alive))), path[:shared]
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-tokenised word."""
@@ -122,12 +144,15 @@ class Transducer:
             return [self.ranks[word]]
         if len(self.states) > STATES:
             self.reset()
+        if len(self.pairs) > 4 * STATES:
+            self.pairs.clear()
         state, out = self.start, []
         steps = self.steps
         for byte in word:
-            step = steps[state].get(byte)
+            at = state << 8 | byte
+            step = steps.get(at)
             if step is None:
-                step = steps[state][byte] = self._step(state, byte)
+                step = steps[at] = self._step(state, byte)
             state = step[0]
             if step[1]:
                 out += step[1]
@@ -190,7 +215,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = _ready(ranks_path, pattern)
         for batch in batches:
-            ids = [b"".join(memo.all(chunks(t or ""))) for t in batch.column(1).to_pylist()]
+            ids = list(memo.texts(t or "" for t in batch.column(1).to_pylist()))
             at = np.cumsum([0] + [len(x) // 4 for x in ids])
             column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "ids"])

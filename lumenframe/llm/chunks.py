@@ -5,7 +5,8 @@ no token of those patterns spans such a place, and none looks across it."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 _RUN = re.compile(r"\s ")
@@ -21,27 +22,35 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """A cache of an encoder's results for chunks, emptied when it holds ``most`` characters of
-    keys, so that a worker's memory stays bounded; what is emptied is encoded again."""
+    """A cache of an encoder's results for chunks, emptied when it holds ``most`` keys, so that a
+    worker's memory stays bounded; what is emptied is encoded again."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 12_000_000, longest: int = 200):
+    #: Characters of texts that are cut at a time.
+    SLICE = 500_000
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 200):
         super().__init__()
-        self.encode, self.most, self.longest, self.held = encode, most, longest, 0
-
-    def all(self, parts: list[str]) -> list:
-        """The result for each part, in order."""
-        try:
-            return [self[x] for x in parts]
-        except KeyError:
-            pass
-        new = list({x for x in parts if x not in self})
-        if self.held > self.most:
+        self.encode, self.most, self.longest = encode, most, longest
+
+    def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The joined results of each text's chunks, in order."""
+        waiting: list[list[str]] = []
+        size = 0
+        for text in texts:
+            waiting.append(chunks(text))
+            size += len(text)
+            if size >= self.SLICE:
+                yield from self._slice(waiting)
+                waiting, size = [], 0
+        yield from self._slice(waiting)
+
+    def _slice(self, parts: list[list[str]]) -> Iterator[bytes]:
+        if len(self) > self.most:
             self.clear()
-            self.held, new = 0, list(set(parts))
-        found = dict(zip(new, self.encode(new)))
-        keep = {k: v for k, v in found.items() if len(k) <= self.longest}
-        self.update(keep)
-        self.held += sum(map(len, keep))
-        if len(keep) == len(found):
-            return [self[x] for x in parts]
-        return [self[x] if x in self else found[x] for x in parts]
+        new = [x for x in set(chain.from_iterable(parts)) if x not in self]
+        self.update(zip(new, self.encode(new)))
+        for one in parts:
+            yield b"".join(map(self.__getitem__, one))
+        for x in new:
+            if len(x) > self.longest:
+                del self[x]

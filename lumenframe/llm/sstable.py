@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.chunks import Memo, chunks
+from lumenframe.llm.chunks import Memo
 from lumenframe.llm.common import cut, new_dir
 
 MAGIC = b"LFSST001"
@@ -216,7 +216,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
             done.append((name, first, last, writer.docs, writer.tokens, size))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.texts(t or "" for t in texts)):
                 if shard and shard[0].at >= SHARD:
                     close()
                     shard = None
@@ -225,7 +226,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
                     fs.create_dir(root, recursive=True)
                     stream = fs.open_output_stream(f"{root}/_{name}")
                     shard = [ShardWriter(stream, width), stream, name, doc_id, doc_id]
-                shard[0].add(key_of(doc_id), np.frombuffer(b"".join(memo.all(chunks(text or ""))) + end, "<u4"))
+                shard[0].add(key_of(doc_id), np.frombuffer(ids + end, "<u4"))
                 shard[4] = doc_id
         if shard:
             close()
