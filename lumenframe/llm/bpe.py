@@ -1,11 +1,12 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
-Merges by rank have one encoding for every prefix of a word, so the last token of that prefix
-tells where the token before it ends. A token may follow another if merging the bytes of both
-leaves the two as they are. The transducer reads bytes; its state holds, for the positions at
-which a later token can still begin, the tokens since the last place on which all encodings
-agree. States and transitions are made when first met and kept by number. What all live
-encodings share is emitted at once, so the lookahead is bounded by the longest token.
+Merges by rank have one encoding for every prefix of a word, so the last token of a prefix leads
+to the shorter prefix before it. A token may follow another if merging the bytes of both leaves
+the two as they are. The transducer reads bytes and writes, for each prefix, its last token. Its
+state holds the positions at which a token that is still unfinished may begin, with the bytes
+since and the last token before each. States and transitions are made when first met. Only the
+chains from live positions can become the encoding; what these have in common is emitted, so the
+lookahead is bounded by the longest token and its chain.
 
 Pre-tokenised words that are themselves in the vocabulary are that token. Encoding is the same
 whether words come alone or in a text, so results are kept by chunk.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,11 @@ from pyspark.sql import functions as F
 from lumenframe.llm.chunks import Memo
 
 #: Transducer states kept before the tables are made anew.
-STATES = 100_000
+STATES = 150_000
+#: Words whose ids a worker keeps.
+WORDS = 300_000
+#: Bytes of a word that are read before tokens are emitted; shorter words are emitted at their end.
+LONG = 1024
 _BYTES = [bytes([b]) for b in range(256)]
 
 
@@ -52,18 +58,19 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        # A state: the bytes that live tokens still need, and for each live position how many
-        # bytes it lies back and which tokens lead to it from the agreed place.
+        # A state: the bytes since the farthest live position, and for each live position how many
+        # bytes it lies back and the last token before it, -1 at the word's start.
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._number((b"", ((0, ()),)))
+        self.steps: dict[int, tuple[int, int]] = {}
+        self.start = self._number((b"", ((0, -1),)))
 
     def _number(self, state: tuple) -> int:
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
+        number = self.numbers.get(state)
+        if number is None:
+            number = self.numbers[state] = len(self.states)
             self.states.append(state)
-        return self.numbers[state]
+        return number
 
     def _parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``: none for a byte, and (-1, -1) if merges of
@@ -79,20 +86,20 @@ class Transducer:
             self.made[token] = None if len(parts) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
         return self.made[token]
 
-    def _fits(self, a: int | None, b: int) -> bool:
+    def _fits(self, a: int, b: int) -> bool:
         """Whether ``b`` can follow ``a``; at a word's start, whether merges make ``b`` at all.
 
         The merges that made the two are undone, the latest first. Whenever the neighbours at the
         seam have a merge of their own that would have come before the one just undone, the seam
         does not last. Of equal ranks the left one comes first."""
-        key = (-1 if a is None else a, b)
+        key = (a, b)
         found = self.pairs.get(key)
         if found is None:
             found = self._parts(b) != (-1, -1)
             bytes_of, left, right = self.bytes_of, a, b
             # Merges at the seam count if they come before this rank, or at it from the left.
             before, ties = 1 << 40, False
-            while found and left is not None:
+            while found and left >= 0:
                 across = self.ranks.get(bytes_of[left] + bytes_of[right])
                 if across is not None and (across < before or ties and across == before):
                     found = False
@@ -107,36 +114,36 @@ class Transducer:
             self.pairs[key] = found
         return found
 
-    def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, number: int, byte: int) -> tuple[int, int]:
+        """The next state, and the last token of the prefix that ends with this byte."""
         tail, live = self.states[number]
         tail += _BYTES[byte]
-        size, path, alive = len(tail), None, []
+        size, found, alive = len(tail), -1, []
         # Live positions stand from the farthest back to the nearest.
-        for back, tokens in live:
+        for back, last in live:
             back += 1
             piece = tail[size - back :]
-            if path is None:
+            if found < 0:
                 token = self.ranks.get(piece)
-                if token is not None and self._fits(tokens[-1] if tokens else None, token):
-                    path = (*tokens, token)
+                if token is not None and self._fits(last, token):
+                    found = token
             # From a position at which no longer token can begin, nothing more is read.
             if piece in self.prefixes:
-                alive.append((back, tokens))
-        if path is None:
+                alive.append((back, last))
+        if found < 0:
             raise ValueError("the vocabulary lacks a byte")
-        # A live position keeps its last token, so that none at all means the word's start.
-        shared = len(path) - 1
-        for _, tokens in alive:
-            same = 0
-            while same < shared and same < len(tokens) - 1 and tokens[same] == path[same]:
-                same += 1
-            shared = same
-            if not shared:
-                break
-        alive.append((0, path))
-        if shared:
-            alive = [(back, tokens[shared:]) for back, tokens in alive]
-        return self._number((tail[size - alive[0][0] :] if alive[0][0] else b"", tuple(alive))), path[:shared]
+        alive.append((0, found))
+        return self._number((tail[size - alive[0][0] :], tuple(alive)) if alive[0][0] else (b"", tuple(alive))), found
+
+    def _chain(self, lasts: list[int], end: int, begin: int) -> list[int]:
+        """The tokens that lead from ``begin`` to ``end``, by the last token of each prefix."""
+        out = []
+        while end > begin:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= len(self.bytes_of[token])
+        out.reverse()
+        return out
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-tokenised word."""
@@ -144,22 +151,25 @@ class Transducer:
             return [self.ranks[word]]
         if len(self.states) > STATES:
             self.reset()
-        if len(self.pairs) > 4 * STATES:
+        if len(self.pairs) > 3 * STATES:
             self.pairs.clear()
-        state, out = self.start, []
-        steps = self.steps
+        state, out, lasts, done, steps = self.start, [], [], 0, self.steps
         for byte in word:
             at = state << 8 | byte
             step = steps.get(at)
             if step is None:
                 step = steps[at] = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        for back, tokens in self.states[state][1]:
-            if back == 0:
-                out += tokens
-        return out
+            state, last = step
+            lasts.append(last)
+            if len(lasts) - done == LONG:
+                # Emits what the chains from all live positions share.
+                chains = [self._chain(lasts, len(lasts) - back, done) for back, _ in self.states[state][1]]
+                shared = 0
+                while all(len(c) > shared for c in chains) and len({c[shared] for c in chains}) == 1:
+                    done += len(self.bytes_of[chains[0][shared]])
+                    out.append(chains[0][shared])
+                    shared += 1
+        return out + self._chain(lasts, len(lasts), done)
 
 
 class StreamDecoder:
@@ -193,10 +203,25 @@ def _encoder(ranks_path: str, pattern: str):
     machine = Transducer(read_ranks(ranks_path))
     words = regex.compile(pattern)
 
+    known: dict[str, bytes] = {}
+
     def encode(parts: list[str]) -> list[bytes]:
-        return [np.array([i for w in words.findall(x) for i in machine.encode(w.encode())], "<i4").tobytes() for x in parts]
+        out = []
+        if len(known) > WORDS:
+            known.clear()
+        for x in parts:
+            found = []
+            for w in words.findall(x):
+                ids = known.get(w)
+                if ids is None:
+                    ids = struct.pack(f"<{len(i := machine.encode(w.encode()))}i", *i)
+                    if len(w) < 100:
+                        known[w] = ids
+                found.append(ids)
+            out.append(b"".join(found))
+        return out
 
-    return machine, Memo(encode)
+    return machine, Memo(encode, most=250_000)
 
 
 _READY: dict[tuple[str, str], tuple[Transducer, Memo]] = {}
