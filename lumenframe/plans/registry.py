@@ -35,7 +35,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from lumenframe.plans import aggregates, joins, library  # noqa: F401
+    from lumenframe.plans import aggregates, joins, library, scalars  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
