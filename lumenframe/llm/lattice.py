@@ -1,8 +1,9 @@
 """Language-model scoring by subword lattices.
 
 Each word is a lattice of all its segmentations into the pieces of an existing vocabulary. The
-vocabulary's scores rank the pieces; they set the first weights, and one pass of expected counts
-over the training words turns these into probabilities. The forward recursion in log space sums
+vocabulary's scores choose one segmentation of each training word, and the pieces used there,
+counted over the whole training part, give every piece its probability. The forward recursion in
+log space then sums
 all segmentations, so a word's score is its marginal probability, and a text's is that of its
 words and its end. Characters without a piece are spelled in byte pieces.
 
@@ -30,8 +31,8 @@ from lumenframe.llm.common import blocks, store
 
 #: Rows whose crc32 leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
-#: A piece's weight before counting is 1 / (rank + FLAT); its count gets so much added.
-FLAT, ADDED = 100.0, 0.1
+#: What is added to the count of each piece.
+ADDED = 0.1
 SPACE_MARK = "▁"
 
 
@@ -44,49 +45,34 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, float], spelled: list[float]):
         self.pieces, self.spelled = pieces, spelled
-        self.longest = max(map(len, pieces), default=1)
-
-    def edges(self, text: str) -> list[list[tuple[int, float, str | None]]]:
-        """For each end, the (start, log weight, piece) that reach it."""
-        found: list[list[tuple[int, float, str | None]]] = [[] for _ in range(len(text) + 1)]
-        pieces, longest = self.pieces, self.longest
-        for i in range(len(text)):
-            for j in range(i + 1, min(len(text), i + longest) + 1):
-                w = pieces.get(text[i:j])
-                if w is not None:
-                    found[j].append((i, w, text[i:j]))
-            if text[i] not in pieces:
-                found[i + 1].append((i, sum(self.spelled[b] for b in text[i].encode("utf-8", "surrogatepass")), None))
+        # All beginnings of pieces, with the weight of those that are pieces themselves.
+        self.table: dict[str, float | None] = {k[:i]: None for k in pieces for i in range(1, len(k))}
+        self.table.update(pieces)
+
+    def from_(self, text: str, i: int) -> list[tuple[int, float, str | None]]:
+        """The (end, log weight, piece) of each edge that begins at ``i``."""
+        found, table = [], self.table
+        for j in range(i + 1, len(text) + 1):
+            s = text[i:j]
+            if s not in table:
+                break
+            w = table[s]
+            if w is not None:
+                found.append((j, w, s))
+        if table.get(text[i]) is None:
+            found.append((i + 1, sum(self.spelled[b] for b in text[i].encode("utf-8", "surrogatepass")), None))
         return found
 
     def log_marginal(self, word: str) -> float:
         """log of the summed probability of all segmentations."""
         text = SPACE_MARK + word
-        ahead = [0.0] * (len(text) + 1)
-        for j, into in enumerate(self.edges(text)):
-            if j:
-                ahead[j] = _log_sum([ahead[i] + w for i, w, _ in into])
-        return ahead[-1]
-
-    def expected(self, word: str, times: float, counts: Counter) -> None:
-        """Adds the expected number of uses of each piece in ``times`` copies of the word."""
-        text = SPACE_MARK + word
-        edges, n = self.edges(text), len(text)
-        ahead, behind = [0.0] * (n + 1), [-math.inf] * (n + 1)
-        for j in range(1, n + 1):
-            ahead[j] = _log_sum([ahead[i] + w for i, w, _ in edges[j]])
-        behind[n] = 0.0
-        for j in range(n, 0, -1):
-            for i, w, piece in edges[j]:
-                behind[i] = _log_sum([behind[i], w + behind[j]])
-        for j in range(1, n + 1):
-            for i, w, piece in edges[j]:
-                share = times * math.exp(ahead[i] + w + behind[j] - ahead[n])
-                if piece is not None:
-                    counts[piece] += share
-                else:
-                    for b in text[i].encode("utf-8", "surrogatepass"):
-                        counts[f"<0x{b:02X}>"] += share
+        into: list[list[float]] = [[] for _ in range(len(text) + 1)]
+        into[0].append(0.0)
+        for i in range(len(text)):
+            ahead = _log_sum(into[i])
+            for j, w, _ in self.from_(text, i):
+                into[j].append(ahead + w)
+        return _log_sum(into[-1])
 
 
 def _log_sum(x: list[float]) -> float:
@@ -96,15 +82,12 @@ def _log_sum(x: list[float]) -> float:
     return top if top == -math.inf else top + math.log(sum([math.exp(v - top) for v in x]))
 
 
-def read_pieces(model_path: str) -> dict[str, float]:
-    """Pieces of a sentencepiece vocabulary with their first log weights, by rank of score."""
+def read_pieces(model_path: str) -> list[str]:
+    """Pieces of a sentencepiece vocabulary, without its control and unknown pieces."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=model_path)
-    ids = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i))]
-    ranked = sorted(ids, key=lambda i: (-model.get_score(i), i))
-    total = sum(1 / (r + FLAT) for r in range(len(ranked)))
-    return {model.id_to_piece(i): -math.log((r + FLAT) * total) for r, i in enumerate(ranked)}
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i))]
 
 
 def lattice_of(weights: dict[str, float]) -> Lattice:
@@ -160,14 +143,18 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     first = read_pieces(model_path)
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts = lattice_of(first), Counter()
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sentencepiece import SentencePieceProcessor
+
+        model, counts = SentencePieceProcessor(model_file=model_path), Counter()
         for batch in batches:
-            for word, c in zip(*(x.to_pylist() for x in batch.columns)):
-                lattice.expected(word, c, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["piece", "n"])
+            for ids, c in zip(model.encode(batch.column(0).to_pylist(), num_threads=1), batch.column(1).to_pylist()):
+                for i in ids:
+                    counts[i] += c
+        pieces = [model.id_to_piece(i) for i in counts]
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(list(counts.values()), pa.int64())], ["piece", "n"])
 
-    used = totals.where("c > 0 and word != ''").select("word", "c").mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    used = totals.where("c > 0 and word != ''").select("word", "c").mapInArrow(use, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     # At most one row for each piece of the vocabulary.
     counts = {r["piece"]: r["n"] for r in used.collect()}
     total = sum(counts.values()) + n_ends + ADDED * (len(first) + 1)
