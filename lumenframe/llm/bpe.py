@@ -34,6 +34,8 @@ from lumenframe.llm.chunks import Memo
 STATES = 150_000
 #: Words whose ids a worker keeps.
 WORDS = 300_000
+#: Rows whose ids are held at once.
+SLICE = 500
 #: Bytes of a word that are read before tokens are emitted; shorter words are emitted at their end.
 LONG = 1024
 _BYTES = [bytes([b]) for b in range(256)]
@@ -234,12 +236,19 @@ def _ready(ranks_path: str, pattern: str) -> tuple[Transducer, Memo]:
     return _READY[key]
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The ids of one row at a time; a null row has none."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    for i in range(len(column)):
+        yield values[at[i] : at[i + 1]].tolist()
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, ids array<int>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = _ready(ranks_path, pattern)
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             ids = list(memo.texts(t or "" for t in batch.column(1).to_pylist()))
             at = np.cumsum([0] + [len(x) // 4 for x in ids])
             column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -255,8 +264,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, batch_size: int = 4096) -> D
         decoder = StreamDecoder({v: k for k, v in read_ranks(ranks_path).items()})
         for batch in batches:
             texts = []
-            for ids in batch.column(1).to_pylist():
-                ids = ids or []
+            for ids in _lists(batch.column(1)):
                 parts = [decoder.feed(ids[i : i + batch_size]) for i in range(0, len(ids), batch_size)]
                 texts.append("".join(parts) + decoder.close())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -274,7 +282,7 @@ def bpe_round_trip(encoded: DataFrame, ranks_path: str) -> DataFrame:
         decoder = StreamDecoder(bytes_of)
         for batch in batches:
             n, shown, decoded = [], [], []
-            for ids in batch.column(1).to_pylist():
+            for ids in _lists(batch.column(1)):
                 n.append(len(ids))
                 shown.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
                 digest = hashlib.sha256()
