@@ -122,7 +122,7 @@ class Tagger:
             g["emb"] += gx @ p[f"{d}x"].T
         return float((z - gold).mean()), {k: (v / n).astype(np.float32) for k, v in g.items()}
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 5) -> list[float]:
+    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 16, batch: int = 64, rate: float = 0.01, seed: int = 5) -> list[float]:
         """Adam over shuffled batches; the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}

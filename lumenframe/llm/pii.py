@@ -29,7 +29,7 @@ from lumenframe.llm.bilstm_crf import KINDS, Tagger, codes, spans_of
 #: Characters of a window, the step between windows, and windows decoded at once.
 WINDOW, STEP, BATCH = 96, 32, 512
 #: Labelled windows taken from the corpus, and generated ones.
-MOST, GENERATED = 1200, 600
+MOST, GENERATED = 1200, 1000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -6,11 +6,12 @@ about the target size. Merges are one Spark job for all tiers: each run is looke
 a table of runs, and rows are dealt to their merged run. Every step writes new files only and
 then commits a manifest: a new version under a temporary name, renamed into place, which fails if
 that version exists. A reader takes the files of the newest version, so it sees a step whole or
-not at all, and a failed job leaves the last version as it was.
+not at all, and a failed job leaves the last version as it was. Folders of which nothing is live
+any more are deleted after the commit, so older versions keep their run tables and lose data.
 
-Defined results: null texts count as 0 bytes and are kept; null ids arrive in a run of their own;
-rows that repeat are kept as often; an empty table gives a manifest without runs; extra columns
-travel along, whatever their names, but for the engine's own ``_run``, which is refused.
+Defined results: null texts count as 0 bytes and are kept; null ids arrive as any others; rows
+that repeat are kept as often; an empty table gives a manifest without runs; extra columns travel
+along, whatever their names, but for the engine's own ``_run``, which is refused.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import new_dir
 
-#: Bytes of text in an arriving shard and in a merged file; runs that make a tier worth merging.
-ARRIVAL, TARGET, FAN = 1 << 20, 16 << 20, 4
+#: Rows of an arriving shard (a power of two); bytes of text in a merged file; runs that make a
+#: tier worth merging.
+ARRIVAL, TARGET, FAN = 512, 16 << 20, 4
 RUN = "_run"
 
 
@@ -60,6 +62,10 @@ class Table:
         if self._fs.exists(target) or not self._fs.rename(self._path(temporary), target):
             raise RuntimeError(f"version {version} was committed by another writer")
 
+    def remove(self, folder: str) -> None:
+        """Deletes a folder of data that the newest version does not name."""
+        self._fs.delete(self._path(folder), True)
+
     def runs(self) -> DataFrame:
         """``run, part, tier, n_rows, n_bytes``: live runs and the folder that holds each."""
         return self.spark.read.parquet(self.manifest()["runs"])
@@ -80,29 +86,27 @@ def _tier(n_bytes: Column) -> Column:
     return F.greatest(F.floor(F.log2(F.greatest(n_bytes, F.lit(1)) / F.lit(1024.0)) / 2), F.lit(0)).cast("long")
 
 
-def _write(table: Table, rows: DataFrame, text_col: str) -> tuple[str, DataFrame]:
-    """Writes rows by run, one file for each, and returns the folder and its run table."""
+def _write(table: Table, rows: DataFrame, text_col: str, per_file: int = 0) -> tuple[str, DataFrame]:
+    """Writes rows with their run, at most ``per_file`` to a file, and returns the folder and its
+    run table."""
     part = f"{table.root}/data/{new_dir(table.spark, 'part').rsplit('/', 1)[1]}"
-    rows.write.option("maxRecordsPerFile", 0).parquet(part)
+    rows.write.option("maxRecordsPerFile", per_file).parquet(part)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     runs = table.spark.read.parquet(part).groupBy(F.col(RUN).alias("run")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
     return part, runs.select("run", F.lit(part).alias("part"), _tier(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes")
 
 
-def append(table: Table, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", arrival: int = ARRIVAL) -> None:
-    """Appends rows as shards of about ``arrival`` bytes, in ranges of ids, and commits."""
+def append(table: Table, rows: DataFrame, text_col: str = "text", arrival: int = ARRIVAL) -> None:
+    """Appends rows as they arrive, without a shuffle, in shards of ``arrival`` rows: each file
+    that a task writes is one run. Then commits."""
     if RUN in rows.columns:
         raise ValueError(f"{RUN} is the engine's own column")
-    total = rows.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))).first()[0] or 0
-    shards = max(1, math.ceil(total / arrival))
     before = table.manifest()
     first = 0
     if before["runs"]:
         first = (table.runs().agg(F.max("run")).first()[0] or 0) + 1
-    # Null ids are dealt by range like others: they come first. A second key splits what repeats.
-    spread = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    dealt = rows.repartitionByRange(shards, F.col(id_col).asc_nulls_first(), spread)
-    part, runs = _write(table, dealt.withColumn(RUN, F.spark_partition_id().cast("long") + first), text_col)
+    run = F.shiftright(F.monotonically_increasing_id(), arrival.bit_length() - 1) + first
+    part, runs = _write(table, rows.withColumn(RUN, run), text_col, arrival)
     all_runs = runs if not before["runs"] else table.runs().unionByName(runs)
     _commit(table, all_runs, [*before["parts"], part], before["version"] + 1)
 
@@ -112,6 +116,10 @@ def _commit(table: Table, runs: DataFrame, parts: list[str], version: int) -> No
     runs.write.parquet(path)
     live = {r["part"] for r in table.spark.read.parquet(path).select("part").distinct().collect()}
     table.commit([p for p in parts if p in live], path, version)
+    # No run of the new version is in the other folders: their rows were merged.
+    for p in parts:
+        if p not in live:
+            table.remove(p)
 
 
 def plan(runs: DataFrame, target: int = TARGET, fan: int = FAN) -> DataFrame:
@@ -153,7 +161,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     until nothing is left to merge or ``rounds`` are over."""
     table = Table(docs.sparkSession, new_dir(docs.sparkSession, "shards"))
     for k in range(arrivals):
-        append(table, docs.where(F.pmod(F.xxhash64(id_col), F.lit(arrivals)) == k), id_col, text_col)
+        append(table, docs.where(F.pmod(F.xxhash64(id_col), F.lit(arrivals)) == k), text_col)
         for _ in range(rounds):
             if not compact(table, text_col):
                 break
