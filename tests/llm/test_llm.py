@@ -241,7 +241,7 @@ def test_packing_keeps_all_tokens(spark, odd):
 def test_sharding(spark, odd, tmp_path):
     table = Table(spark, f"file://{tmp_path}/t")
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), 40) AS text")
-    append(table, docs, arrival=64 << 10)
+    append(table, docs, arrival=64)
     before = table.runs().count()
     first = table.manifest()
     assert compact(table, target=512 << 10) and table.version() == 2
