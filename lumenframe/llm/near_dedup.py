@@ -10,7 +10,10 @@ classes with the most links so far, which finds hubs whose copies differ from on
 
 Rounds verify the best untested candidates of each class on the full sets and then join linked
 classes; regions whose classes are all joined drop out, so the work stays linear in a group's
-size. The rounds end when no untested candidate between different components is left. A pair at
+size. When the neighbours and pivots are used up, the regions that still hold several components
+are searched to the end: all pairs of their classes that share one of their rarest shingles, which
+every pair at the threshold does, go through further rounds until none between different
+components is left. A pair at
 the threshold shares 4 values in at least one of 16 trees with a probability above 0.9997, and
 nearer pairs sooner; 2-bit fingerprints of all 128 values drop candidates only when they are 5
 standard deviations below the threshold. Links are exact: no false one is made.
@@ -40,6 +43,8 @@ HASHES = TREES * DEPTH
 REGION, NEIGHBOURS = 5_000, 12
 #: Classes of a region, each the one with the most links in its share, that all others are compared with.
 PIVOTS = 8
+#: Counters of shingles, by their last bits, that tell rare ones; any counts find all pairs.
+COUNTERS = 1 << 18
 
 _RNG = np.random.default_rng(7)
 _A, _B = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -173,6 +178,74 @@ def _candidates(regions: DataFrame, round_no: int, percent: int) -> DataFrame:
     return found.groupBy(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).agg(F.min(far).alias("far"))
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingles -> (slot, c): how many fall on each counter."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        total += np.bincount(flat & (COUNTERS - 1), minlength=COUNTERS)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "c"])
+
+
+def _rarest(counts, percent: int):
+    """(node, n, component, shingles) -> a row for each of a set's rarest shingles. Two sets that
+    share ``percent`` hundredths of their union share as much of each, so in any common order
+    of shingles the first ``n - ceil(n * percent / 100) + 1`` of both have one in common.
+    ``ahead`` counts the set's shingles from this one on: no later ones can be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(3)
+            flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sets.value_lengths().to_numpy(zero_copy_only=False)])
+            often = counts.value[flat & (COUNTERS - 1)]
+            found = []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                first = (hi - lo) - -(-(hi - lo) * percent // 100) + 1
+                found.append(lo + np.lexsort((flat[lo:hi], often[lo:hi]))[:first])
+            at = np.concatenate(found) if found else np.empty(0, np.int64)
+            ahead = np.concatenate([hi - lo - np.arange(len(x)) for lo, hi, x in zip(ends[:-1], ends[1:], found)]) if found else at
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64))
+            columns = [batch.column(k).take(row) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[at]), pa.array(ahead.astype(np.int64))], ["node", "n", "component", "shingle", "ahead"])
+
+    return run
+
+
+def _rest(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of ``regions``, in different components, that the threshold may link.
+    A shingle meets the pairs of its components first, so a group that is joined makes no pairs."""
+    classes = cut(regions.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), *[F.first(b).alias(b) for b in BITS]))
+    known = sets.join(classes.select("node", "n", "component"), "node").select("node", "n", "component", "shingles")
+    tally = known.select("shingles").mapInArrow(_tally, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[tally.column("slot").to_numpy()] = tally.column("c").to_numpy()
+    rarest = _rarest(regions.sparkSession.sparkContext.broadcast(counts), percent)
+    rows = known.mapInArrow(rarest, "node long, n long, component long, shingle long, ahead long")
+    kinds = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    several = kinds.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
+    rows = cut(rows.join(several, "shingle"))
+    kinds = rows.select("shingle", "component").distinct()
+    x, y = kinds.withColumnRenamed("component", "cu"), kinds.withColumnRenamed("component", "cv")
+    both = x.join(y, "shingle").where("cu < cv")
+    u = rows.select("shingle", F.col("component").alias("cu"), F.col("node").alias("nu"), F.col("n").alias("u_n"), F.col("ahead").alias("u_ahead"))
+    v = rows.select("shingle", F.col("component").alias("cv"), F.col("node").alias("nv"), F.col("n").alias("v_n"), F.col("ahead").alias("v_ahead"))
+    # What a linked pair shares begins with one of these rows, and both have enough from there on.
+    enough = F.least("u_ahead", "v_ahead") * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent
+    found = both.join(u, ["shingle", "cu"]).join(v, ["shingle", "cv"]).where(enough)
+    found = found.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()
+    bits = classes.select("node", *BITS)
+    found = found.join(bits.alias("a"), F.col("u") == F.col("a.node")).join(bits.alias("b"), F.col("v") == F.col("b.node"))
+    return found.withColumn("far", _differ("a", "b")).where(F.col("far") <= _most_differ(percent)).select("u", "v", "far")
+
+
+def _apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """``pairs`` whose classes are in different components."""
+    for end in ("u", "v"):
+        pairs = pairs.join(state.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    return pairs.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v", "far")
+
+
 def _sifted(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``doc_id`` is not in ``ids``: the ids' hashes set bits
     of 2048 bitmaps of 4 KB, a size that never grows, which are broadcast."""
@@ -214,13 +287,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = store(texts.mapInArrow(_sets(width), "node long, shingles array<long>"), "near-sets")
 
     spark = docs.sparkSession
-    links = tested = None
+    links = tested = rest = state = None
     round_no = 0
     while True:
-        found = _candidates(regions, round_no, percent)
+        found = _candidates(regions, round_no, percent) if rest is None else _apart(rest, state)
         if tested is not None:
             found = found.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         found = cut(found)
+        if rest is None and found.isEmpty() and not regions.isEmpty():
+            found = _rest(regions, sets, percent)
+            found = rest = cut(found if tested is None else found.join(tested.select("u", "v"), ["u", "v"], "left_anti"))
+        elif rest is not None:
+            rest = found
         if found.isEmpty():
             break
         most = 2 << min(2 * round_no, 20)
@@ -230,7 +308,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         checked = cut(_verified(best, sets, percent))
         tested = checked if tested is None else tested.unionByName(checked)
         links = tested.where("linked").select("u", "v")
-        regions = cut(_still_open(regions, cut(_state(links))))
+        state = cut(_state(links))
+        if rest is None:
+            regions = cut(_still_open(regions, state))
         round_no += 1
 
     if links is None:

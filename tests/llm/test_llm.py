@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bilstm_crf, pii
+from lumenframe.llm import bilstm_crf, near_dedup, pii
 from lumenframe.llm.bpe import StreamDecoder, Transducer, bpe_decode, bpe_encode, bpe_round_trip, read_ranks
 from lumenframe.llm.chunks import chunks
 from lumenframe.llm.components import components
@@ -109,6 +109,28 @@ def test_a_star_whose_copies_differ(spark, prose):
     assert got == {k: v for k, (_, v) in _jaccard_components(rows, 4, 80).items()}
 
 
+def _template_rows(prose, n=500, pairs=40):
+    """Texts that share a template at 0.75; some have one partner each at 0.807."""
+    template, rows = prose(164), []
+    for k in range(n):
+        rows.append((len(rows), " ".join(template + [f"d{k}x{j}" for j in range(27)])))
+        if k < pairs:
+            rows.append((len(rows), " ".join(template + [f"d{k}x{j}" for j in range(7)] + [f"e{k}x{j}" for j in range(20)])))
+    random.Random(3).shuffle(rows)
+    return [(i, t) for i, (_, t) in enumerate(rows)]
+
+
+def test_pairs_among_texts_of_one_template(spark, prose, monkeypatch):
+    """One neighbour and one pivot leave most of a region to the search of the rest."""
+    monkeypatch.setattr(near_dedup, "NEIGHBOURS", 1)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    rows = _template_rows(prose)
+    want = {k: v for k, (_, v) in _jaccard_components(rows, 5, 80).items()}
+    assert len(set(want.values())) == 500
+    got = {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_near_groups_of_odd_rows(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(odd, width=4).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (None, 1, None, True), (5, 1, 5, True), (6, 1, 5, False)} <= got
