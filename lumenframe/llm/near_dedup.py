@@ -3,9 +3,9 @@
 Each text is the set of its word shingles. Equal sets become one class first, so copies never
 multiply. A class has 128 MinHash values: 16 trees of 8. In each tree the classes stand in the
 order of their eight values; those with the same first values form a region, and neighbours in
-the order, which share the longest prefixes, are candidates. A region's depth adapts: 4 values,
-or 6 or 8 where more than ``REGION`` classes share fewer, and what is still larger is dealt out
-anew in the first rounds. Besides its neighbours, each class is compared with its region's pivots, the
+the order, which share the longest prefixes, are candidates. A region is the classes with the same
+first 4 values, however many; one of more than ``REGION`` is dealt out for ordering, anew in the
+first rounds. Besides its neighbours, each class is compared with its region's pivots, the
 classes with the most links so far, which finds hubs whose copies differ from one another.
 
 Rounds verify the best untested candidates of each class on the full sets and then join linked
@@ -39,7 +39,7 @@ from lumenframe.llm.shingles import shingle_sets
 
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
-#: Classes that may share a region before it goes deeper; neighbours on each side in an order.
+#: Classes of a region that are put in order together; neighbours on each side in an order.
 REGION, NEIGHBOURS = 5_000, 12
 #: Classes of a region, each the one with the most links in its share, that all others are compared with.
 PIVOTS = 8
@@ -124,19 +124,10 @@ def _regions(classes: DataFrame) -> DataFrame:
     keys = keys.select("node", "tree", F.xxhash64("tree", F.expr(label.format(16))).alias("r4"))
     shared = keys.groupBy("r4").agg(F.count(F.lit(1)).alias("r4_n")).where("r4_n > 1")
     rows = keys.join(shared, "r4").join(classes.select("node", "n", "class_size", "trees", *BITS), "node")
-    rows = rows.select(
-        "node", "n", F.col("class_size").alias("copies"), *BITS, "r4", "r4_n",
-        *[F.xxhash64("tree", F.expr(label.format(4 * d))).alias(f"r{d}") for d in (6, 8)],
-        F.expr(f"substring(trees, tree * {4 * DEPTH} + 17, {4 * DEPTH - 16})").alias("label"),
+    return rows.select(
+        "node", "n", F.col("class_size").alias("copies"), *BITS, F.expr(f"substring(trees, tree * {4 * DEPTH} + 17, {4 * DEPTH - 16})").alias("label"),
+        "r4", F.ceil(F.col("r4_n") / REGION).cast("int").alias("deals"), F.col("node").alias("component"),
     )
-    dense = rows.where(F.col("r4_n") > REGION)
-    six = dense.groupBy("r6").agg(F.count(F.lit(1)).alias("r6_n"))
-    eight = dense.groupBy("r8").agg(F.count(F.lit(1)).alias("r8_n"))
-    thin = rows.where(F.col("r4_n") <= REGION).withColumn("r6_n", F.lit(0)).withColumn("r8_n", F.lit(0))
-    rows = thin.unionByName(dense.join(six, "r6").join(eight, "r8"))
-    deep = F.when(F.col("r4_n") <= REGION, F.col("r4")).when(F.col("r6_n") <= REGION, F.col("r6")).otherwise(F.col("r8"))
-    deals = F.when((F.col("r4_n") <= REGION) | (F.col("r6_n") <= REGION), F.lit(1)).otherwise(F.ceil(F.col("r8_n") / REGION))
-    return rows.select("node", "n", "copies", *BITS, "label", "r4", deep.alias("region"), deals.cast("int").alias("deals"), F.col("node").alias("component"))
 
 
 def _state(links: DataFrame) -> DataFrame:
@@ -162,8 +153,8 @@ def _candidates(regions: DataFrame, round_no: int, percent: int) -> DataFrame:
     """Pairs of classes in different components: neighbours in an order, and pivots."""
     rows = regions.withColumn("deal", F.pmod(F.xxhash64("node", "r4", F.lit(min(round_no, 2))), "deals"))
     me = F.struct("node", "n", "component", *BITS)
-    order = Window.partitionBy("region", "deal").orderBy("label", "n", "node")
-    near = rows.select("region", "deal", "label", "n", "node", me.alias("a"))
+    order = Window.partitionBy("r4", "deal").orderBy("label", "n", "node")
+    near = rows.select("r4", "deal", "label", "n", "node", me.alias("a"))
     near = near.select("a", F.array(*[F.lead("a", k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("next"))
     found = near.select("a", F.explode("next").alias("b")).where(F.col("b").isNotNull())
     if round_no:

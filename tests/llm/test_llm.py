@@ -131,6 +131,19 @@ def test_pairs_among_texts_of_one_template(spark, prose, monkeypatch):
     assert got == want
 
 
+def test_large_regions_keep_their_scope(spark, prose, monkeypatch):
+    """A region larger than ``REGION`` stays whole: no pair that shares four values leaves it."""
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rows = spark.createDataFrame(_template_rows(prose, 120, 20), "doc_id long, text string").repartition(2)
+    classes = rows.mapInArrow(near_dedup._sketches(5), near_dedup._SKETCH).select(F.col("doc_id").alias("node"), "n", F.lit(1).alias("class_size"), "trees", *near_dedup.BITS).toPandas()
+    values = {r.node: [r.trees[32 * k : 32 * k + 16] for k in range(16)] for r in classes.itertuples()}
+    want = {(a, b) for a in values for b in values if a < b and any(x == y for x, y in zip(values[a], values[b]))}
+    regions = near_dedup._regions(spark.createDataFrame(classes))
+    scope = "region" if "region" in regions.columns else "r4"
+    x, y = regions.select(scope, F.col("node").alias("a")), regions.select(scope, F.col("node").alias("b"))
+    assert {tuple(r) for r in x.join(y, scope).where("a < b").select("a", "b").distinct().collect()} == want
+
+
 def test_near_groups_of_odd_rows(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(odd, width=4).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (None, 1, None, True), (5, 1, 5, True), (6, 1, 5, False)} <= got
