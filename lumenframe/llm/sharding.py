@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import new_dir
+from lumenframe.llm.common import cut, new_dir
 
 #: Rows of an arriving shard (a power of two); bytes of text in a merged file; runs that make a
 #: tier worth merging.
@@ -125,10 +125,20 @@ def _commit(table: Table, runs: DataFrame, parts: list[str], version: int) -> No
 def plan(runs: DataFrame, target: int = TARGET, fan: int = FAN) -> DataFrame:
     """``run, into``: the runs to merge and the merge that each goes to, named by its first run.
     Runs of a tier merge in the order of their number, as many as reach the target; runs of the
-    target size or more stay. Sums run over slices of a thousand runs, so no task holds a tier."""
+    target size or more stay. Runs are ranked within their tier, whatever partition or arrival they
+    came from; sums run over slices of a thousand ranks, so no task holds a tier."""
     small = runs.where(F.col("n_bytes") < target)
     full = small.groupBy("tier").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= fan).select("tier")
-    small = small.join(F.broadcast(full), "tier").withColumn("_slice", F.floor(F.col("run") / 1000))
+    small = small.join(F.broadcast(full), "tier").select("run", "tier", "n_bytes")
+    small = cut(small.repartitionByRange("tier", "run").sortWithinPartitions("tier", "run").withColumn("_id", F.monotonically_increasing_id()))
+    # One row for each partition; a row's rank is its place in the partition and what lies before.
+    small = small.withColumn("_part", F.shiftright("_id", 33))
+    sizes = small.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = small.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    small = small.withColumn("_rank", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = small.groupBy("tier").agg(F.min("_rank").alias("_first"))
+    small = small.join(F.broadcast(first), "tier").withColumn("_slice", F.floor((F.col("_rank") - F.col("_first")) / 1000))
     order = Window.partitionBy("tier", "_slice").orderBy("run")
     ahead = F.coalesce(F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     small = small.withColumn("_bin", F.floor(ahead / target))

@@ -288,6 +288,18 @@ def test_sharding(spark, odd, tmp_path):
     assert sorted(r.doc_id or 0 for r in small.rows().collect()) == sorted(i or 0 for i, *_ in ODD)
 
 
+def test_runs_merge_across_partitions_and_arrivals(spark, tmp_path):
+    """Runs of many scan partitions, and of two arrivals, meet in one merge."""
+    table = Table(spark, f"file://{tmp_path}/t")
+    docs = spark.range(0, 400, 1, 20).selectExpr("id AS doc_id", "repeat('text ', 40) AS text")
+    append(table, docs)
+    assert table.runs().count() == 20 and compact(table) and table.runs().count() == 1 and table.rows().count() == 400
+    table = Table(spark, f"file://{tmp_path}/u")
+    for _ in range(2):
+        append(table, docs.coalesce(2))
+    assert table.runs().count() == 4 and compact(table) and table.runs().count() == 1 and table.rows().count() == 800
+
+
 def test_kneser_ney(spark, prose):
     good = [(i, " ".join(prose(80)), "en") for i in range(60)]
     bad = [(100 + i, "#$%&" * 40 + str(i), "en") for i in range(10)] + [(200, None, None)]
