@@ -61,7 +61,7 @@ def rolling_captions(spark, d):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn")
-        kept = extract.rolling([(t or "")[:40] for t in rows["text"]])
+        kept = extract.rolling([t or "" for t in rows["text"]])
         return pd.DataFrame({"conv_id": rows["conv_id"].iloc[0], "n": range(len(kept)), "text": kept})
 
     return table(spark, d, "conversations").groupBy("conv_id").applyInPandas(run, "conv_id long, n int, text string")

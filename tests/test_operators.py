@@ -16,6 +16,15 @@ def _verdicts(spark, rows, schema, predicate):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(predicate.alias("p")).collect()]
 
 
+def test_rolling_captions_keep_whole_turns(spark, tmp_path):
+    from lumenframe.plans import registry
+
+    turns = [(1, 0, "user", "a" * 50 + " one"), (1, 1, "user", "a" * 50 + " two")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.queries()["W05_G08_rolling_captions"](spark, str(tmp_path)).orderBy("n").collect()
+    assert [r.text for r in got] == [t[3] for t in turns]
+
+
 def test_empty_rule_sets(spark):
     found = {m: _verdicts(spark, [(1,)], "x int", rules.compile_rules({"match": m, "rules": []}))[0] for m in ("all", "any", "none")}
     assert found == {"all": True, "any": False, "none": True}
