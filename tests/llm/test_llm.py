@@ -300,6 +300,16 @@ def test_runs_merge_across_partitions_and_arrivals(spark, tmp_path):
     assert table.runs().count() == 4 and compact(table) and table.runs().count() == 1 and table.rows().count() == 800
 
 
+def test_thresholds_cover_all_trusted_rows(spark, prose):
+    """Rows that the model was not trained on count for their language's threshold."""
+    rows = [(i, " ".join(prose(30)) + " zq" * (i % 2 * 20), ("en", "fr")[i % 2]) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    found = quality_by_perplexity(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, most=20).collect()
+    for lang in ("en", "fr"):
+        own = [r for r in found if r.lang == lang]
+        assert {r.threshold for r in own} == {max(r.perplexity for r in own) * 1.1}
+
+
 def test_kneser_ney(spark, prose):
     good = [(i, " ".join(prose(80)), "en") for i in range(60)]
     bad = [(100 + i, "#$%&" * 40 + str(i), "en") for i in range(10)] + [(200, None, None)]
