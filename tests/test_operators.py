@@ -25,6 +25,14 @@ def test_rolling_captions_keep_whole_turns(spark, tmp_path):
     assert [r.text for r in got] == [t[3] for t in turns]
 
 
+def test_hamming_join_takes_large_ids(spark, tmp_path):
+    from lumenframe.plans import registry
+
+    docs = [(10**8 + k, "one two three four five six seven", "en", "a", 33) for k in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.queries()["J08_hamming_join"](spark, str(tmp_path)).count() == 3
+
+
 def test_empty_rule_sets(spark):
     found = {m: _verdicts(spark, [(1,)], "x int", rules.compile_rules({"match": m, "rules": []}))[0] for m in ("all", "any", "none")}
     assert found == {"all": True, "any": False, "none": True}
