@@ -14,11 +14,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is
-    unset (tests, one machine), a new temporary folder takes its place."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a
+    new temporary folder takes its place on one machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,7 +33,7 @@ def new_dir(spark: SparkSession, what: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, with its lineage cut; lost executors cost no
-    recomputation, and Spark's cleaner removes the files once nothing refers to them."""
+    recomputation. The files go with the folder, or with Spark's cleaner where it is set to."""
     spark = df.sparkSession
     shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -46,6 +48,25 @@ def store(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job, below one folder of the shared ones, which is given back as a whole."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.n = spark, new_dir(spark, what), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read back, with its lineage cut."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes all of its tables; nothing may read them any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def blocks(docs: DataFrame, rows: int = 2048) -> DataFrame:
     """``docs`` with ``block``: a number for each run of so many rows of a scanned partition. Two
     reads of one table give the same numbers; other inputs need a stored copy first."""

@@ -2,21 +2,21 @@
 
 Each text is the set of its word shingles. Equal sets become one class first, so copies never
 multiply. A class has 128 MinHash values: 16 trees of 8. In each tree the classes stand in the
-order of their eight values; those with the same first values form a region, and neighbours in
-the order, which share the longest prefixes, are candidates. A region is the classes with the same
-first 4 values, however many; one of more than ``REGION`` is dealt out for ordering, anew in the
-first rounds. Besides its neighbours, each class is compared with its region's pivots, the
-classes with the most links so far, which finds hubs whose copies differ from one another.
-
-Rounds verify the best untested candidates of each class on the full sets and then join linked
-classes; regions whose classes are all joined drop out, so the work stays linear in a group's
-size. When the neighbours and pivots are used up, the regions that still hold several components
-are searched to the end: all pairs of their classes that share one of their rarest shingles, which
-every pair at the threshold does, go through further rounds until none between different
-components is left. A pair at
-the threshold shares 4 values in at least one of 16 trees with a probability above 0.9997, and
-nearer pairs sooner; 2-bit fingerprints of all 128 values drop candidates only when they are 5
-standard deviations below the threshold. Links are exact: no false one is made.
+order of their eight values; those with the same first 4 values form a region, at every size, and
+neighbours in the order, which share the longest prefixes, are candidates: where a region is
+dense, its order goes as deep as the values do. Regions of more than ``REGION`` rows are dealt out
+for ordering.
+
+Three searches follow one another, and classes that a search links count as one for the next:
+neighbours in each order; in regions that still hold several components, the classes with the most
+links so far, which finds hubs whose copies differ from one another; then every pair of different
+components within such regions that the threshold may link. The last one is exact: two sets share
+the threshold only if they share one of their rarest shingles early enough in both. Pairs are tried
+best first, and those whose classes meet meanwhile are left out, so a group that is joined makes no
+more of them. A pair at the threshold shares 4 values in at least one of 16 trees with a
+probability above 0.9997, and nearer pairs sooner; 2-bit fingerprints of all 128 values drop
+candidates only when they are 5 standard deviations below the threshold. Links are confirmed on
+the full sets.
 
 Defined results: a text that is null, empty or without words has no shingles and stands alone;
 so does a row with a null id, whose component is null and which is kept. Rows that repeat fall
@@ -33,16 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, store
+from lumenframe.llm.common import Scratch, store
 from lumenframe.llm.components import components
 from lumenframe.llm.shingles import shingle_sets
 
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
 #: Classes of a region that are put in order together; neighbours on each side in an order.
-REGION, NEIGHBOURS = 5_000, 12
+REGION, NEIGHBOURS = 5_000, 2
 #: Classes of a region, each the one with the most links in its share, that all others are compared with.
-PIVOTS = 8
+PIVOTS = 2
+#: Pairs of one class, and rows of one shingle, that meet in one place; more are dealt out.
+SPLIT = 256
 #: Counters of shingles, by their last bits, that tell rare ones; any counts find all pairs.
 COUNTERS = 1 << 18
 
@@ -124,9 +126,10 @@ def _regions(classes: DataFrame) -> DataFrame:
     keys = keys.select("node", "tree", F.xxhash64("tree", F.expr(label.format(16))).alias("r4"))
     shared = keys.groupBy("r4").agg(F.count(F.lit(1)).alias("r4_n")).where("r4_n > 1")
     rows = keys.join(shared, "r4").join(classes.select("node", "n", "class_size", "trees", *BITS), "node")
+    deals = F.ceil(F.col("r4_n") / REGION).cast("int")
     return rows.select(
         "node", "n", F.col("class_size").alias("copies"), *BITS, F.expr(f"substring(trees, tree * {4 * DEPTH} + 17, {4 * DEPTH - 16})").alias("label"),
-        "r4", F.ceil(F.col("r4_n") / REGION).cast("int").alias("deals"), F.col("node").alias("component"),
+        "r4", deals.alias("deals"), F.pmod(F.xxhash64("node", "r4"), deals).cast("int").alias("deal"),
     )
 
 
@@ -141,34 +144,45 @@ def _state(links: DataFrame) -> DataFrame:
     return state
 
 
+def _every_deal(rows: DataFrame) -> DataFrame:
+    """A row for each deal of its region: what all rows of a large region meet is dealt out too."""
+    return rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+
+
 def _still_open(regions: DataFrame, state: DataFrame) -> DataFrame:
     """The rows of regions whose classes are not all joined yet, with their present components."""
-    rows = regions.drop("component", "degree").join(state, "node", "left")
+    rows = regions.join(state, "node", "left")
     rows = rows.withColumn("component", F.coalesce("component", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
-    ends = rows.groupBy("r4").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return rows.join(ends.where("low != high").select("r4"), "r4")
+    ends = rows.groupBy("r4").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("deals").alias("deals"))
+    return rows.join(_every_deal(ends.where("low != high").select("r4", "deals")), ["r4", "deal"])
 
 
-def _candidates(regions: DataFrame, round_no: int, percent: int) -> DataFrame:
-    """Pairs of classes in different components: neighbours in an order, and pivots."""
-    rows = regions.withColumn("deal", F.pmod(F.xxhash64("node", "r4", F.lit(min(round_no, 2))), "deals"))
-    me = F.struct("node", "n", "component", *BITS)
-    order = Window.partitionBy("r4", "deal").orderBy("label", "n", "node")
-    near = rows.select("r4", "deal", "label", "n", "node", me.alias("a"))
-    near = near.select("a", F.array(*[F.lead("a", k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("next"))
-    found = near.select("a", F.explode("next").alias("b")).where(F.col("b").isNotNull())
-    if round_no:
-        share = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("share")
-        rank = F.struct(F.col("degree").alias("d"), F.col("copies").alias("c"), F.col("node").alias("k"), me.alias("b"))
-        pivot = rows.groupBy("r4", share).agg(F.max(rank).alias("top"))
-        hubs = rows.select("r4", me.alias("a")).join(pivot.select("r4", F.col("top.b").alias("b")), "r4").select("a", "b")
-        found = found.unionByName(hubs)
+def _likely(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of structs ``a, b`` as ``u, v, far``, without those that sizes or fingerprints rule out."""
     far = _differ("a", "b")
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    found = found.where((F.col("a.component") != F.col("b.component")) & sizes & (far <= _most_differ(percent)))
+    found = found.where(sizes & (far <= _most_differ(percent)))
     return found.groupBy(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).agg(F.min(far).alias("far"))
 
 
+def _neighbours(regions: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that are next to one another in an order."""
+    order = Window.partitionBy("r4", "deal").orderBy("label", "n", "node")
+    near = regions.select("r4", "deal", "label", "n", "node", F.struct("node", "n", *BITS).alias("a"))
+    near = near.select("a", F.array_compact(F.array(*[F.lead("a", k).over(order) for k in range(1, NEIGHBOURS + 1)])).alias("next"))
+    return _likely(near.select("a", F.explode("next").alias("b")), percent)
+
+
+def _hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes and their region's pivots, in different components."""
+    me = F.struct("node", "n", "component", *BITS)
+    rank = F.struct(F.col("degree").alias("d"), F.col("copies").alias("c"), F.col("node").alias("k"), me.alias("b"))
+    top = rows.groupBy("r4", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("share")).agg(F.max(rank).alias("top"), F.first("deals").alias("deals"))
+    pivots = _every_deal(top.select("r4", "deals", F.col("top.b").alias("b")))
+    found = rows.select("r4", "deal", me.alias("a")).join(pivots, ["r4", "deal"]).where("a.component != b.component")
+    return _likely(found, percent)
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """shingles -> (slot, c): how many fall on each counter."""
     total = np.zeros(COUNTERS, np.int64)
@@ -180,14 +194,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(counts, percent: int):
-    """(node, n, component, shingles) -> a row for each of a set's rarest shingles. Two sets that
-    share ``percent`` hundredths of their union share as much of each, so in any common order
-    of shingles the first ``n - ceil(n * percent / 100) + 1`` of both have one in common.
-    ``ahead`` counts the set's shingles from this one on: no later ones can be shared."""
+    """(node, shingles) -> a row for each of a set's rarest shingles. Two sets that share
+    ``percent`` hundredths of their union share as much of each, so in any common order of shingles
+    the first ``n - ceil(n * percent / 100) + 1`` of both have one in common. ``ahead`` counts the
+    set's shingles from this one on: no later ones can be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = batch.column(3)
+            sets = batch.column(1)
             flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sets.value_lengths().to_numpy(zero_copy_only=False)])
             often = counts.value[flat & (COUNTERS - 1)]
             found = []
@@ -197,37 +211,35 @@ def _rarest(counts, percent: int):
             at = np.concatenate(found) if found else np.empty(0, np.int64)
             ahead = np.concatenate([hi - lo - np.arange(len(x)) for lo, hi, x in zip(ends[:-1], ends[1:], found)]) if found else at
             row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64))
-            columns = [batch.column(k).take(row) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[at]), pa.array(ahead.astype(np.int64))], ["node", "n", "component", "shingle", "ahead"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(flat[at]), pa.array(ahead.astype(np.int64))], ["node", "shingle", "ahead"])
 
     return run
 
 
-def _rest(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of ``regions``, in different components, that the threshold may link.
-    A shingle meets the pairs of its components first, so a group that is joined makes no pairs."""
-    classes = cut(regions.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), *[F.first(b).alias(b) for b in BITS]))
-    known = sets.join(classes.select("node", "n", "component"), "node").select("node", "n", "component", "shingles")
-    tally = known.select("shingles").mapInArrow(_tally, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+def _rest(open_rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs of classes of ``open_rows``, in different components, that the threshold may link.
+
+    The shorter set of a linked pair shares one of fewer first shingles than the longer one, for
+    what both share is more of it. Rows of a frequent shingle are dealt out, and those of shorter
+    sets meet each deal."""
+    classes = scratch.keep(open_rows.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), *[F.first(b).alias(b) for b in BITS]))
+    known = sets.join(classes.select("node"), "node", "left_semi").select("node", "shingles")
+    tally = known.select("shingles").mapInArrow(_tally, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int64)
     counts[tally.column("slot").to_numpy()] = tally.column("c").to_numpy()
-    rarest = _rarest(regions.sparkSession.sparkContext.broadcast(counts), percent)
-    rows = known.mapInArrow(rarest, "node long, n long, component long, shingle long, ahead long")
-    kinds = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
-    several = kinds.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
-    rows = cut(rows.join(several, "shingle"))
-    kinds = rows.select("shingle", "component").distinct()
-    x, y = kinds.withColumnRenamed("component", "cu"), kinds.withColumnRenamed("component", "cv")
-    both = x.join(y, "shingle").where("cu < cv")
-    u = rows.select("shingle", F.col("component").alias("cu"), F.col("node").alias("nu"), F.col("n").alias("u_n"), F.col("ahead").alias("u_ahead"))
-    v = rows.select("shingle", F.col("component").alias("cv"), F.col("node").alias("nv"), F.col("n").alias("v_n"), F.col("ahead").alias("v_ahead"))
-    # What a linked pair shares begins with one of these rows, and both have enough from there on.
-    enough = F.least("u_ahead", "v_ahead") * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent
-    found = both.join(u, ["shingle", "cu"]).join(v, ["shingle", "cv"]).where(enough)
-    found = found.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()
-    bits = classes.select("node", *BITS)
-    found = found.join(bits.alias("a"), F.col("u") == F.col("a.node")).join(bits.alias("b"), F.col("v") == F.col("b.node"))
-    return found.withColumn("far", _differ("a", "b")).where(F.col("far") <= _most_differ(percent)).select("u", "v", "far")
+    rarest = _rarest(open_rows.sparkSession.sparkContext.broadcast(counts), percent)
+    rows = known.mapInArrow(rarest, "node long, shingle long, ahead long").join(classes, "node")
+    several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rows = scratch.keep(rows.join(several.select("shingle", F.ceil(F.col("k") / SPLIT).cast("int").alias("deals")), "shingle"))
+    me = F.struct("node", "n", "component", "ahead", *BITS)
+    # A set shares (na + nb) * p / (100 + p) with one as long or longer, so this much of its own.
+    short = rows.where(F.col("ahead") * (100 + percent) >= 2 * F.col("n") * percent)
+    a = _every_deal(short.select("shingle", "deals", me.alias("a")))
+    b = rows.select("shingle", F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"), me.alias("b"))
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
+    enough = F.least("a.ahead", "b.ahead") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    found = a.join(b, ["shingle", "deal"]).where((F.col("a.component") != F.col("b.component")) & ordered & enough & (_differ("a", "b") <= _most_differ(percent)))
+    return _likely(found, percent)
 
 
 def _apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
@@ -248,14 +260,47 @@ def _sifted(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return found.where(hit == 1).select(*rows.columns)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: str) -> DataFrame:
+    """``pairs`` with the set of one end. A class of more than ``SPLIT`` pairs is dealt out."""
+    own = sets.select(F.col("node").alias(end), F.col("shingles").alias(name))
+    hubs = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("deals")).where("deals > 1")
+    if hubs.isEmpty():
+        return pairs.join(own, end, "left")
+    pairs = pairs.join(hubs, end, "left").withColumn("deal", F.pmod(F.xxhash64(other), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
+    own = own.join(hubs, end, "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    return pairs.join(_every_deal(own), [end, "deal"], "left").drop("deal")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with ``linked``: whether the full sets are as similar as asked for."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    """Those of ``pairs`` whose full sets are as similar as asked for."""
     both = F.size(F.array_intersect("su", "sv"))
     linked = both * 100 >= (F.size("su") + F.size("sv") - both) * percent
-    found = pairs.join(left, "u", "left").join(right, "v", "left")
-    return found.select("u", "v", F.coalesce(linked, F.lit(False)).alias("linked")).distinct()
+    found = _with_sets(_with_sets(pairs.select("u", "v"), sets, "u", "v", "su"), sets, "v", "u", "sv")
+    return found.where(linked).select("u", "v")
+
+
+def _links(regions: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``u, v``: verified links that join all classes which links between regions' classes join."""
+    tested = scratch.keep(_neighbours(regions, percent))
+    links = scratch.keep(_verified(tested, sets, percent))
+    state = scratch.keep(_state(links))
+    hubs = _hubs(scratch.keep(_still_open(regions, state)), percent)
+    hubs = scratch.keep(hubs.join(tested, ["u", "v"], "left_anti"))
+    tested = tested.unionByName(hubs)
+    links = links.unionByName(scratch.keep(_verified(hubs, sets, percent)))
+    state = scratch.keep(_state(links))
+    rest = _rest(scratch.keep(_still_open(regions, state)), sets, percent, scratch)
+    rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"))
+    most = 4
+    while not rest.isEmpty():
+        ends = rest.select(F.col("u").alias("node"), "u", "v", "far").unionByName(rest.select(F.col("v").alias("node"), "u", "v", "far"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("far", "u", "v"))
+        best = scratch.keep(ends.withColumn("rank", rank).where(F.col("rank") <= most).select("u", "v").distinct())
+        links = links.unionByName(scratch.keep(_verified(best, sets, percent)))
+        state = scratch.keep(_state(links))
+        rest = scratch.keep(_apart(rest.join(best, ["u", "v"], "left_anti"), state))
+        most *= 8
+    return links
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -264,49 +309,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are linked when their shingle sets have a Jaccard similarity of at least ``percent``
     hundredths; ``component_id`` is the smallest id that links reach, ``kept`` whether it is the
     row's own; ``n_links`` counts the verified links of its class that joined components."""
+    scratch = Scratch(docs.sparkSession, "near")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = cut(plain.mapInArrow(_sketches(width), _SKETCH))
+    base = scratch.keep(plain.mapInArrow(_sketches(width), _SKETCH))
     key = ["h1", "h2", "n"]
     classes = base.where("n > 0 and doc_id is not null").groupBy(*key).agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"), F.first("trees").alias("trees"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(4)]
     )
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    regions = cut(_regions(classes))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    regions = scratch.keep(_regions(classes))
     # A repeated id may stand for several texts: only the one with the class's digest gives its set.
-    asked = regions.select("node").distinct().join(classes.select("node", "h1", F.col("first_id").alias("doc_id")), "node")
+    asked = scratch.keep(regions.select("node").distinct().join(classes.select("node", "h1", F.col("first_id").alias("doc_id")), "node"))
     texts = _sifted(plain, asked).join(asked, "doc_id").select("node", "text", "h1")
-    sets = store(texts.mapInArrow(_sets(width), "node long, shingles array<long>"), "near-sets")
-
-    spark = docs.sparkSession
-    links = tested = rest = state = None
-    round_no = 0
-    while True:
-        found = _candidates(regions, round_no, percent) if rest is None else _apart(rest, state)
-        if tested is not None:
-            found = found.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        found = cut(found)
-        if rest is None and found.isEmpty() and not regions.isEmpty():
-            found = _rest(regions, sets, percent)
-            found = rest = cut(found if tested is None else found.join(tested.select("u", "v"), ["u", "v"], "left_anti"))
-        elif rest is not None:
-            rest = found
-        if found.isEmpty():
-            break
-        most = 2 << min(2 * round_no, 20)
-        ends = found.select(F.col("u").alias("node"), "u", "v", "far").unionByName(found.select(F.col("v").alias("node"), "u", "v", "far"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("far", "u", "v"))
-        best = ends.withColumn("rank", rank).where(F.col("rank") <= most).select("u", "v").distinct()
-        checked = cut(_verified(best, sets, percent))
-        tested = checked if tested is None else tested.unionByName(checked)
-        links = tested.where("linked").select("u", "v")
-        state = cut(_state(links))
-        if rest is None:
-            regions = cut(_still_open(regions, state))
-        round_no += 1
-
-    if links is None:
-        links = spark.createDataFrame([], "u long, v long")
-    joined = components(links)
+    sets = scratch.keep(texts.mapInArrow(_sets(width), "node long, shingles array<long>"))
+    if sets.count() > asked.count():  # rows repeat both id and text
+        sets = scratch.keep(sets.dropDuplicates(["node"]))
+    links = _links(regions, sets, percent, scratch)
+    joined = components(links, scratch)
     ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     top = classes.select("node", "first_id").join(joined, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -316,9 +335,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = base.select("doc_id", *key).withColumn("_alone", F.col("doc_id").isNull() | (F.col("n") == 0))
     linked = rows.where("not _alone").join(known, key).select("doc_id", "n", F.col("_c").alias("component_id"), "class_size", "n_links")
     alone = rows.where("_alone").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone).select(
+    found = linked.unionByName(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_size", "n_links"
     )
+    found = store(found, "near-groups")
+    scratch.clear()
+    return found
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
