@@ -265,41 +265,47 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: st
     own = sets.select(F.col("node").alias(end), F.col("shingles").alias(name))
     hubs = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("deals")).where("deals > 1")
     if hubs.isEmpty():
-        return pairs.join(own, end, "left")
+        return pairs.join(own, end)
     pairs = pairs.join(hubs, end, "left").withColumn("deal", F.pmod(F.xxhash64(other), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
     own = own.join(hubs, end, "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
-    return pairs.join(_every_deal(own), [end, "deal"], "left").drop("deal")
+    return pairs.join(_every_deal(own), [end, "deal"]).drop("deal")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose full sets are as similar as asked for."""
+    """Those of ``pairs``, a stored table, whose full sets are as similar as asked for."""
     both = F.size(F.array_intersect("su", "sv"))
     linked = both * 100 >= (F.size("su") + F.size("sv") - both) * percent
-    found = _with_sets(_with_sets(pairs.select("u", "v"), sets, "u", "v", "su"), sets, "v", "u", "sv")
-    return found.where(linked).select("u", "v")
+    asked = sets.join(pairs.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
+    right = _with_sets(pairs.select("u", "v"), asked, "v", "u", "sv")
+    asked = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
+    return _with_sets(right, asked, "u", "v", "su").where(linked).select("u", "v")
+
+
+def _best(pairs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` likely pairs of each class; the others are left for later searches."""
+    ends = pairs.select(F.col("u").alias("node"), "u", "v", "far").unionByName(pairs.select(F.col("v").alias("node"), "u", "v", "far"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("far", "u", "v"))
+    return ends.withColumn("rank", rank).where(F.col("rank") <= most).select("u", "v").distinct()
 
 
 def _links(regions: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``u, v``: verified links that join all classes which links between regions' classes join."""
-    tested = scratch.keep(_neighbours(regions, percent))
+    tested = scratch.keep(_best(_neighbours(regions, percent), 2))
     links = scratch.keep(_verified(tested, sets, percent))
     state = scratch.keep(_state(links))
     hubs = _hubs(scratch.keep(_still_open(regions, state)), percent)
-    hubs = scratch.keep(hubs.join(tested, ["u", "v"], "left_anti"))
+    hubs = scratch.keep(_best(hubs.join(tested, ["u", "v"], "left_anti"), 2))
     tested = tested.unionByName(hubs)
     links = links.unionByName(scratch.keep(_verified(hubs, sets, percent)))
     state = scratch.keep(_state(links))
+    # What neighbours and hubs were not tried is among these pairs, too.
     rest = _rest(scratch.keep(_still_open(regions, state)), sets, percent, scratch)
-    rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"))
-    most = 4
+    rest, most = scratch.keep(rest.join(tested, ["u", "v"], "left_anti")), 4
     while not rest.isEmpty():
-        ends = rest.select(F.col("u").alias("node"), "u", "v", "far").unionByName(rest.select(F.col("v").alias("node"), "u", "v", "far"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("far", "u", "v"))
-        best = scratch.keep(ends.withColumn("rank", rank).where(F.col("rank") <= most).select("u", "v").distinct())
+        best = scratch.keep(_best(rest, most))
         links = links.unionByName(scratch.keep(_verified(best, sets, percent)))
         state = scratch.keep(_state(links))
-        rest = scratch.keep(_apart(rest.join(best, ["u", "v"], "left_anti"), state))
-        most *= 8
+        rest, most = scratch.keep(_apart(rest.join(best, ["u", "v"], "left_anti"), state)), most * 8
     return links
 
 
