@@ -22,15 +22,18 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """A cache of an encoder's results for chunks, emptied when it holds ``most`` keys, so that a
-    worker's memory stays bounded; what is emptied is encoded again."""
+    """A cache of an encoder's results for chunks. Texts are cut by slices, and a slice's new chunks
+    are encoded together. When more than ``most`` keys are held, those that only one slice had
+    go first, so a worker's memory stays bounded and frequent chunks stay; what is gone is
+    encoded again."""
 
     #: Characters of texts that are cut at a time.
-    SLICE = 500_000
+    SLICE = 2_000_000
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 200):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 350_000, longest: int = 200):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
+        self.once: set[str] = set()
 
     def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The joined results of each text's chunks, in order."""
@@ -45,12 +48,20 @@ class Memo(dict):
         yield from self._slice(waiting)
 
     def _slice(self, parts: list[list[str]]) -> Iterator[bytes]:
-        if len(self) > self.most:
-            self.clear()
-        new = [x for x in set(chain.from_iterable(parts)) if x not in self]
-        self.update(zip(new, self.encode(new)))
+        found = set(chain.from_iterable(parts))
+        new = found.difference(self.keys())
+        self.once.difference_update(found)
+        self.update(zip(new, self.encode(list(new))))
         for one in parts:
             yield b"".join(map(self.__getitem__, one))
+        self.once.update(new)
         for x in new:
             if len(x) > self.longest:
                 del self[x]
+                self.once.discard(x)
+        if len(self) > self.most:
+            for x in self.once:
+                del self[x]
+            self.once.clear()
+        if len(self) > self.most:
+            self.clear()

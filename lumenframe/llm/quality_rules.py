@@ -46,43 +46,42 @@ RULES = (
 )
 
 
+def _once(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` with further columns, made by a generator of one row. Filters and projections do
+    not move below a generator, so an expression is computed once for a row, whatever uses it."""
+    return docs.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def _measures(docs: DataFrame, text_col: str, **kept: Column) -> DataFrame:
     """The counts of each row, and the ``kept`` columns."""
     stop = sorted({w for x in STOP_WORDS.values() for w in x.split()})
-    text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""
-    one = docs.select(
-        *[c.alias(k) for k, c in kept.items()],
-        words(F.col(text_col)).alias("words"),
-        F.filter(F.split(text, "\n"), has_word).alias("lines"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-    )
+    rows = docs.select(*[c.alias(k) for k, c in kept.items()], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    one = _once(rows, words=words(F.col("t")), lines=F.filter(F.split("t", "\n"), has_word))
     at = lambda i: F.get(F.col("words"), i)
     window = lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("p"))
     spans = F.when(F.size("words") >= 3, F.sequence(F.lit(0), F.size("words") - 3)).otherwise(F.array().cast("array<int>"))
-    two = one.select(
-        *kept,
-        "n_symbols",
-        "word_chars",
-        F.size("words").cast("long").alias("n_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("lines", lambda x: x.endswith("...") | x.endswith("…"))).cast("long").alias("n_ellipsis_lines"),
-        F.size(F.filter("words", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
-        F.sort_array(F.transform(spans, window)).alias("windows"),
-    )
+    two = _once(
+        one,
+        n_symbols=(F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long"),
+        word_chars=F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long"),
+        n_words=F.size("words").cast("long"),
+        n_lines=F.size("lines").cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_ellipsis_lines=F.size(F.filter("lines", lambda x: x.endswith("...") | x.endswith("…"))).cast("long"),
+        n_stop_words=F.size(F.filter("words", lambda w: w.isin(stop))).cast("long"),
+        windows=F.sort_array(F.transform(spans, window)),
+    ).drop("t", "words", "lines")
     w = F.col("windows")
     twice = F.filter(w, lambda x, i: (x["h"] == F.get(w, i - 1)["h"]) | (x["h"] == F.get(w, i + 1)["h"]))
-    three = two.withColumn("at", F.sort_array(F.transform(twice, lambda x: x["p"]))).drop("windows")
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
     cover = F.aggregate(
-        "at",
+        F.sort_array(F.transform(twice, lambda x: x["p"])),
         start,
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
-    return three.withColumn("n_repeat_words", cover).withColumn("one", F.lit(1).cast("long")).drop("at")
+    return _once(two, n_repeat_words=cover, one=F.lit(1).cast("long")).drop("windows")
 
 
 def _passes(rule: Rule) -> Column:
@@ -111,6 +110,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns as they are."""
-    # A filter moves below projections that are deterministic, where it would repeat all counts.
-    judged = _judged(_measures(docs, text_col, row=F.struct("*")), rules).select("row", "kept", F.monotonically_increasing_id().alias("place"))
-    return judged.where((F.col("place") >= 0) & F.col("kept")).select("row.*")
+    return _judged(_measures(docs, text_col, row=F.struct("*")), rules).where("kept").select("row.*")

@@ -4,29 +4,36 @@ A shard holds the documents of one key range in ascending order. Data blocks com
 entry is the length of the key's prefix shared with the entry before, the rest of the key and the
 ids, so a block is read from its start. Then follow a sparse index (the first key, place, entries
 and ids of each block), a Bloom filter of all keys, and a footer that tells where they are. A
-lookup asks the filter, finds the block by binary search and reads that block alone.
+lookup asks the filter, finds the block by binary search and reads that block alone: a reader
+seeks, and never holds more than index, filter and one block.
 
-Shards are written by the tasks of one range-partitioned job, under a temporary name first; the
-manifest lists those of the attempts that succeeded, and readers take only files that it names.
+Shards are written by the tasks of one job that is partitioned by ranges of the id and, within
+equal ids, of a hash of the text, under a temporary name first; the manifest lists those of the
+attempts that succeeded, and readers take only files that it names.
 
 Defined results: a null text is an empty one, with the end id alone; rows with a null id come
-first, under a key of their own; rows that repeat an id each keep an entry; an empty table has no
-shards and gives an empty result; other columns are ignored, whatever their names.
+first, under a key of their own; rows that repeat an id each keep an entry, in the order of their
+text's hash and then of the text, and may run over several shards; an empty table has no shards
+and gives an empty result; other columns are ignored, whatever their names. Strings of the
+tokenizer's own special tokens become those tokens, as the library does by default.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +47,7 @@ BLOCK, SHARD = 64 << 10, 16 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
 _BLOCK = struct.Struct("<QIIQ")
-_MANIFEST = "shard string, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long"
+_MANIFEST = "shard string, part long, place long, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -122,33 +129,34 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Reads a shard's bytes."""
+    """Reads a shard through a file that can seek: anything with pyarrow's ``size`` and ``read_at``."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data).cast("B")
-        footer = _FOOTER.unpack(self.data[-_FOOTER.size :])
-        at, size, self.bloom_at, self.bloom_size, self.docs, self.tokens, self.width, magic = footer
+    def __init__(self, file: pa.NativeFile):
+        self.file, size = file, file.size()
+        footer = _FOOTER.unpack(file.read_at(_FOOTER.size, size - _FOOTER.size))
+        at, size, bloom_at, bloom_size, self.docs, self.tokens, self.width, magic = footer
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        self.keys, self.blocks = [], []
-        end = at + size
-        while at < end:
-            n = self.data[at]
-            self.keys.append(bytes(self.data[at + 1 : at + 1 + n]))
-            self.blocks.append(_BLOCK.unpack(self.data[at + 1 + n : at + 1 + n + _BLOCK.size]))
+        index, self.bloom = file.read_at(size, at), file.read_at(bloom_size, bloom_at)
+        self.keys, self.blocks, at = [], [], 0
+        while at < size:
+            n = index[at]
+            self.keys.append(index[at + 1 : at + 1 + n])
+            self.blocks.append(_BLOCK.unpack_from(index, at + 1 + n))
             at += 1 + n + _BLOCK.size
 
     def entries(self, block: int) -> Iterator[tuple[bytes, np.ndarray]]:
         """Keys and ids of one block."""
         at, size, _, _ = self.blocks[block]
-        end, key = at + size, b""
-        while at < end:
-            shared, at = _read_varint(self.data, at)
-            rest, at = _read_varint(self.data, at)
-            n, at = _read_varint(self.data, at)
-            key = key[:shared] + bytes(self.data[at : at + rest])
+        data = memoryview(self.file.read_at(size, at))
+        at, key = 0, b""
+        while at < size:
+            shared, at = _read_varint(data, at)
+            rest, at = _read_varint(data, at)
+            n, at = _read_varint(data, at)
+            key = key[:shared] + bytes(data[at : at + rest])
             at += rest
-            yield key, np.frombuffer(self.data[at : at + n * self.width], f"<u{self.width}")
+            yield key, np.frombuffer(data[at : at + n * self.width], f"<u{self.width}")
             at += n * self.width
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -158,8 +166,8 @@ class ShardReader:
     def may_hold(self, key: bytes) -> bool:
         h = xxhash.xxh3_64_intdigest(key)
         for k in range(BLOOM_PROBES):
-            bit = ((h >> 32) + k * (h & 0xFFFFFFFF | 1)) % (self.bloom_size * 8)
-            if not self.data[self.bloom_at + bit // 8] >> bit % 8 & 1:
+            bit = ((h >> 32) + k * (h & 0xFFFFFFFF | 1)) % (len(self.bloom) * 8)
+            if not self.bloom[bit // 8] >> bit % 8 & 1:
                 return False
         return True
 
@@ -178,34 +186,76 @@ class ShardReader:
         return found
 
 
-_READY: dict[str, Memo] = {}
+Encoder = Callable[[Iterable[str]], Iterator[bytes]]
+_READY: dict[str, Encoder] = {}
 
 
-def _encoder(tokenizer_path: str) -> Memo:
-    """Chunks to the bytes of their 32-bit ids, by the tokenizers library."""
+def _encoder(tokenizer_path: str) -> Encoder:
+    """Texts to the bytes of their 32-bit ids, by the tokenizers library."""
     if tokenizer_path not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
 
-        def encode(parts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        def encode(parts: list[str]) -> list[np.ndarray]:
+            return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-        _READY[tokenizer_path] = Memo(encode)
+        def texts(parts: Iterable[str]) -> Iterator[bytes]:
+            while some := list(islice(parts, 64)):
+                yield from (x.tobytes() for x in encode(some))
+
+        _READY[tokenizer_path] = Memo(_chunk_encoder(tokenizer, encode)).texts if _cuts_are_safe(tokenizer_path) else texts
     return _READY[tokenizer_path]
 
 
+def _cuts_are_safe(tokenizer_path: str) -> bool:
+    """Whether the tokenizer is a plain byte-level one, for which the cuts of ``chunks`` hold."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        made = json.load(f)
+    first = made.get("pre_tokenizer") or {}
+    plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    return bool(plain and not made.get("normalizer") and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in made["added_tokens"]))
+
+
+def _chunk_encoder(tokenizer, encode: Callable[[list[str]], list[np.ndarray]], together: int = 2000) -> Callable[[list[str]], list[bytes]]:
+    """Encodes chunks, ``together`` in one text: those that begin with a space and end with another
+    character meet at cuts again. Each id's number of bytes tells where a chunk ends."""
+    size = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    special = {x.content for x in tokenizer.get_added_tokens_decoder().values()}
+    for token, i in tokenizer.get_vocab().items():
+        size[i] = len(token.encode()) if token in special else len(token)  # one character stands for each byte
+
+    def run(parts: list[str]) -> list[bytes]:
+        done: list[bytes] = [b""] * len(parts)
+        plain = [i for i, x in enumerate(parts) if len(x) > 1 and x[0] == " " and not x[-1].isspace()]
+        kept = set(plain)
+        odd = [i for i in range(len(parts)) if i not in kept]
+        for i, ids in zip(odd, encode([parts[i] for i in odd])):
+            done[i] = ids.tobytes()
+        if plain:
+            joined = ["".join([parts[i] for i in plain[k : k + together]]) for k in range(0, len(plain), together)]
+            ids = np.concatenate(encode(joined))
+            ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(parts[i].encode()) for i in plain])) + 1
+            raw = ids.tobytes()
+            for i, a, b in zip(plain, [0, *(ends[:-1] * 4).tolist()], (ends * 4).tolist()):
+                done[i] = raw[a:b]
+        return done
+
+    return run
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends ``end_id`` and writes shards below ``out_dir``. Returns the
-    manifest, which is stored beside them: ``shard, first_id, last_id, n_docs, n_tokens, n_bytes,
-    start``, where ``start`` counts the ids of all shards before."""
+    manifest, which is stored beside them: ``shard, part, place, first_id, last_id, n_docs, n_tokens,
+    n_bytes, start``, where ``start`` counts the ids of all shards before. The part is the range
+    of keys that one task wrote, and the place the shard's among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _encoder(tokenizer_path)
+        texts_of = _encoder(tokenizer_path)
         fs, root = pafs.FileSystem.from_uri(out_dir)
         end = np.array([end_id], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
         shard, done = None, []
 
         def close() -> None:
@@ -213,11 +263,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
             size = writer.finish()
             stream.close()
             fs.move(f"{root}/_{name}", f"{root}/{name}")
-            done.append((name, first, last, writer.docs, writer.tokens, size))
+            done.append((name, part, len(done), first, last, writer.docs, writer.tokens, size))
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.texts(t or "" for t in texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts_of(t or "" for t in texts)):
                 if shard and shard[0].at >= SHARD:
                     close()
                     shard = None
@@ -230,15 +280,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
                 shard[4] = doc_id
         if shard:
             close()
-        columns = [pa.array(list(c), t) for c, t in zip(zip(*done) if done else [[]] * 6, [pa.string()] + [pa.int64()] * 5)]
-        yield pa.RecordBatch.from_arrays(columns, ["shard", "first_id", "last_id", "n_docs", "n_tokens", "n_bytes"])
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*done) if done else [[]] * 8, [pa.string()] + [pa.int64()] * 7)]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "place", "first_id", "last_id", "n_docs", "n_tokens", "n_bytes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    order = [F.col("doc_id").asc_nulls_first(), "hash"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     shards = cut(rows.mapInArrow(run, _MANIFEST))
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "shard")
-    before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    manifest = shards.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+    # Ids before a partition's shards, one row for each partition, and before a shard in its partition.
+    ahead = lambda order, by: F.coalesce(F.sum(by).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", ahead(Window.orderBy("part"), "n").alias("_before"))
+    own = shards.withColumn("_own", ahead(Window.partitionBy("part").orderBy("place"), "n_tokens"))
+    manifest = own.join(F.broadcast(parts), "part").withColumn("start", (F.col("_before") + F.col("_own")).cast("long")).drop("_before", "_own")
     manifest.write.parquet(f"{out_dir}/_manifest")
     return docs.sparkSession.read.parquet(f"{out_dir}/_manifest")
 
@@ -248,20 +301,21 @@ def read_tokens(spark: SparkSession, out_dir: str) -> DataFrame:
     ids_crc32, shard``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(out_dir)
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at, rows = 0, []
-                for key, ids in ShardReader(content.as_buffer()):
-                    rows.append((shard, id_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    at += len(ids)
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.string()] + [pa.int64()] * 4)]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    manifest = spark.read.parquet(f"{out_dir}/_manifest").select("shard", F.col("start").alias("_before"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").option("recursiveFileLookup", "true").load(out_dir)
-    files = files.select(F.substring_index("path", "/", -1).alias("shard"), "content")
-    entries = files.mapInArrow(run, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return entries.join(manifest, "shard").select("doc_id", (F.col("_before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
+            for shard, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_input_file(f"{root}/{shard}") as file:
+                    reader = ShardReader(file)
+                    for block in range(len(reader.blocks)):
+                        rows = []
+                        for key, ids in reader.entries(block):
+                            rows.append((id_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), shard))
+                            at += len(ids)
+                        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()])]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+
+    manifest = spark.read.parquet(f"{out_dir}/_manifest").select("shard", "start")
+    return manifest.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
