@@ -308,7 +308,7 @@ def _encoder(ranks_path: str, pattern: str):
                 del known[w]
         return out
 
-    return machine, Memo(encode)
+    return machine, Memo(encode, most=400_000)
 
 
 _READY: dict[tuple[str, str], tuple[Transducer, Memo]] = {}

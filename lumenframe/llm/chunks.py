@@ -21,7 +21,7 @@ def chunks(text: str) -> list[str]:
     return [first, *rest] if first else rest
 
 
-class Memo(dict):
+class Memo:
     """A cache of an encoder's results for chunks. Texts are cut by slices, and a slice's new chunks
     are encoded together. When more than ``most`` keys are held, those that only one slice had
     go first, so a worker's memory stays bounded and frequent chunks stay; what is gone is
@@ -30,9 +30,9 @@ class Memo(dict):
     #: Characters of texts that are cut at a time.
     SLICE = 2_000_000
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 350_000, longest: int = 200):
-        super().__init__()
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 600_000, longest: int = 200):
         self.encode, self.most, self.longest = encode, most, longest
+        self.held: dict[str, bytes] = {}
         self.once: set[str] = set()
 
     def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -48,20 +48,20 @@ class Memo(dict):
         yield from self._slice(waiting)
 
     def _slice(self, parts: list[list[str]]) -> Iterator[bytes]:
-        found = set(chain.from_iterable(parts))
-        new = found.difference(self.keys())
+        held, found = self.held, set(chain.from_iterable(parts))
+        new = list(found.difference(held))
         self.once.difference_update(found)
-        self.update(zip(new, self.encode(list(new))))
+        held.update(zip(new, self.encode(new)))
         for one in parts:
-            yield b"".join(map(self.__getitem__, one))
+            yield b"".join(map(held.__getitem__, one))
         self.once.update(new)
         for x in new:
             if len(x) > self.longest:
-                del self[x]
+                del held[x]
                 self.once.discard(x)
-        if len(self) > self.most:
+        if len(held) > self.most:
             for x in self.once:
-                del self[x]
+                del held[x]
             self.once.clear()
-        if len(self) > self.most:
-            self.clear()
+        if len(held) > self.most:
+            held.clear()

@@ -218,7 +218,7 @@ def _cuts_are_safe(tokenizer_path: str) -> bool:
     return bool(plain and not made.get("normalizer") and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in made["added_tokens"]))
 
 
-def _chunk_encoder(tokenizer, encode: Callable[[list[str]], list[np.ndarray]], together: int = 2000) -> Callable[[list[str]], list[bytes]]:
+def _chunk_encoder(tokenizer, encode: Callable[[list[str]], list[np.ndarray]], together: int = 200) -> Callable[[list[str]], list[bytes]]:
     """Encodes chunks, ``together`` in one text: those that begin with a space and end with another
     character meet at cuts again. Each id's number of bytes tells where a chunk ends."""
     size = np.zeros(tokenizer.get_vocab_size(), np.int64)
@@ -315,7 +315,7 @@ def read_tokens(spark: SparkSession, out_dir: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     manifest = spark.read.parquet(f"{out_dir}/_manifest").select("shard", "start")
-    return manifest.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return manifest.repartition(max(1, min(manifest.count(), 10_000)), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
