@@ -344,15 +344,35 @@ def test_kneser_ney(spark, prose):
     assert perplexities(docs, trusted).count() == 71
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = {"▁": -1.0, "a": -2.0, "b": -2.5, "ab": -1.5, "▁a": -1.2, "bab": -3.0}
-    lattice = Lattice(pieces, [-9.0] * 256)
-
-    def total(t):
-        return 1.0 if not t else sum(np.exp(w) * total(t[j:]) for j, w, _ in lattice.from_(t, 0))
-
-    for w in ("ab", "abab", "ac", "é", ""):
-        assert lattice.log_marginal(w) == pytest.approx(np.log(total("▁" + w)))
+def test_lattice_sums_all_segmentations(monkeypatch):
+    """Marginals and expected counts equal those of all segmentations, one by one."""
+    weights = {"▁": -1.0, "a": -2.0, "b": -2.5, "ab": -1.5, "▁a": -1.2, "bab": -3.0, "c": -4.0, "cde": -2.0} | {f"<0x{b:02X}>": -9.0 - b / 100 for b in range(256)}
+    pieces, w = list(weights), np.array(list(weights.values()))
+    lattice = Lattice(pieces)
+
+    def ways(t):
+        if not t:
+            yield []
+        for n in range(1, len(t) + 1):
+            if t[:n] in weights:
+                yield from ([t[:n], *x] for x in ways(t[n:]))
+        if t and t[0] not in weights:
+            yield from ([f"<0x{b:02X}>" for b in t[0].encode()] + x for x in ways(t[1:]))
+
+    words, counts = ["ab", "abab", "ac", "é", "", "acdeb😀", "bababba", "d"], np.array([1.0, 2, 3, 4, 5, 6, 7, 8])
+    want, expected = [], np.zeros(len(pieces))
+    for word, c in zip(words, counts):
+        all_ways = list(ways("▁" + word))
+        p = np.exp([sum(weights[x] for x in one) for one in all_ways])
+        want.append(np.log(p.sum()))
+        for one, share in zip(all_ways, p / p.sum()):
+            for x in one:
+                expected[pieces.index(x)] += share * c
+    for cells in (1, 10, 1000):  # alone, in small batches, together
+        monkeypatch.setattr("lumenframe.llm.lattice.CELLS", cells)
+        got = np.zeros(len(pieces))
+        assert lattice.log_marginals(words, w, counts, got) == pytest.approx(want)
+        assert got == pytest.approx(expected) and lattice.log_marginals(words, w) == pytest.approx(want)
 
 
 def test_lattice_scores(spark, odd):
