@@ -315,14 +315,72 @@ def test_runs_merge_across_partitions_and_arrivals(spark, tmp_path):
     assert table.runs().count() == 4 and compact(table) and table.runs().count() == 1 and table.rows().count() == 800
 
 
-def test_thresholds_cover_all_trusted_rows(spark, prose):
-    """Rows that the model was not trained on count for their language's threshold."""
-    rows = [(i, " ".join(prose(30)) + " zq" * (i % 2 * 20), ("en", "fr")[i % 2]) for i in range(80)]
-    labels = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+def test_thresholds_cover_all_unseen_trusted_rows(spark, prose):
+    """Trusted rows that the model was not trained on set their language's threshold, and no others."""
+    rows = [(i, " ".join(prose(30)) + " zq" * (i % 2 * 20), ("en", "fr")[i % 2]) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
     found = quality_by_perplexity(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, most=20).collect()
+    order = {r.doc_id: r.h for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    trained = set(sorted([i for i in order if order[i] % 5], key=lambda i: order[i])[:20])
     for lang in ("en", "fr"):
-        own = [r for r in found if r.lang == lang]
-        assert {r.threshold for r in own} == {max(r.perplexity for r in own) * 1.1}
+        unseen = [r.perplexity for r in found if r.lang == lang and r.doc_id in order and r.doc_id not in trained]
+        assert len(unseen) >= 30 and {r.threshold for r in found if r.lang == lang} == {max(unseen)}
+
+
+def _plain_kneser_ney(texts):
+    """log10 of the probability of a character after three others, by counting in dictionaries."""
+    from collections import Counter
+
+    runs = ["\x02\x02\x02" + t + "\x03" for t in texts]
+    counts = {4: Counter(r[i : i + 4] for r in runs for i in range(len(r) - 3))}
+    for k in (3, 2, 1):
+        raw, kinds = Counter(), Counter()
+        for g, c in counts[k + 1].items():
+            raw[g[1:]] += c
+            kinds[g[1:]] += 1
+        counts[k] = {g: raw[g] if g[0] == "\x02" else kinds[g] for g in raw}
+    cuts = {}
+    for k, table in counts.items():
+        n = [sum(c == x for c in table.values()) for x in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        full = n[0] and n[1] and n[2]
+        ends = (1.0, 2.0, 3.0)
+        cuts[k] = [min(max(x + 1 - (x + 2) * y * n[x + 1] / n[x], 0.05), ends[x]) for x in range(3)] if full else [0.5, 0.75, 0.9]
+
+    def probability(history, x):
+        p = 1 / (len(counts[1]) + 1)
+        for k in (1, 2, 3, 4):
+            context = history[len(history) - k + 1 :] if k > 1 else ""
+            after = {g: c for g, c in counts[k].items() if g[:-1] == context}
+            if after:
+                cut = lambda c: cuts[k][min(c, 3) - 1]
+                c = after.get(context + x, 0)
+                p = ((max(c - cut(c), 0) if c else 0) + sum(map(cut, after.values())) * p) / sum(after.values())
+        return p
+
+    return probability
+
+
+def test_kneser_ney_equals_counting(spark, prose):
+    from lumenframe.llm.kneser_ney import probabilities
+
+    texts = [" ".join(prose(25)) for _ in range(30)] + ["abracadabra", "abba cab", ""]
+    plain = _plain_kneser_ney(texts)
+    rnd, asked = random.Random(8), []
+    runs = ["\x02\x02\x02" + t + "\x03" for t in texts]
+    for _ in range(150):
+        r = rnd.choice(runs)
+        i = rnd.randrange(len(r) - 3)
+        asked.append(r[i : i + 3] + rnd.choice([r[i + 3], "q", "e"]))
+    asked = sorted({*asked, "\x02\x02\x02a", "\x02\x02ab", "zzza", "xyz\x03"})
+    code = {int.from_bytes(g.encode("utf-16-be"), "big"): g for g in asked}
+    found = probabilities(spark.createDataFrame([(c,) for c in code], "gram long"), spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {code[r.gram]: pytest.approx(r.lp) for r in found} == {g: np.log10(plain(g[:3], g[3])) for g in asked}
+    rows = spark.createDataFrame([(1, "Abba \x02 cab", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.log10_prob for r in perplexities(rows, spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    run = "\x02\x02\x02abba \ufffd cab\x03"
+    assert got[1] == pytest.approx(sum(np.log10(plain(run[i : i + 3], run[i + 3])) for i in range(len(run) - 3)))
+    assert got[2] == pytest.approx(np.log10(plain("\x02\x02\x02", "\x03")))
 
 
 def test_kneser_ney(spark, prose):
