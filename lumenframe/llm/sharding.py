@@ -2,22 +2,26 @@
 
 Arrivals are appended as small immutable Parquet shards. Runs are tiered by the logarithm of
 their size; where a tier holds ``FAN`` runs or more, neighbouring runs are merged into files of
-about the target size. Merges are one Spark job for all tiers: each run is looked up in the plan,
-a table of runs, and rows are dealt to their merged run. Every step writes new files only and
-then commits a manifest: a new version under a temporary name, renamed into place, which fails if
-that version exists. A reader takes the files of the newest version, so it sees a step whole or
-not at all, and a failed job leaves the last version as it was. Folders of which nothing is live
-any more are deleted after the commit, so older versions keep their run tables and lose data.
+about the target size. The merges of all tiers are Spark jobs of at most ``WAVE`` files each: every run
+is looked up in the plan, a table of runs, and rows are dealt to their merged run, one task and one
+file for each. Every step writes new files only and then commits a manifest: a new version, written
+beside the others under a temporary name and renamed into place, which fails if that version exists
+(the file system's rename must not replace files, as HDFS's does not). A reader takes the files of
+the newest version, or of any it asks for, so it sees a step whole or not at all, and a failed job
+leaves the last version as it was. Old versions keep their data until ``expire`` is called.
+
+Rows are stored as one struct beside the number of their run, so no column name can clash.
 
 Defined results: null texts count as 0 bytes and are kept; null ids arrive as any others; rows
 that repeat are kept as often; an empty table gives a manifest without runs; extra columns travel
-along, whatever their names, but for the engine's own ``_run``, which is refused.
+along, whatever their names, but for ``_run``, which names the run in what is read, and is refused.
 """
 
 from __future__ import annotations
 
 import json
-import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import cut, new_dir
 
 #: Rows of an arriving shard (a power of two); bytes of text in a merged file; runs that make a
-#: tier worth merging.
-ARRIVAL, TARGET, FAN = 512, 16 << 20, 4
+#: tier worth merging; merged files of one job.
+ARRIVAL, TARGET, FAN, WAVE = 512, 64 << 20, 4, 10_000
+#: The run of a row, in what is read.
 RUN = "_run"
 
 
@@ -42,11 +47,15 @@ class Table:
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
+        return max(self.versions(), default=0)
+
+    def versions(self) -> list[int]:
+        """All committed versions that are not expired, in order."""
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/manifest"))]
-        return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
-        """``{"version", "levels": [folders], "runs": folder of the run table}``."""
+        """``{"version", "parts": folders of data, "runs": folder of the run table}``."""
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "parts": [], "runs": None}
@@ -55,30 +64,45 @@ class Table:
 
     def commit(self, parts: list[str], runs: str, version: int) -> None:
         """Makes ``version`` visible, or fails if another writer made it first."""
-        stream = self._fs.create(self._path(temporary := f"{new_dir(self.spark, 'manifest')}.json"), True)
+        temporary = self._path(f"{self.root}/manifest/_{uuid.uuid4().hex}")
+        stream = self._fs.create(temporary, False)
         stream.write(bytearray(json.dumps({"version": version, "parts": parts, "runs": runs}).encode()))
         stream.close()
         target = self._path(f"{self.root}/manifest/v{version:09d}.json")
-        if self._fs.exists(target) or not self._fs.rename(self._path(temporary), target):
+        if self._fs.exists(target) or not self._fs.rename(temporary, target):
+            self._fs.delete(temporary, False)
             raise RuntimeError(f"version {version} was committed by another writer")
 
-    def remove(self, folder: str) -> None:
-        """Deletes a folder of data that the newest version does not name."""
-        self._fs.delete(self._path(folder), True)
-
-    def runs(self) -> DataFrame:
+    def expire(self, older_than: int) -> list[str]:
+        """Forgets the versions before ``older_than`` and deletes the folders that only they name."""
+        old = [self.manifest(v) for v in self.versions() if v < min(older_than, self.version())]
+        live = {p for v in self.versions() if v >= older_than or v == self.version() for p in [*self.manifest(v)["parts"], self.manifest(v)["runs"]]}
+        gone = sorted({p for m in old for p in [*m["parts"], m["runs"]]} - live)
+        for m in old:
+            self._fs.delete(self._path(f"{self.root}/manifest/v{m['version']:09d}.json"), False)
+        for p in gone:
+            self._fs.delete(self._path(p), True)
+        return gone
+
+    def runs(self, version: int | None = None) -> DataFrame:
         """``run, part, tier, n_rows, n_bytes``: live runs and the folder that holds each."""
-        return self.spark.read.parquet(self.manifest()["runs"])
-
-    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.manifest(version)["runs"])
+
+    def stored(self, version: int | None = None) -> DataFrame:
+        """``run, row``: the live rows as structs. Folders of which all runs are live are read as they are."""
+        found, runs = self.manifest(version), self.runs(version)
+        held = {r["part"]: r["n"] for r in runs.groupBy("part").agg(F.sum("n_rows").alias("n")).collect()}  # one row for each folder
+        parts = []
+        for p in found["parts"]:
+            part = self.spark.read.parquet(p)
+            if part.count() != held.get(p, 0):
+                part = part.join(runs.where(F.col("part") == p).select("run"), "run", "left_semi")
+            parts.append(part)
+        return reduce(DataFrame.unionByName, parts)
+
+    def rows(self, version: int | None = None) -> DataFrame:
         """The live rows, with their run."""
-        found = self.manifest()
-        live = self.runs().select(F.col("run").alias("_live"), F.col("part").alias("_part"))
-        parts = [self.spark.read.parquet(p).withColumn("_in", F.lit(p)) for p in found["parts"]]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return rows.join(live, (F.col(RUN) == F.col("_live")) & (F.col("_in") == F.col("_part")), "left_semi").drop("_in")
+        return self.stored(version).select("row.*", F.col("run").alias(RUN))
 
 
 def _tier(n_bytes: Column) -> Column:
@@ -87,12 +111,12 @@ def _tier(n_bytes: Column) -> Column:
 
 
 def _write(table: Table, rows: DataFrame, text_col: str, per_file: int = 0) -> tuple[str, DataFrame]:
-    """Writes rows with their run, at most ``per_file`` to a file, and returns the folder and its
+    """Writes ``run, row``, at most ``per_file`` rows to a file, and returns the folder and its
     run table."""
-    part = f"{table.root}/data/{new_dir(table.spark, 'part').rsplit('/', 1)[1]}"
-    rows.write.option("maxRecordsPerFile", per_file).parquet(part)
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    runs = table.spark.read.parquet(part).groupBy(F.col(RUN).alias("run")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
+    part = f"{table.root}/data/{uuid.uuid4().hex}"
+    rows.write.option("maxRecordsPerFile", per_file).option("compression", "zstd").parquet(part)
+    size = F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)).cast("long")
+    runs = table.spark.read.parquet(part).groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
     return part, runs.select("run", F.lit(part).alias("part"), _tier(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes")
 
 
@@ -100,26 +124,22 @@ def append(table: Table, rows: DataFrame, text_col: str = "text", arrival: int =
     """Appends rows as they arrive, without a shuffle, in shards of ``arrival`` rows: each file
     that a task writes is one run. Then commits."""
     if RUN in rows.columns:
-        raise ValueError(f"{RUN} is the engine's own column")
+        raise ValueError(f"{RUN} names the run in what is read")
     before = table.manifest()
     first = 0
     if before["runs"]:
         first = (table.runs().agg(F.max("run")).first()[0] or 0) + 1
     run = F.shiftright(F.monotonically_increasing_id(), arrival.bit_length() - 1) + first
-    part, runs = _write(table, rows.withColumn(RUN, run), text_col, arrival)
+    part, runs = _write(table, rows.select(run.alias("run"), F.struct("*").alias("row")), text_col, arrival)
     all_runs = runs if not before["runs"] else table.runs().unionByName(runs)
     _commit(table, all_runs, [*before["parts"], part], before["version"] + 1)
 
 
 def _commit(table: Table, runs: DataFrame, parts: list[str], version: int) -> None:
-    path = f"{table.root}/runs/{new_dir(table.spark, 'runs').rsplit('/', 1)[1]}"
+    path = f"{table.root}/runs/{uuid.uuid4().hex}"
     runs.write.parquet(path)
-    live = {r["part"] for r in table.spark.read.parquet(path).select("part").distinct().collect()}
+    live = {r["part"] for r in table.spark.read.parquet(path).select("part").distinct().collect()}  # one row for each folder
     table.commit([p for p in parts if p in live], path, version)
-    # No run of the new version is in the other folders: their rows were merged.
-    for p in parts:
-        if p not in live:
-            table.remove(p)
 
 
 def plan(runs: DataFrame, target: int = TARGET, fan: int = FAN) -> DataFrame:
@@ -145,34 +165,34 @@ def plan(runs: DataFrame, target: int = TARGET, fan: int = FAN) -> DataFrame:
     return small.withColumn("into", F.min("run").over(Window.partitionBy("tier", "_slice", "_bin"))).select("run", "into")
 
 
-def compact(table: Table, text_col: str = "text", target: int = TARGET, fan: int = FAN) -> bool:
-    """Merges similarly sized runs once and commits; whether there was anything to merge."""
+def compact(table: Table, text_col: str = "text", target: int = TARGET, fan: int = FAN, wave: int = WAVE) -> bool:
+    """Merges similarly sized runs into at most ``wave`` files and commits; whether there was
+    anything to merge. What a wave leaves, the next one takes."""
     before = table.manifest()
     if not before["runs"]:
         return False
     runs = table.runs()
-    merges = plan(runs, target, fan)
-    shared = merges.groupBy("into").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("into")
-    merges = merges.join(shared, "into")
+    merges = cut(plan(runs, target, fan))
+    shared = merges.groupBy("into").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").orderBy("into").limit(wave).select("into")
+    shared = cut(shared.withColumn("task", (F.row_number().over(Window.orderBy("into")) - 1).cast("int")))  # at most ``wave`` rows
     n = shared.count()
     if not n:
         return False
+    merges = merges.join(F.broadcast(shared), "into")
     top = runs.agg(F.max("run")).first()[0] + 1
-    moved = table.rows().join(merges.select(F.col("run").alias("_from"), "into"), F.col(RUN) == F.col("_from"))
-    moved = moved.withColumn(RUN, F.col("into") + top).drop("_from", "into").repartition(n, F.col(RUN)).sortWithinPartitions(RUN)
-    part, merged = _write(table, moved, text_col)
+    moved = table.stored().join(merges, "run").select((F.col("into") + top).alias("run"), "row", "task")
+    part, merged = _write(table, moved.repartitionById(n, "task").select("run", "row"), text_col)
     kept = runs.join(merges.select("run"), "run", "left_anti").select(*merged.columns)
     _commit(table, kept.unionByName(merged), [*before["parts"], part], before["version"] + 1)
     return True
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arrivals: int = 2, rounds: int = 4) -> Table:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arrivals: int = 2) -> Table:
     """Appends ``docs`` in ``arrivals`` batches by a hash of the id, each followed by compaction
-    until nothing is left to merge or ``rounds`` are over."""
+    until nothing is left to merge."""
     table = Table(docs.sparkSession, new_dir(docs.sparkSession, "shards"))
     for k in range(arrivals):
         append(table, docs.where(F.pmod(F.xxhash64(id_col), F.lit(arrivals)) == k), text_col)
-        for _ in range(rounds):
-            if not compact(table, text_col):
-                break
+        while compact(table, text_col):
+            pass
     return table

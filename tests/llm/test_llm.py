@@ -296,11 +296,37 @@ def test_sharding(spark, odd, tmp_path):
     first = table.manifest()
     assert compact(table, target=512 << 10) and table.version() == 2
     assert table.runs().count() < before and table.rows().count() == 4000 and table.runs().agg(F.sum("n_rows")).first()[0] == 4000
-    assert table.manifest(1) == first
+    assert table.manifest(1) == first and table.rows(1).count() == 4000
     with pytest.raises(RuntimeError):
         table.commit([], "x", 2)
-    small = shard_documents(odd.drop("row"))
-    assert sorted(r.doc_id or 0 for r in small.rows().collect()) == sorted(i or 0 for i, *_ in ODD)
+    append(table, docs.limit(10), arrival=64)
+    assert table.rows().count() == 4010 and table.rows(2).count() == 4000 and table.versions() == [1, 2, 3]
+    assert table.expire(2) and table.versions() == [2, 3] and table.rows(2).count() == 4000 and table.rows().count() == 4010
+    assert not table.expire(2) and table.expire(99) and table.versions() == [3] and table.rows().count() == 4010
+    odd = odd.select("*", *[F.lit(1).alias(c) for c in ("run", "into", "task", "part", "_in", "_live", "_from", "tier")])
+    small = shard_documents(odd)
+    assert sorted(r.doc_id or 0 for r in small.rows().collect()) == sorted(i or 0 for i, *_ in ODD) and small.rows().columns == [*odd.columns, "_run"]
+    with pytest.raises(ValueError):
+        append(small, odd.withColumn("_run", F.lit(1)))
+
+
+def test_plan_equals_brute_force(spark):
+    from lumenframe.llm.sharding import plan
+
+    rnd = random.Random(6)
+    runs = [(i * 3, rnd.choice([0, 0, 1, 3]), rnd.randint(1, 400)) for i in range(2600)] + [(9000 + i, 7, 10) for i in range(3)] + [(9100 + i, 0, 5000) for i in range(9)]
+    rnd.shuffle(runs)
+    want = {}
+    for tier in {t for _, t, _ in runs}:
+        small = sorted((r, n) for r, t, n in runs if t == tier and n < 1000)
+        for at in range(0, len(small) if len(small) >= 4 else 0, 1000):
+            total, bins = 0, {}
+            for r, n in small[at : at + 1000]:
+                bins.setdefault(total // 1000, []).append(r)
+                total += n
+            want |= {r: b[0] for b in bins.values() for r in b}
+    table = spark.createDataFrame(runs, "run long, tier long, n_bytes long").repartition(3)
+    assert {r.run: r.into for r in plan(table, 1000, 4).collect()} == want
 
 
 def test_runs_merge_across_partitions_and_arrivals(spark, tmp_path):
