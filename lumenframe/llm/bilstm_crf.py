@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: Characters told apart: ASCII, then one for other letters, one for the rest and one for padding.
@@ -92,8 +92,11 @@ class Tagger:
         z = _lse(a[-1], 1)
         de = np.exp(a + b - z[None, :, None])
         dt = np.zeros_like(trans)
-        for i in range(1, t):
-            dt += np.exp(a[i - 1][:, :, None] + trans + (e[i] + b[i])[:, None, :] - z[:, None, None]).sum(axis=0)
+        # exp(a + trans + e + b - z) summed over windows and places, as one product scaled by each place's top.
+        ends = e[1:] + b[1:]
+        top_a, top_b = a[:-1].max(axis=2, keepdims=True), ends.max(axis=2, keepdims=True)
+        scale = np.exp(np.minimum(top_a + top_b - z[None, :, None], 60.0))
+        dt += np.tensordot(np.exp(a[:-1] - top_a) * scale, np.exp(ends - top_b), ((0, 1), (0, 1))) * np.exp(trans)
         gold = np.zeros(n, np.float64)
         rows = np.arange(n)
         for i in range(t):
@@ -101,11 +104,12 @@ class Tagger:
             de[i][rows, tags[:, i]] -= 1
             if i:
                 gold += trans[tags[:, i - 1], tags[:, i]]
-                np.add.at(dt, (tags[:, i - 1], tags[:, i]), -1)
+        dt -= np.bincount((tags[:, :-1] * TAGS + tags[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
         gold += first[tags[:, 0]]
         g = {"first": de[0].sum(axis=0), "trans": dt, "out_b": de.sum(axis=(0, 1)), "out": np.tensordot(both, de, ((0, 1), (0, 1)))}
         dboth = de @ p["out"].T
         g["emb"] = np.zeros_like(p["emb"])
+        one_hot = np.eye(SYMBOLS, dtype=np.float32)[ids]
         for d, kept, dh_all in (("l", kl, dboth[:, :, :h]), ("r", kr, dboth[:, :, h:])):
             gx, gh, gb = np.zeros((SYMBOLS, 4 * h), np.float32), np.zeros_like(p[f"{d}h"]), 0
             dh, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
@@ -114,7 +118,7 @@ class Tagger:
                 dc = dc + dh * gate[:, 2 * h :] * (1 - squashed**2)
                 dgate = np.concatenate([dc * new, dc * before, dh * squashed], axis=1) * gate * (1 - gate)
                 dz = np.concatenate([dgate, dc * gate[:, :h] * (1 - new**2)], axis=1)
-                np.add.at(gx, ids[:, i], dz)
+                gx += one_hot[:, i].T @ dz
                 gh += was.T @ dz
                 dh, dc = dz @ p[f"{d}h"].T, dc * gate[:, h : 2 * h]
             gb = gx.sum(axis=0)

@@ -2,14 +2,18 @@
 
 The base finds e-mail and IP addresses, card and phone numbers by pattern, and drops matches that
 fail their check. A bidirectional LSTM with a CRF is trained from labelled spans: base spans of at
-most ``most`` windows of the corpus, in the order of a hash, and generated ones in the same forms.
-It then tags overlapping windows of every text. Of a span seen by several windows, the reading
-farthest from a window's edge counts; spans are reconciled over the whole text in the order of
-that distance. A span that the tagger adds overlaps no base span, passes its kind's check and holds a digit or an
-``@``; windows without either can add nothing, so they need no decoding.
+most ``most`` windows of the corpus, in the order of a hash, and generated ones. The generated ones
+also hold what no base pattern takes: addresses with letters beyond ASCII or spaces about the sign,
+IPv6, cards with other marks, phones without a plus sign, and a fifth kind, ``secret``: keys and
+tokens. The tagger then reads overlapping windows of every text. Of a span seen by several windows,
+the reading farthest from a window's edge counts; spans are reconciled over the whole text in the
+order of that distance, then of start, kind and end. A span that the tagger adds overlaps no base
+span, holds a digit or an ``@`` and has its kind's form, which is wider than the base's; cards must
+pass Luhn. Windows without a digit or an ``@`` can add nothing, so they need no decoding.
 
 Defined results: a null text is an empty one, without spans; in masking a null text stays null;
-a null id is carried; rows that repeat are judged one by one; an empty table gives an empty
+a null id is carried; rows that repeat are judged one by one; of overlapping readings of one
+distance the earlier start stays, then the kind that is listed first, then the shorter one; an empty table gives an empty
 result; other columns are ignored here and kept as they are in masking.
 """
 
@@ -29,16 +33,17 @@ from lumenframe.llm.bilstm_crf import KINDS, Tagger, codes, spans_of
 #: Characters of a window, the step between windows, and windows decoded at once.
 WINDOW, STEP, BATCH = 96, 32, 512
 #: Labelled windows taken from the corpus, and generated ones.
-MOST, GENERATED = 1200, 1000
+MOST, GENERATED = 1000, 1600
+
+#: Kinds that the base has patterns for.
+BASE = KINDS[:4]
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A match cannot begin inside a run of digits that did not match from its start.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
-_NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 
 
 def luhn(digits: str) -> bool:
@@ -99,15 +104,27 @@ def windows_of(text: str) -> list[int]:
     return list(starts)
 
 
+#: The forms of added spans.
+_FORMS = {
+    "email": re.compile(r"[\w.%+-]+ ?@ ?[\w-]+( ?\. ?[\w-]+)*"),
+    "ip": re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}"),
+    "card": re.compile(r"[0-9]([ ./\u2013-]{0,2}[0-9])+"),
+    "phone": re.compile(r"\+?[0-9(][\x20()./0-9-]+[0-9]"),
+    "secret": re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{16,}"),
+}
+
+
 def _plausible(kind: int, s: str) -> bool:
-    if kind == 0:
-        local, _, domain = s.partition("@")
-        return bool(_LOCAL.fullmatch(local) and _DOMAIN.fullmatch(domain))
-    if kind == 1:
-        return bool(_IP.fullmatch(s)) and valid("ip", s)
-    if kind == 2:
-        return bool(_CARD.fullmatch(s)) and valid("card", s)
-    return bool(re.fullmatch(r"\+?[0-9(][\x20().0-9-]+[0-9]", s)) and valid("phone", s) and not re.search(r"[0-9]{9}", s)
+    """Whether an added span has its kind's form."""
+    name = KINDS[kind]
+    if not (_ANCHOR.search(s) and _FORMS[name].fullmatch(s)):
+        return False
+    if name == "card":
+        return 13 <= len(d := _digits(s)) <= 19 and luhn(d)
+    if name == "phone":
+        # A run of digits alone is some number.
+        return 7 <= len(_digits(s)) <= 15 and not re.search(r"[0-9]{8}", s)
+    return name != "ip" or ":" in s or valid("ip", s)
 
 
 def reconcile(text: str, base: list[tuple[int, int, int]], read: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -123,45 +140,58 @@ def reconcile(text: str, base: list[tuple[int, int, int]], read: list[tuple[int,
     return sorted(kept)
 
 
+def made_span(rng: np.random.Generator, kind: int, missed: bool) -> str:
+    """A made-up span; ``missed``: in a form that the base does not take."""
+    pick = lambda s, k: "".join(rng.choice(list(s), k))
+    lower, digit, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    name = KINDS[kind]
+    if name == "email":
+        local = f"{pick(lower, int(rng.integers(2, 9)))}{rng.choice(['.', '_', ''])}{pick(digit, int(rng.integers(0, 3)))}"
+        if missed and rng.random() < 0.5:
+            local += rng.choice(["é", "ñ", "ü", "ß"])
+            return f"{local}@{pick(lower, 5)}.{rng.choice(['org', 'net', 'es'])}"
+        sign = rng.choice([" @ ", " @"]) if missed else "@"
+        return f"{local}{sign}{pick(lower, 5)}{pick(digit, 1)}.{rng.choice(['example.com', 'org', 'net', 'co.uk'])}"
+    if name == "ip":
+        if missed:
+            return rng.choice(["2001:db8:", "fe80:", "fd00:"]) + ":".join(pick(hexa, int(rng.integers(1, 5))) for _ in range(int(rng.integers(3, 5))))
+        return ".".join(str(int(rng.integers(1, 255))) for _ in range(4))
+    if name == "card":
+        body = pick("3456", 1) + pick(digit, 14)
+        full = next(body + c for c in digit if luhn(body + c))
+        mark = rng.choice([".", "/", " - ", "  "]) if missed else rng.choice(["", "", " ", "-"])
+        return mark.join(full[i : i + 4] for i in range(0, 16, 4))
+    if name == "phone":
+        forms = ["(###) ###-####", "###-###-####", "0## ### ####", "###.###.####"] if missed else ["+1 (###) 555-####", "+## ### ### ###", "+1-###-###-####", "+49 ### #######"]
+        return "".join(pick(digit, 1) if c == "#" else c for c in rng.choice(forms))
+    return pick(hexa, 40) if rng.random() < 0.6 else rng.choice(["AKIA", "sk_live_", "ghp_"]) + pick(digit + lower + lower.upper(), int(rng.integers(20, 36)))
+
+
 def _generated(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Windows with labelled spans in the forms of the four kinds, between made-up words."""
+    """Windows with labelled spans of all kinds, between made-up words and numbers that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(rng.choice(list(s), k))
     lower, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
     def word() -> str:
         w = pick(lower + "éüñ", int(rng.integers(1, 10)))
-        return w.capitalize() if rng.random() < 0.2 else w
-
-    def card() -> str:
-        body = pick("3456", 1) + pick(digit, 14)
-        full = next(body + c for c in digit if luhn(body + c))
-        mark = rng.choice(["", "", " ", "-"])
-        return mark.join(full[i : i + 4] for i in range(0, 16, 4))
-
-    def phone() -> str:
-        form = rng.choice(["+1 (###) 555-####", "+## ### ### ###", "(###) ###-####", "###-###-####", "+1-###-###-####", "+49 ### #######"])
-        return "".join(pick(digit, 1) if c == "#" else c for c in form)
+        return w.capitalize() if rng.random() < 0.2 else w.upper() if rng.random() < 0.1 else w
 
-    make = [
-        lambda: f"{pick(lower, int(rng.integers(2, 9)))}{rng.choice(['.', '_', ''])}{pick(digit, int(rng.integers(0, 3)))}@{pick(lower, 5)}{pick(digit, 1)}.{rng.choice(['example.com', 'org', 'net', 'co.uk'])}",
-        lambda: ".".join(str(int(rng.integers(1, 255))) for _ in range(4)),
-        card,
-        phone,
-    ]
     out = []
     for _ in range(n):
         text, spans = word(), []
         while len(text) < WINDOW + 20:
             draw = rng.random()
-            text += rng.choice([" ", " ", " ", "\n", ", ", "### ", ". "])
+            text += rng.choice([" ", " ", " ", "\n", ", ", "### ", ". ", "$$$ "])
             if draw < 0.22:
-                kind = int(rng.integers(0, 4))
-                s = make[kind]()
+                kind = int(rng.integers(0, len(KINDS)))
+                if KINDS[kind] == "secret":
+                    text += rng.choice(['token = "', "TOKEN = \"", "api_key: ", "secret=", "password: "])
+                s = made_span(rng, kind, bool(rng.random() < 0.5))
                 spans.append((kind, len(text), len(text) + len(s)))
                 text += s
-            elif draw < 0.3:
-                text += rng.choice([pick(digit, int(rng.integers(1, 7))), f'token = "{pick(digit + "abcdef", 40)}"', f"{pick(digit, 2)}.{pick(digit, 2)}", f"{pick(digit, 4)}-{pick(digit, 2)}-{pick(digit, 2)}", f"@{word()}", f"$ {pick(digit, 3)}"])
+            elif draw < 0.32:
+                text += rng.choice([pick(digit, int(rng.integers(1, 7))), pick(digit, 16), f"{pick(digit, 2)}.{pick(digit, 2)}", f"{pick(digit, 4)}-{pick(digit, 2)}-{pick(digit, 2)}", f"@{word()}", f"$ {pick(digit, 3)}", f"BY-NC {pick(digit, 1)}.0", f"{pick(digit, 2)}:{pick(digit, 2)}"])
             else:
                 text += word()
         at = int(rng.integers(0, 20))
@@ -242,11 +272,11 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             rows = []
             for base, every in find_spans(tagger, [t or "" for t in batch.column(1).to_pylist()]):
-                counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]
+                counts = [sum(k == kind for k, _, _ in base) for kind in range(len(BASE))]
                 rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
