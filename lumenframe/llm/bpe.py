@@ -334,7 +334,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = _ready(ranks_path, pattern)
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
-            ids = list(memo.texts(t or "" for t in batch.column(1).to_pylist()))
+            ids = list(memo.texts(t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()))
             at = np.cumsum([0] + [len(x) // 4 for x in ids])
             column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "ids"])

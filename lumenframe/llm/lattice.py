@@ -24,6 +24,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -217,7 +218,7 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words), pa.array(n, pa.int64())], ["block", "word", "n"])
 
     now, found, ends = None, Counter(), 0
-    for batch in batches:
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
         for block, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             if block != now:
                 if now is not None:
@@ -250,7 +251,7 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, expected = Lattice(pieces), np.zeros(len(pieces))
-        for batch in batches:
+        for batch in (b.slice(k, 5000) for b in batches for k in range(0, b.num_rows, 5000)):
             lattice.log_marginals(batch.column(0).to_pylist(), first, batch.column(1).to_numpy().astype(float), expected)
         used = np.flatnonzero(expected)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(expected[used])], ["piece", "n"])
@@ -279,13 +280,15 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
         c = right.column("c").to_numpy()
         base, own, seen = np.log10(c + 1.0) - below, right.column("lp").to_numpy(), c > 0
         place = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), range(len(c))))
-        ids, at, sizes = left.column("doc_id"), [], []
-        for text in left.column("text").to_pylist():
-            words = _words(text) + [b""]
-            at.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
-            sizes.append(len(words))
-        flat, starts = np.concatenate(at or [np.empty(0, np.int64)]), np.cumsum([0, *sizes[:-1]])
-        sums = [np.add.reduceat(x[flat], starts) if sizes else np.empty(0) for x in (seen.astype(np.int64), base, own)]
+        ids, texts, sizes, sums = left.column("doc_id"), left.column("text"), [], []
+        for k in range(0, len(texts), 256):
+            split = [_words(t) + [b""] for t in texts.slice(k, 256).to_pylist()]
+            n = [len(x) for x in split]
+            flat = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, sum(n))
+            starts = np.cumsum([0, *n[:-1]])
+            sums.append([np.add.reduceat(x[flat], starts) for x in (seen.astype(np.int64), base, own)])
+            sizes += n
+        sums = [np.concatenate(x) for x in zip(*sums)] if sums else [np.empty(0)] * 3
         columns = [ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(sums[0], pa.int64())]
         columns += [pa.array(np.full(len(sizes), n_tokens)), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

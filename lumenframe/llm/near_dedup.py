@@ -133,15 +133,11 @@ def _regions(classes: DataFrame) -> DataFrame:
     )
 
 
-def _state(links: DataFrame) -> DataFrame:
-    """``node, component, degree`` of linked classes, as far as three steps along links show. A
-    component may still be named in parts, which costs comparisons and loses none."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    state = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"), "degree")
-    for _ in range(2):
-        far = both.join(state.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        state = state.join(far, F.col("node") == F.col("u")).select("node", F.least("component", "m").alias("component"), "degree")
-    return state
+def _state(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, component, degree`` of linked classes."""
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return scratch.keep(components(links, scratch).join(degree, "node"))
 
 
 def _every_deal(rows: DataFrame) -> DataFrame:
@@ -289,24 +285,25 @@ def _best(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def _links(regions: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``u, v``: verified links that join all classes which links between regions' classes join."""
+    """``node, component, degree`` by verified links, which join all classes that links between classes
+    of one region join."""
     tested = scratch.keep(_best(_neighbours(regions, percent), 2))
     links = scratch.keep(_verified(tested, sets, percent))
-    state = scratch.keep(_state(links))
+    state = _state(links, scratch)
     hubs = _hubs(scratch.keep(_still_open(regions, state)), percent)
     hubs = scratch.keep(_best(hubs.join(tested, ["u", "v"], "left_anti"), 2))
     tested = tested.unionByName(hubs)
     links = links.unionByName(scratch.keep(_verified(hubs, sets, percent)))
-    state = scratch.keep(_state(links))
+    state = _state(links, scratch)
     # What neighbours and hubs were not tried is among these pairs, too.
     rest = _rest(scratch.keep(_still_open(regions, state)), sets, percent, scratch)
     rest, most = scratch.keep(rest.join(tested, ["u", "v"], "left_anti")), 4
     while not rest.isEmpty():
         best = scratch.keep(_best(rest, most))
         links = links.unionByName(scratch.keep(_verified(best, sets, percent)))
-        state = scratch.keep(_state(links))
+        state = _state(links, scratch)
         rest, most = scratch.keep(_apart(rest.join(best, ["u", "v"], "left_anti"), state)), most * 8
-    return links
+    return state
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -330,13 +327,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = scratch.keep(texts.mapInArrow(_sets(width), "node long, shingles array<long>"))
     if sets.count() > asked.count():  # rows repeat both id and text
         sets = scratch.keep(sets.dropDuplicates(["node"]))
-    links = _links(regions, sets, percent, scratch)
-    joined = components(links, scratch)
-    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    joined = _links(regions, sets, percent, scratch)
     top = classes.select("node", "first_id").join(joined, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    top = joined.join(top, "component").select("node", "component_id")
-    known = classes.select(*key, "node", "first_id", "class_size").join(top, "node", "left").join(degree, "node", "left")
+    top = joined.join(top, "component").select("node", "component_id", "degree")
+    known = classes.select(*key, "node", "first_id", "class_size").join(top, "node", "left")
     known = known.select(*key, F.coalesce("component_id", "first_id").alias("_c"), "class_size", F.coalesce("degree", F.lit(0)).alias("n_links"))
     rows = base.select("doc_id", *key).withColumn("_alone", F.col("doc_id").isNull() | (F.col("n") == 0))
     linked = rows.where("not _alone").join(known, key).select("doc_id", "n", F.col("_c").alias("component_id"), "class_size", "n_links")

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, new_dir
+from lumenframe.llm.common import cut, new_dir, store
 
 #: Rows of an arriving shard (a power of two); bytes of text in a merged file; runs that make a
 #: tier worth merging; merged files of one job.
@@ -172,13 +172,14 @@ def compact(table: Table, text_col: str = "text", target: int = TARGET, fan: int
     if not before["runs"]:
         return False
     runs = table.runs()
-    merges = cut(plan(runs, target, fan))
+    merges = store(plan(runs, target, fan), "shard-plan")
     shared = merges.groupBy("into").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").orderBy("into").limit(wave).select("into")
-    shared = cut(shared.withColumn("task", (F.row_number().over(Window.orderBy("into")) - 1).cast("int")))  # at most ``wave`` rows
+    shared = store(shared.withColumn("task", (F.row_number().over(Window.orderBy("into")) - 1).cast("int")), "shard-wave")  # at most ``wave`` rows
     n = shared.count()
     if not n:
         return False
-    merges = merges.join(F.broadcast(shared), "into")
+    # A table of known size: small plans are broadcast, and larger ones shuffled.
+    merges = store(merges.join(F.broadcast(shared), "into"), "shard-merges")
     top = runs.agg(F.max("run")).first()[0] + 1
     moved = table.stored().join(merges, "run").select((F.col("into") + top).alias("run"), "row", "task")
     part, merged = _write(table, moved.repartitionById(n, "task").select("run", "row"), text_col)

@@ -186,12 +186,12 @@ class ShardReader:
         return found
 
 
-Encoder = Callable[[Iterable[str]], Iterator[bytes]]
+Encoder = Callable[[Iterable[bytes]], Iterator[bytes]]
 _READY: dict[str, Encoder] = {}
 
 
 def _encoder(tokenizer_path: str) -> Encoder:
-    """Texts to the bytes of their 32-bit ids, by the tokenizers library."""
+    """UTF-8 texts to the bytes of their 32-bit ids, by the tokenizers library."""
     if tokenizer_path not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -201,8 +201,9 @@ def _encoder(tokenizer_path: str) -> Encoder:
         def encode(parts: list[str]) -> list[np.ndarray]:
             return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-        def texts(parts: Iterable[str]) -> Iterator[bytes]:
-            while some := list(islice(parts, 64)):
+        def texts(parts: Iterable[bytes]) -> Iterator[bytes]:
+            parts = iter(parts)
+            while some := [x.decode() for x in islice(parts, 64)]:
                 yield from (x.tobytes() for x in encode(some))
 
         _READY[tokenizer_path] = Memo(_chunk_encoder(tokenizer, encode)).texts if _cuts_are_safe(tokenizer_path) else texts
@@ -266,8 +267,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
             done.append((name, part, len(done), first, last, writer.docs, writer.tokens, size))
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), texts_of(t or "" for t in texts)):
+            texts = batch.column(1).cast(pa.large_binary())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts_of(t.as_py() or b"" for t in texts)):
                 if shard and shard[0].at >= SHARD:
                     close()
                     shard = None
