@@ -133,11 +133,15 @@ def _regions(classes: DataFrame) -> DataFrame:
     )
 
 
-def _state(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, component, degree`` of linked classes."""
-    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return scratch.keep(components(links, scratch).join(degree, "node"))
+def _state(links: DataFrame) -> DataFrame:
+    """``node, component, degree`` of linked classes, as far as three steps along links show. A
+    component may still be named in parts, which costs comparisons and loses none."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    state = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"), "degree")
+    for _ in range(2):
+        far = both.join(state.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
+        state = state.join(far, F.col("node") == F.col("u")).select("node", F.least("component", "m").alias("component"), "degree")
+    return state
 
 
 def _every_deal(rows: DataFrame) -> DataFrame:
@@ -213,7 +217,8 @@ def _rarest(counts, percent: int):
 
 
 def _rest(open_rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """All pairs of classes of ``open_rows``, in different components, that the threshold may link.
+    """All pairs of classes of ``open_rows``, in different components, that the threshold may link:
+    ``u, v``, their components ``cu, cv``, and ``far``.
 
     The shorter set of a linked pair shares one of fewer first shingles than the longer one, for
     what both share is more of it. Rows of a frequent shingle are dealt out, and those of shorter
@@ -234,15 +239,20 @@ def _rest(open_rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     b = rows.select("shingle", F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"), me.alias("b"))
     ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     enough = F.least("a.ahead", "b.ahead") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    found = a.join(b, ["shingle", "deal"]).where((F.col("a.component") != F.col("b.component")) & ordered & enough & (_differ("a", "b") <= _most_differ(percent)))
-    return _likely(found, percent)
+    sizes = F.col("a.n") * 100 >= F.col("b.n") * percent
+    far = _differ("a", "b")
+    found = a.join(b, ["shingle", "deal"]).where((F.col("a.component") != F.col("b.component")) & ordered & enough & sizes & (far <= _most_differ(percent)))
+    first = F.col("a.node") < F.col("b.node")
+    pick = lambda x, name: F.when(first if x else ~first, F.col(f"a.{name}")).otherwise(F.col(f"b.{name}"))
+    return found.select(pick(1, "node").alias("u"), pick(0, "node").alias("v"), pick(1, "component").alias("cu"), pick(0, "component").alias("cv"), far.alias("far")).distinct()
 
 
-def _apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
-    """``pairs`` whose classes are in different components."""
-    for end in ("u", "v"):
-        pairs = pairs.join(state.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
-    return pairs.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v", "far")
+def _apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """``pairs`` whose components are still different ones after ``merged``."""
+    found = pairs
+    for end in ("cu", "cv"):
+        found = found.join(merged.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    return found.where(F.coalesce("_cu", "cu") != F.coalesce("_cv", "cv")).select(*pairs.columns)
 
 
 def _sifted(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -289,21 +299,32 @@ def _links(regions: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     of one region join."""
     tested = scratch.keep(_best(_neighbours(regions, percent), 2))
     links = scratch.keep(_verified(tested, sets, percent))
-    state = _state(links, scratch)
-    hubs = _hubs(scratch.keep(_still_open(regions, state)), percent)
+    hubs = _hubs(scratch.keep(_still_open(regions, _state(links))), percent)
     hubs = scratch.keep(_best(hubs.join(tested, ["u", "v"], "left_anti"), 2))
     tested = tested.unionByName(hubs)
     links = links.unionByName(scratch.keep(_verified(hubs, sets, percent)))
-    state = _state(links, scratch)
+    state = components(links, scratch)
     # What neighbours and hubs were not tried is among these pairs, too.
-    rest = _rest(scratch.keep(_still_open(regions, state)), sets, percent, scratch)
-    rest, most = scratch.keep(rest.join(tested, ["u", "v"], "left_anti")), 4
+    rest = _rest(scratch.keep(_still_open(regions, state.withColumn("degree", F.lit(0)))), sets, percent, scratch)
+    rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"))
+    most, seams, merged = 4, None, None
     while not rest.isEmpty():
         best = scratch.keep(_best(rest, most))
-        links = links.unionByName(scratch.keep(_verified(best, sets, percent)))
-        state = _state(links, scratch)
-        rest, most = scratch.keep(_apart(rest.join(best, ["u", "v"], "left_anti"), state)), most * 8
-    return state
+        new = scratch.keep(_verified(best, sets, percent))
+        rest, most, all_rest = rest.join(best, ["u", "v"], "left_anti"), most * 8, rest
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            seam = all_rest.join(new, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+            seams = scratch.keep((seam if seams is None else seams.unionByName(seam)).distinct())
+            merged = components(seams, scratch)  # of components, few as they are
+            rest = _apart(rest, merged)
+        rest = scratch.keep(rest)
+    if merged is not None:
+        alone = merged.join(state.select("node"), "node", "left_anti")
+        root = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        state = state.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionByName(alone)
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+    return state.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -327,7 +348,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = scratch.keep(texts.mapInArrow(_sets(width), "node long, shingles array<long>"))
     if sets.count() > asked.count():  # rows repeat both id and text
         sets = scratch.keep(sets.dropDuplicates(["node"]))
-    joined = _links(regions, sets, percent, scratch)
+    joined = scratch.keep(_links(regions, sets, percent, scratch))
     top = classes.select("node", "first_id").join(joined, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     top = joined.join(top, "component").select("node", "component_id", "degree")
     known = classes.select(*key, "node", "first_id", "class_size").join(top, "node", "left")
