@@ -67,6 +67,19 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sifted(rows: DataFrame, hashed: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_hit``: false only where ``hashed`` is not among ``keys``, a column of 64-bit
+    hashes. The keys set bits of 2048 bitmaps of 4 KB, which are broadcast: their size never grows, and
+    many keys let more rows through."""
+    place = lambda c: F.pmod(c, F.lit(1 << 26))
+    found = keys.toDF("_key").select(place(F.col("_key")).alias("_at"))
+    bits = found.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bitmap"))
+    byte = "conv(hex(substring(_bitmap, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10)"
+    hit = F.coalesce(F.expr(f"getbit(cast({byte} as bigint), cast(bitmap_bit_position(_at) % 8 as int))") == 1, F.lit(False))
+    joined = rows.withColumn("_at", place(hashed)).join(F.broadcast(bits), F.bitmap_bucket_number("_at") == F.col("_bucket"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], hit.alias("_hit"))
+
+
 def blocks(docs: DataFrame, rows: int = 2048) -> DataFrame:
     """``docs`` with ``block``: a number for each run of so many rows of a scanned partition. Two
     reads of one table give the same numbers; other inputs need a stored copy first."""

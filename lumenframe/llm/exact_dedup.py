@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import SPACE, cut, whole
+from lumenframe.llm.common import SPACE, cut, sifted, store, whole
 
 #: Digests with more than this share of the rows are split off; 1 / SUPPORT bounds the broadcast.
 SUPPORT = 0.001
@@ -58,7 +58,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns as they are."""
-    kept = exact_dedup(docs, id_col, text_col, support).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    found = exact_dedup(docs, id_col, text_col, support).where("group_size > 1")
+    # Rows are told apart by id and digest; one that stays may have repeats of both.
+    marks = found.groupBy(F.col("doc_id").alias("m_id"), F.col("text_sha256").alias("m_sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = store(marks.where("not stays or n > 1").select("m_id", "m_sha", "stays"), "exact-marks")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("sha"))
-    found = rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
-    return found.dropDuplicates(["id", "sha"]).select("row.*")
+    rows = sifted(rows, F.xxhash64("id", "sha"), marks.select(F.xxhash64("m_id", "m_sha")))
+    # Texts that no mark can concern take no part in the join.
+    asked = rows.where("_hit").join(marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("sha") == F.col("m_sha")), "left")
+    asked = asked.where(F.coalesce("stays", F.lit(True))).dropDuplicates(["id", "sha"])
+    return rows.where("not _hit").select("row.*").unionByName(asked.select("row.*"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Scratch, store
+from lumenframe.llm.common import Scratch, sifted, store
 from lumenframe.llm.components import components
 from lumenframe.llm.shingles import shingle_sets
 
@@ -255,17 +255,6 @@ def _apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
     return found.where(F.coalesce("_cu", "cu") != F.coalesce("_cv", "cv")).select(*pairs.columns)
 
 
-def _sifted(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``doc_id`` is not in ``ids``: the ids' hashes set bits
-    of 2048 bitmaps of 4 KB, a size that never grows, which are broadcast."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
-    bits = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-    byte = "conv(hex(substring(bitmap, cast(bitmap_bit_position(at) div 8 as int) + 1, 1)), 16, 10)"
-    hit = F.expr(f"getbit(cast({byte} as bigint), cast(bitmap_bit_position(at) % 8 as int))")
-    found = rows.withColumn("at", at).join(F.broadcast(bits), F.bitmap_bucket_number("at") == F.col("bucket"))
-    return found.where(hit == 1).select(*rows.columns)
-
-
 def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: str) -> DataFrame:
     """``pairs`` with the set of one end. A class of more than ``SPLIT`` pairs is dealt out."""
     own = sets.select(F.col("node").alias(end), F.col("shingles").alias(name))
@@ -344,7 +333,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     regions = scratch.keep(_regions(classes))
     # A repeated id may stand for several texts: only the one with the class's digest gives its set.
     asked = scratch.keep(regions.select("node").distinct().join(classes.select("node", "h1", F.col("first_id").alias("doc_id")), "node"))
-    texts = _sifted(plain, asked).join(asked, "doc_id").select("node", "text", "h1")
+    texts = sifted(plain, F.xxhash64("doc_id"), asked.select(F.xxhash64("doc_id"))).where("_hit").drop("_hit").join(asked, "doc_id").select("node", "text", "h1")
     sets = scratch.keep(texts.mapInArrow(_sets(width), "node long, shingles array<long>"))
     if sets.count() > asked.count():  # rows repeat both id and text
         sets = scratch.keep(sets.dropDuplicates(["node"]))
