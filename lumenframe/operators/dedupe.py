@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,22 @@ def exact_groups(photos: DataFrame) -> DataFrame:
     return ranked.withColumn("nth", F.row_number().over(w.orderBy(*keeper_order())))
 
 
+def simhash(docs: DataFrame, id_col: str, words: Column, bits: int = 60) -> DataFrame:
+    """``id, bits``: bit k is set if most words' digests set theirs. A row's words are summed where
+    they are; rows without words have no hash."""
+    digest = F.conv(F.substring(F.md5("w"), 1, bits // 4), 16, 10).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("id", "row", F.explode("words").alias("w")).select("id", "row", digest.alias("d"))
+    votes = [F.sum(F.shiftright("d", k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{k}") for k in range(bits)]
+    found = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(f"v{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(bits)])
+    return rows.groupBy("row", "id").agg(*votes).select("id", found.alias("bits"))
+
+
+def hash_classes(rows: DataFrame) -> DataFrame:
+    """``id, bits`` -> ``bits, rep, n``: one row for each hash, so that copies make no pairs."""
+    return rows.groupBy("bits").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+
+
 def hamming_pairs(rows: DataFrame, id_col: str, bits_col: str, most: int) -> DataFrame:
     """Pairs of 64-bit hashes at most ``most`` bits apart, exactly: of four 16-bit parts one must
     differ in at most ``most // 4`` bits, so each row is looked up under all such values."""

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.text import fold
+
 #: Frequent words by which languages are told apart.
 STOP_WORDS = {
     "en": "the of and to in is that it for was on with as be by this are from at",
@@ -25,7 +27,8 @@ def _among(terms: list[str]):
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Runs of letters and digits of any script in the folded text."""
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def stem(w: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators import dedupe, runs
+from lumenframe.functions import text
+from lumenframe.operators import dedupe, ranking, runs
+from lumenframe.operators.checkpoints import cut
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
 
@@ -37,23 +39,27 @@ def duplicates_summary(spark, d):
 
 
 def _hashed(spark, d):
-    """A 64-bit hash of each document: the first 16 hex digits of a digest of its first words."""
-    start = F.substring_index("text", " ", 6)
-    docs = table(spark, d, "documents")
-    head = F.conv(F.substring(F.md5(start), 1, 15), 16, 10).cast("long")
-    noise = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), 16, 10).cast("long")
-    return docs.select("doc_id", F.when(noise < 128, head).otherwise(head.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (noise % 60).cast("int")))).alias("bits"))
+    """The 60-bit SimHash of each whole text."""
+    return dedupe.simhash(table(spark, d, "documents"), "doc_id", ranking.tokens(F.col("text")))
 
 
-_HASHED_SQL = """h AS (SELECT doc_id, CAST(concat('0x', substr(md5(array_to_string(string_split(text, ' ')[1:6], ' ')), 1, 15)) AS BIGINT) AS head, CAST(concat('0x', substr(md5(CAST(doc_id AS STRING)), 1, 2)) AS BIGINT) AS noise FROM documents),
-hashed AS (SELECT doc_id, CASE WHEN noise < 128 THEN head ELSE xor(head, CAST(1 AS BIGINT) << (noise % 60)) END AS bits FROM h),
+_VOTES = ", ".join(f"sum(((d >> {k}) & 1) * 2 - 1) AS v{k}" for k in range(60))
+_BITS = " | ".join(f"CASE WHEN v{k} > 0 THEN CAST({1 << k} AS BIGINT) ELSE 0 END" for k in range(60))
+_HASHED_SQL = rf"""w AS (SELECT doc_id, CAST(concat('0x', substr(md5(unnest(regexp_extract_all(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[\p{{L}}\p{{N}}]+'))), 1, 15)) AS BIGINT) AS d FROM documents),
+votes AS (SELECT doc_id, {_VOTES} FROM w GROUP BY doc_id),
+hashed AS (SELECT doc_id, {_BITS} AS bits FROM votes),
 pairs AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, CAST(bit_count(xor(a.bits, b.bits)) AS BIGINT) AS distance FROM hashed a JOIN hashed b ON a.doc_id < b.doc_id AND bit_count(xor(a.bits, b.bits)) <= 6)"""
 
 
-@query("J08_hamming_join", f"WITH {_HASHED_SQL} SELECT id_a, id_b, distance FROM pairs")
+@query("J08_hamming_join", f"WITH {_HASHED_SQL}, kinds AS (SELECT DISTINCT bits FROM hashed), near AS (SELECT a.bits, CAST(count(*) - 1 AS BIGINT) AS n_links FROM kinds a JOIN kinds b ON bit_count(xor(a.bits, b.bits)) <= 6 GROUP BY a.bits) SELECT doc_id, min(doc_id) OVER (PARTITION BY bits) AS class_id, n_links FROM hashed JOIN near USING (bits)")
 def hamming_join(spark, d):
-    """Pairs of hashes at most six bits apart."""
-    return dedupe.hamming_pairs(_hashed(spark, d), "doc_id", "bits", 6)
+    """Each document's class of equal hashes, and the number of other hashes at most six bits apart."""
+    rows = cut(_hashed(spark, d))
+    kinds = dedupe.hash_classes(rows)
+    pairs = dedupe.hamming_pairs(kinds, "rep", "bits", 6)
+    ends = pairs.select(F.col("id_a").alias("rep")).unionByName(pairs.select(F.col("id_b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    known = kinds.join(ends, "rep", "left").select("bits", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(known, "bits").select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 @query(
@@ -62,14 +68,12 @@ def hamming_join(spark, d):
 )
 def near_groups(spark, d):
     """Components of near hashes, with the largest distance within each (chains may exceed six)."""
-    rows = _hashed(spark, d)
-    found = dedupe.components(dedupe.hamming_pairs(rows, "doc_id", "bits", 6), "id_a", "id_b")
-    members = found.join(rows.withColumnRenamed("doc_id", "node"), "node").select("component", "node", "bits")
-    other = members.select("component", F.col("node").alias("node_"), F.col("bits").alias("bits_")).distinct()
-    # Members with equal hashes count once, so a group of copies makes no pairs.
-    kinds = members.select("component", "bits").distinct()
-    apart = kinds.join(other.select("component", "bits_").distinct(), "component").groupBy("component").agg(F.max(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_")))).cast("long").alias("max_distance"))
-    return members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(apart, "component")
+    kinds = cut(dedupe.hash_classes(_hashed(spark, d)))
+    found = dedupe.components(dedupe.hamming_pairs(kinds, "rep", "bits", 6), "id_a", "id_b").select(F.col("node").alias("rep"), "component")
+    members = kinds.join(found, "rep", "left").where("component is not null or n > 1").select(F.coalesce("component", "rep").alias("component"), "bits", "n")
+    other = members.select("component", F.col("bits").alias("bits_"))
+    apart = members.join(other, "component").groupBy("component").agg(F.max(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_")))).cast("long").alias("max_distance"))
+    return members.groupBy("component").agg(F.sum("n").alias("n")).join(apart, "component")
 
 
 @query(
