@@ -357,5 +357,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each near-duplicate group, all its columns as they are."""
     verdict = near_groups(docs, id_col, text_col, width, percent).where("doc_id is not null")
     gone = verdict.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias("gone"))
+    gone = store(gone, "near-gone")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
-    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    # Texts whose id no verdict can concern take no part in the join.
+    rows = sifted(rows, F.xxhash64("id"), gone.select(F.xxhash64("gone")))
+    asked = rows.where("_hit").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return rows.where("not _hit").select("row.*").unionByName(asked.select("row.*"))
