@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``; where that is unset, as in tests, in a new
-    temporary folder."""
+    """``df`` checkpointed in ``spark.checkpoint.dir``; where that is unset, in a new
+    temporary folder on one machine, and an error on a cluster."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lumenframe-"))
     return df.checkpoint(eager=True)

@@ -55,3 +55,17 @@ def guarded_update(rows: DataFrame, changes: DataFrame, id_col: str) -> DataFram
     hit = F.col("expected") == F.col("revision")
     rows = rows.join(c, id_col, "left")
     return rows.select(id_col, F.when(hit, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), F.when(hit, F.col("_value")).otherwise(F.col("value")).alias("value"), F.coalesce(hit, F.lit(False)).alias("changed"))
+
+
+def group_stacks(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """``id, stack, place`` after grouping. ``members``: ``id, stack, pos``; ``asked``: ``id, into, pos``,
+    where ``into`` names the new stack and a stack is touched by one of them at most. The asked records come
+    first, then the others of the stacks they were in; a stack of one record is none."""
+    touched = asked.select("id", "into").join(members.select("id", "stack"), "id").select("into", "stack").distinct()
+    rest = members.join(touched, "stack").join(asked.select("id"), "id", "left_anti")
+    kept = members.join(touched.select("stack"), "stack", "left_anti").join(asked.select("id"), "id", "left_anti")
+    rows = asked.select("id", F.col("into").alias("stack"), F.lit(0).alias("_later"), "pos")
+    rows = rows.union(rest.select("id", "into", F.lit(1), "pos")).union(kept.select("id", "stack", F.lit(1), "pos"))
+    own = Window.partitionBy("stack")
+    placed = rows.withColumn("place", F.row_number().over(own.orderBy("_later", "pos", "id"))).withColumn("_n", F.count(F.lit(1)).over(own))
+    return placed.where("_n >= 2").select("id", "stack", "place")

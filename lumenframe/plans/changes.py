@@ -119,3 +119,12 @@ def windows(spark, d):
 @query("G09_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", CAST(count(*) AS BIGINT) AS n FROM r GROUP BY user_id, s")
 def sessions(spark, d):
     return stream.sessions(table(spark, d, "events"))
+
+
+@query("M05_group_stacks", "WITH m AS (SELECT o_orderkey AS id, o_custkey AS stack, o_orderkey % 100 AS pos FROM orders WHERE o_orderkey % 5 < 2), a AS (SELECT o_orderkey AS id, -o_custkey AS r FROM orders WHERE o_orderkey % 7 = 0), t AS (SELECT DISTINCT r, stack FROM a JOIN m USING (id)), n AS (SELECT id, r, 0 AS later, id AS pos FROM a UNION ALL SELECT m.id, t.r, 1, m.pos FROM m JOIN t USING (stack) WHERE m.id NOT IN (SELECT id FROM a) UNION ALL SELECT id, stack, 1, pos FROM m WHERE stack NOT IN (SELECT stack FROM t)), k AS (SELECT id, r AS stack, CAST(row_number() OVER (PARTITION BY r ORDER BY later, pos, id) AS INT) AS place, count(*) OVER (PARTITION BY r) AS c FROM n) SELECT id, stack, place FROM k WHERE c >= 2")
+def group_stacks(spark, d):
+    """Some records of each customer made one stack, with what shared their stacks before."""
+    o = table(spark, d, "orders")
+    members = o.where("o_orderkey % 5 < 2").selectExpr("o_orderkey AS id", "CAST(o_custkey AS BIGINT) AS stack", "o_orderkey % 100 AS pos")
+    asked = o.where("o_orderkey % 7 = 0").selectExpr("o_orderkey AS id", "CAST(-o_custkey AS BIGINT) AS into", "o_orderkey AS pos")
+    return mutations.group_stacks(members, asked)
