@@ -19,6 +19,7 @@ from lumenframe.llm.quality_rules import quality_rules
 from lumenframe.llm.sharding import shard_documents
 from lumenframe.llm.sstable import token_shards
 from lumenframe.llm.sql import ORACLE_SQL
+from lumenframe.llm.vector_codes import compress_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,11 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), is_table=True)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code and error under codebooks trained on all vectors."""
+    return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_sharding": op2_sharding,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_pii": op9_pii,
     "op10_lattice": op10_lattice,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 

@@ -59,3 +59,35 @@ FROM f
 """
 
 ORACLE_SQL = {"op4_quality_rules": OP4, "op6_exact_dedup": OP6}
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out: ``c{i}`` are codebooks, ``a{i}`` the nearest entries."""
+    with_ = [
+        "k AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "r AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM k)",
+        f"s AS (SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM r, (SELECT unnest(range({parts})) AS p))",
+        f"c0 AS (SELECT p, r - 1 AS e, x AS c FROM s WHERE r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        with_.append(
+            f"a{i} AS MATERIALIZED (SELECT r, p, min(d).e AS e, min(d).d AS d FROM (SELECT r, s.p, {{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}} AS d "
+            f"FROM s JOIN c{i} ON s.p = c{i}.p) GROUP BY r, p)"
+        )
+        if i < rounds:
+            with_.append(
+                f"m{i} AS (SELECT p, e, list(CAST(floor(t / n) AS BIGINT) ORDER BY k) AS c FROM (SELECT a{i}.p, a{i}.e, k, sum(x[k]) AS t, count(*) AS n FROM a{i} JOIN s ON a{i}.r = s.r AND a{i}.p = s.p, "
+                f"(SELECT unnest(range(1, (SELECT max(len(x)) FROM s) + 1)) AS k) GROUP BY a{i}.p, a{i}.e, k) GROUP BY p, e)"
+            )
+            with_.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.p, c{i}.e, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON c{i}.p = m{i}.p AND c{i}.e = m{i}.e)")
+    return (
+        "WITH " + ",\n".join(with_) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM f JOIN r USING (r), h
+"""
+    )
+
+
+ORACLE_SQL["op12_vector_codes"] = _codes_sql()
