@@ -20,6 +20,7 @@ from lumenframe.llm.sharding import shard_documents
 from lumenframe.llm.sstable import token_shards
 from lumenframe.llm.sql import ORACLE_SQL
 from lumenframe.llm.vector_codes import compress_vectors
+from lumenframe.llm.word_bpe import word_bpe_encode, word_bpe_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +88,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by tree concatenation over words with end marks, and decoded."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return word_bpe_round_trip(word_bpe_encode(_docs(spark, sf_dir), path), path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_sharding": op2_sharding,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_lattice": op10_lattice,
     "op12_vector_codes": op12_vector_codes,
+    "op13_tree_bpe": op13_tree_bpe,
 }
 
 
