@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.bpe import bpe_encode, bpe_round_trip
+from lumenframe.llm.collocations import collocations
 from lumenframe.llm.exact_dedup import exact_dedup
 from lumenframe.llm.kneser_ney import quality_by_perplexity
 from lumenframe.llm.lattice import lattice_scores
@@ -83,6 +84,11 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), is_table=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language, by level-wise passes."""
+    return collocations(_docs(spark, sf_dir))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's code and error under codebooks trained on all vectors."""
     return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -105,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_pii": op9_pii,
     "op10_lattice": op10_lattice,
+    "op11_collocations": op11_collocations,
     "op12_vector_codes": op12_vector_codes,
     "op13_tree_bpe": op13_tree_bpe,
 }

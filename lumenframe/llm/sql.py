@@ -91,3 +91,26 @@ FROM f JOIN r USING (r), h
 
 
 ORACLE_SQL["op12_vector_codes"] = _codes_sql()
+
+ORACLE_SQL["op11_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+x AS (
+  SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * a) // (CAST(l.f AS HUGEINT) + r.f) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1 : j], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1 : ], ' ')
+),
+low AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+spans AS (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k),
+longer AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS f FROM spans GROUP BY 1, 2),
+best AS (
+  SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank, low.phrase, a, l, r, CAST(score AS BIGINT) AS score
+  FROM low LEFT JOIN longer ON low.lang = longer.lang AND low.phrase = longer.phrase WHERE longer.f IS NULL OR 100 * longer.f < 80 * a
+)
+SELECT best.lang, rank, phrase, a, l, r, n, score FROM best JOIN t USING (lang) WHERE rank <= 2000
+"""
