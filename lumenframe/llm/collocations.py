@@ -88,6 +88,8 @@ def _phrases(lang: bytes, data: bytes, level: int, frequent: list[Bitmap]) -> tu
     counts = np.bincount(ids, minlength=len(words))
     if level == 1:
         return words[2:], counts[2:], int(counts[2:].sum())
+    if len(ids) < level:
+        return [], np.zeros(0, np.int64), 0
     # The phrase that begins at each place, or -1, and the texts of the phrases.
     held = np.zeros(len(words), bool)
     held[2:] = frequent[0].holds(lang, words[2:])
@@ -103,7 +105,7 @@ def _phrases(lang: bytes, data: bytes, level: int, frequent: list[Bitmap]) -> tu
     return texts, counts, 0
 
 
-def count_phrases(docs: DataFrame, level: int, frequent: list[Bitmap]) -> DataFrame:
+def count_phrases(docs: DataFrame, level: int, frequent: list[Bitmap], slice_bytes: int = SLICE) -> DataFrame:
     """``lang, phrase, n`` of ``docs`` (``lang, text``), for each slice of texts; with one word, also
     the number of all words as the row without a phrase."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -117,12 +119,12 @@ def count_phrases(docs: DataFrame, level: int, frequent: list[Bitmap]) -> DataFr
                 data, lang = (text.as_py() or b"").translate(_TABLE), lang.as_py()
                 at = 0
                 while at < len(data):
-                    end = len(data) if len(data) - at <= SLICE else data.find(b"\n", at + SLICE)
+                    end = len(data) if len(data) - at <= slice_bytes else data.find(b"\n", at + slice_bytes)
                     end = len(data) if end < 0 else end
                     waiting.setdefault(lang, []).append(data[at:end])
                     size += end - at
                     at = end + 1
-                    if size >= SLICE:
+                    if size >= slice_bytes:
                         yield from ((k, b"\n".join(v)) for k, v in waiting.items())
                         waiting, size = {}, 0
         yield from ((k, b"\n".join(v)) for k, v in waiting.items())

@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +40,7 @@ from tokenizers import Tokenizer
 
 #: Symbols of the leaves of a tree, and of a row of a long word.
 LEAF, PIECE = 16, 16_384
-#: Words whose ids a worker keeps, and the longest of them.
+#: Words, and runs between blanks, whose ids a worker keeps, and the longest of them.
 WORDS, LONGEST = 400_000, 100
 #: Ids and rows that are passed on at a time.
 IDS, ROWS = 2_000_000, 2_000
@@ -149,6 +149,8 @@ class WordBpe:
         yield mark, self._words(text[at:])
 
     def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.words.findall(text.lower())
         if _UNSETTLED.search(text):
             self.library = self.library or Tokenizer.from_file(self.path)
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
@@ -157,37 +159,58 @@ class WordBpe:
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
+class _Held(dict):
+    """Ids of texts as bytes, made when first asked for. No more than ``WORDS`` are kept, none long."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Encoder:
-    """A ``WordBpe`` with the ids of frequent words as bytes."""
+    """A ``WordBpe`` with the ids of frequent words, and of frequent runs between blanks: no step looks
+    across a space or a line feed, and no special token holds one."""
 
     def __init__(self, path: str):
-        self.bpe, self.held = WordBpe(path), {}
+        self.bpe = WordBpe(path)
+        self.words = _Held(lambda word: np.array(self.bpe.encode(self.bpe.symbols_of(word)), "<u4").tobytes())
+        self.runs = _Held(lambda run: b"".join(x for x, _ in self._run(run)))
 
-    def parts(self, text: str, piece: int | None = None) -> Iterator[tuple[bytes | None, str]]:
-        """Runs of ids, ``(bytes, "")``; a word of more than ``piece`` symbols comes as ``(None, word)``."""
-        run: list[bytes] = []
+    def _run(self, text: str, piece: int | None = None) -> Iterator[tuple[bytes | None, str]]:
         for mark, words in self.bpe.split(text):
             if mark is not None:
-                run.append(mark.to_bytes(4, "little"))
-            held = self.held
-            for word in set(words).difference(held):
-                if not piece or len(word) * 4 <= piece or len(word.encode()) <= piece:
-                    held[word] = np.array(self.bpe.encode(self.bpe.symbols_of(word)), "<u4").tobytes()
-            if piece:
-                for word in words:
-                    if word in held:
-                        run.append(held[word])
-                    else:
-                        yield b"".join(run), ""
-                        yield None, word
-                        run = []
-            else:
-                run.extend(map(held.__getitem__, words))
-            if len(held) > WORDS:
-                held.clear()
-            for word in [w for w in set(words) if len(w) > LONGEST]:
-                held.pop(word, None)
-        yield b"".join(run), ""
+                yield mark.to_bytes(4, "little"), ""
+            for word in words:
+                if piece and len(word) * 4 > piece and len(word.encode()) > piece:
+                    yield None, word
+                else:
+                    yield self.words[word], ""
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def parts(self, text: str, piece: int) -> Iterator[tuple[bytes | None, str]]:
+        """Runs of ids, ``(bytes, "")``; a word of more than ``piece`` symbols comes as ``(None, word)``."""
+        done: list[bytes] = []
+        for run in text.replace("\n", " ").split(" "):
+            if len(run) * SPREAD <= piece:
+                done.append(self.runs[run])
+                continue
+            for ids, word in self._run(run, piece):
+                if ids is not None:
+                    done.append(ids)
+                else:
+                    yield b"".join(done), ""
+                    yield None, word
+                    done = []
+        yield b"".join(done), ""
 
 
 @lru_cache(maxsize=4)
@@ -228,8 +251,7 @@ def word_bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            found = (b"".join(x for x, _ in encoder.parts(t)) for t in _texts(batch.column(1)))
-            yield from _out(zip(batch.column(0).to_pylist(), found))
+            yield from _out(zip(batch.column(0).to_pylist(), map(encoder.ids, _texts(batch.column(1)))))
 
     plain = rows.where(~open_run).mapInArrow(whole, "doc_id long, ids array<int>")
     return plain.unionByName(_encode_long(rows.where(open_run), tokenizer_path, piece))
