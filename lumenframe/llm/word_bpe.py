@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -39,14 +41,16 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Symbols of the leaves of a tree, and of a row of a long word.
-LEAF, PIECE = 16, 16_384
+LEAF, PIECE = 24, 16_384
 #: Words, and runs between blanks, whose ids a worker keeps, and the longest of them.
-WORDS, LONGEST = 400_000, 100
+WORDS, LONGEST = 300_000, 100
 #: Ids and rows that are passed on at a time.
 IDS, ROWS = 2_000_000, 2_000
 #: A character becomes at most so many bytes when it is composed and lower-cased.
 SPREAD = 12
 
+#: Pairs and steps hold ids in their low 20 bits; a pair without a merge comes after all ranks.
+_ID, _NONE = (1 << 20) - 1, 1 << 60
 _STEPS = ["NFC", "Replace", "Lowercase"]
 #: Characters outside the ranges on which all editions of Unicode agree.
 _UNSETTLED = regex.compile("[^\0-\u0527\u2000-\u206F\u3041-\u3096\u30A0-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3]")
@@ -75,41 +79,44 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         self.texts = {i: t for t, i in (vocabulary | self.special).items()}
         letters = byte_letters()
-        self.inner = np.array([vocabulary[c] for c in letters], np.int32)
-        self.final = np.array([vocabulary[c + suffix] for c in letters], np.int32)
-        #: Both ids of a pair -> the rank of their merge and the id of what it makes.
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(vocabulary) + len(self.special) > _ID:
+            raise ValueError("the vocabulary is too large")
+        self.inner = [vocabulary[c] for c in letters]
+        self.final = [vocabulary[c + suffix] for c in letters]
+        #: Both ids of a pair as one number -> the rank of their merge and the id of what it makes, as one number.
+        self.merges: dict[int, int] = {}
         made: dict[str, int] = {}
-        self.symbols: dict[int, list[int]] = {int(i): [int(i)] for i in [*self.inner, *self.final]}
+        self.symbols: dict[int, list[int]] = {i: [i] for i in self.inner + self.final}
         for rank, (a, b) in enumerate(map(tuple, model["merges"])):
             if made.get(a, -1) >= rank or made.get(b, -1) >= rank:
                 raise ValueError("a merge comes before those of its parts")
             i, x, y = vocabulary[a + b], vocabulary[a], vocabulary[b]
             made[a + b] = rank
-            self.merges[x, y] = (rank, i)
+            self.merges[x << 20 | y] = rank << 20 | i
             self.symbols[i] = self.symbols[x] + self.symbols[y]
         self.words = regex.compile(split["pattern"]["Regex"])
         self.path, self.library = path, None
+        #: The same pattern for ASCII texts.
+        self.plain_words = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Merges by rank; all places of one pair from left to right."""
-        merges = self.merges
-        while len(ids) > 1:
-            found = [merges[p] for p in zip(ids, ids[1:]) if p in merges]
-            if not found:
+        """Merges by rank, places of equal rank from left to right."""
+        ids, get = list(ids), self.merges.get
+        steps = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while steps:
+            low = min(steps)
+            if low == _NONE:
                 break
-            _, new = low = min(found)
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and merges.get((ids[i], ids[i + 1])) == low:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = steps.index(low)
+            new = low & _ID
+            ids[i : i + 2] = [new]
+            del steps[i]
+            if i:
+                steps[i - 1] = get(ids[i - 1] << 20 | new, _NONE)
+            if i < len(steps):
+                steps[i] = get(new << 20 | ids[i + 1], _NONE)
         return ids
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -135,14 +142,17 @@ class WordBpe:
         return level[0]
 
     def symbols_of(self, word: str) -> list[int]:
-        raw = np.frombuffer(word.encode(), np.uint8)
-        ids = self.inner[raw]
+        raw = word.encode()
+        ids = list(map(self.inner.__getitem__, raw))
         ids[-1] = self.final[raw[-1]]
-        return ids.tolist()
+        return ids
 
     def split(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
         """``(special id, following words)`` in the order of the text; at first the id is None."""
         at, mark = 0, None
+        if not any(map(text.__contains__, self.special)):
+            yield None, self._words(text)
+            return
         for found in self.marks.finditer(text):
             yield mark, self._words(text[at : found.start()])
             at, mark = found.end(), self.special[found[0]]
@@ -150,7 +160,7 @@ class WordBpe:
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():
-            return self.words.findall(text.lower())
+            return self.plain_words.findall(text.lower())
         if _UNSETTLED.search(text):
             self.library = self.library or Tokenizer.from_file(self.path)
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
@@ -160,15 +170,17 @@ class WordBpe:
 
 
 class _Held(dict):
-    """Ids of texts as bytes, made when first asked for. No more than ``WORDS`` are kept, none long."""
+    """Ids of texts as bytes, made when first asked for. When ``WORDS`` are held, those not asked for
+    since the time before go; long ones are never kept."""
 
     def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self.make(text)
+        found = self.before.get(text) or self.make(text)
         if len(text) <= LONGEST:
             if len(self) >= WORDS:
+                self.before = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -180,8 +192,14 @@ class Encoder:
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
-        self.words = _Held(lambda word: np.array(self.bpe.encode(self.bpe.symbols_of(word)), "<u4").tobytes())
-        self.runs = _Held(lambda run: b"".join(x for x, _ in self._run(run)))
+        self.words = _Held(lambda word: array("I", self.bpe.encode(self.bpe.symbols_of(word))).tobytes())
+        self.runs = _Held(self._make_run)
+
+    def _make_run(self, run: str) -> bytes:
+        if run.isascii() and not any(map(run.__contains__, self.bpe.special)):
+            found = self.bpe.plain_words.findall(run.lower())
+            return self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+        return b"".join(x for x, _ in self._run(run))
 
     def _run(self, text: str, piece: int | None = None) -> Iterator[tuple[bytes | None, str]]:
         for mark, words in self.bpe.split(text):
