@@ -1,19 +1,40 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""The folder that driver and executors share: cutting lineage there, and tables of one's own."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``; where that is unset, in a new
-    temporary folder on one machine, and an error on a cluster."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not found and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, a new temporary folder on one machine,
+    and an error on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not found:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lumenframe-"))
+        found = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

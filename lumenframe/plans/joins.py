@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import text
 from lumenframe.operators import geo, ranking, vectors
+from lumenframe.plans import indexes
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
 
@@ -219,9 +220,9 @@ _BM = f"WITH {_TOK}, p AS (SELECT doc_id, {_STEM} AS term, count(*) AS tf FROM t
 
 @query("R07_bm25", _BM + "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 50")
 def bm25(spark, d):
-    """The fifty best documents for three terms."""
-    found = ranking.bm25(table(spark, d, "documents"), "doc_id", "text", ["this", "with", "pour"])
-    return found.orderBy(F.col("score").desc(), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+    """The fifty best documents for three terms, from the stored index."""
+    found = indexes.of_documents(spark, d).top(["this", "with", "pour"], 50)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("R08_hybrid", _BM + ", c AS (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS cos FROM embeddings), j AS (SELECT c.doc_id, cos, coalesce(score, 0) AS bm FROM c LEFT JOIN s USING (doc_id)), m AS (SELECT min(cos) AS c0, max(cos) AS c1, min(bm) AS b0, max(bm) AS b1 FROM j) SELECT doc_id, round(cos, 5) AS cos, bm > 0 AS caption_match FROM j, m ORDER BY 0.8 * (cos - c0) / (c1 - c0) + 0.2 * (bm - b0) / (b1 - b0) DESC, doc_id LIMIT 30")
@@ -230,7 +231,7 @@ def hybrid(spark, d):
     v = table(spark, d, "embeddings")
     one = v.where("vec_id = 0").select(F.col("embedding").alias("query"))
     cos = vectors.scored(v, one, "embedding").select(F.col("vec_id").alias("doc_id"), F.col("score").alias("cos"))
-    text = ranking.bm25(table(spark, d, "documents"), "doc_id", "text", ["this", "with", "pour"]).withColumnRenamed("score", "bm")
+    text = indexes.of_documents(spark, d).scores(["this", "with", "pour"]).toDF("doc_id", "bm")
     rows = cos.join(text, "doc_id", "left").withColumn("bm", F.coalesce("bm", F.lit(0.0)))
     return ranking.fused(rows, {"cos": 0.8, "bm": 0.2}).orderBy(F.col("fused").desc(), "doc_id").limit(30).select("doc_id", F.round("cos", 5).alias("cos"), (F.col("bm") > 0).alias("caption_match"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import moments, paths, text
 from lumenframe.operators import search, vectors
+from lumenframe.plans import indexes
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
 
@@ -99,11 +100,17 @@ def _tier_sql(n: int, terms: list[str]) -> str:
 @query("R05_R06_U03_ladder", f"WITH {_WORDS}, t AS ({' UNION ALL '.join(_tier_sql(n, a) for n, a in enumerate(_ASKED))}) SELECT asked, doc_id, tier FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY asked)")
 def ladder(spark, d):
     """Three searches: all words, then all beginnings, then any, until something is found."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    found = [search.ladder(docs, "text", a).select(F.lit(n).alias("asked"), "doc_id", "tier") for n, a in enumerate(_ASKED)]
+    index = indexes.of_documents(spark, d)
+    found = [index.ladder(a).select(F.lit(n).alias("asked"), F.col("id").alias("doc_id"), "tier") for n, a in enumerate(_ASKED)]
     return found[0].union(found[1]).union(found[2])
 
 
+@query("R06_phrase", rf"WITH {_WORDS} SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS BIGINT) AS n FROM w WHERE n > 0")
+def phrase(spark, d):
+    """Documents with two words one after the other, by the positions in the stored index."""
+    return indexes.of_documents(spark, d).phrase(["of", "the"]).select(F.col("id").alias("doc_id"), "n")
+
+
 @query("R11_merge_rankings", "WITH e AS (SELECT user_id, event_type, sum(1.0 / (60 + 1 + event_id % 100)) AS s, min(1 + event_id % 100) AS f FROM events GROUP BY 1, 2) SELECT user_id, round(sum(s), 6) AS score, string_agg(event_type, '+' ORDER BY f, event_type) AS engines FROM e GROUP BY user_id")
 def merge_rankings(spark, d):
     """Hits of several engines merged by reciprocal rank."""
