@@ -222,20 +222,6 @@ def parse_cues(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: cues_in(t or ""))
 
 
-def rolling(texts: list[str], memory: int = 3) -> list[str]:
-    """Captions without those equal to one of the last kept; one that begins with the last kept
-    replaces it."""
-    kept: list[str] = []
-    for t in texts:
-        if t in kept[-memory:]:
-            continue
-        if kept and t.startswith(kept[-1]):
-            kept[-1] = t
-        else:
-            kept.append(t)
-    return kept
-
-
 def settle(balances: dict[str, int]) -> list[tuple[str, str, int]]:
     """Transfers that clear balances in cents: the largest debt pays the largest credit."""
     left = {k: v for k, v in balances.items() if v}

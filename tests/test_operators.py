@@ -83,7 +83,6 @@ def test_chunks_are_slices():
 
 def test_small_extractors():
     assert extract.dates_in("on 2024-02-30, 3 de mayo de 1997 and 01/02/2020") == ["1997-05-03", "2020-02-01"]
-    assert extract.rolling(["a", "a b", "c", "a b", "d"]) == ["a b", "c", "d"]
     moves = extract.settle({"a": 50, "b": -20, "c": -30})
     assert sum(n for _, _, n in moves) == 50 and {p for p, _, _ in moves} == {"b", "c"}
     page = extract.read_html("<title>T</title><nav>menu</nav><p>one<p>two<script>x</script><div hidden>no</div>")
