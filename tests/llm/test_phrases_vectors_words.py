@@ -78,8 +78,9 @@ def test_collocations_of_odd_rows_and_small_slices(spark, odd):
     assert co.collocations(spark.createDataFrame([], SCHEMA)).isEmpty()
     # Slices end between pieces, in the middle of texts.
     docs = spark.createDataFrame([("en", "one two, three four. " * 30), ("fr", "un deux\n" * 20), ("en", None)], "lang string, text string")
-    for level in (1, 2):
-        whole, cut = (co.count_phrases(docs, level, [co.Bitmap(1, np.full(1, 255, np.uint8))], slice_bytes=n).groupBy("lang", "phrase").agg(F.sum("n")) for n in (co.SLICE, 25))
+    every = [co.Bitmap(1, np.full(1, 255, np.uint8))] * 3
+    for count in (lambda n: co.count_words(docs, n), lambda n: co.count_phrases(docs, 4, every, n)):
+        whole, cut = (count(n).groupBy("lang", "phrase").agg(F.sum("n")) for n in (co.SLICE, 25))
         assert sorted(whole.collect(), key=str) == sorted(cut.collect(), key=str) and whole.count() >= 3
 
 
@@ -91,11 +92,10 @@ def test_collocation_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_bitmap_holds_all_and_little_else(spark):
-    inside = [f"w{i} x" for i in range(3000)]
-    table = spark.createDataFrame([("en", p) for p in inside], "lang string, phrase string")
-    bits = co.Bitmap.of(table, 3000)
-    assert bits.holds(b"en", [p.encode() for p in inside]).all()
-    assert bits.holds(b"en", [f"y{i}".encode() for i in range(3000)]).mean() < 0.1
+    inside, outside = ([f"{c}{i}é".encode() for i in range(3000)] for c in "wy")
+    table = spark.createDataFrame([("en", w.decode()) for w in inside], "lang string, phrase string")
+    bits = co.Bitmap.of(table.select(F.xxhash64(F.concat("lang", F.lit("\0"), "phrase").cast("binary"))), 3000)
+    assert bits.holds(co.word_hashes(b"en", inside)).all() and bits.holds(co.word_hashes(b"en", outside)).mean() < 0.1
 
 
 def _nearest(x, book):
