@@ -3,8 +3,8 @@ once and reused. A cut stands before a space that follows a character other than
 no token of those patterns spans such a place, and none looks across it.
 
 All cutting and matching is done with numpy on the bytes of many texts at once. Chunks of one slice
-are told apart by a 64-bit hash of their bytes; what is kept from slice to slice is found by the
-bytes themselves.
+are matched by a 64-bit hash, and then compared byte by byte with the first of theirs: should one differ, the
+slice is matched by the bytes alone. What is kept from slice to slice is found by the bytes themselves.
 """
 
 from __future__ import annotations
@@ -49,6 +49,19 @@ def chunks(text: str) -> list[str]:
     return [data[a:b].decode() for a, b in zip(at, at[1:])]
 
 
+def matched(data: bytes, at: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal chunks, and the number of each chunk's set; equal chunks have equal ``key``."""
+    _, first, where = np.unique(key, return_index=True, return_inverse=True)
+    if (size[first][where] == size).all():
+        raw = np.frombuffer(data, np.uint8)
+        shift = at[:-1][first][where] - at[:-1]
+        if (raw[np.arange(at[0], at[-1]) + np.repeat(shift, size)] == raw[at[0] : at[-1]]).all():
+            return first, where
+    number: dict[bytes, int] = {}
+    where = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(at.tolist(), at[1:].tolist())], np.int64)
+    return np.unique(where, return_index=True)[1], where
+
+
 class Memo:
     """A cache of an encoder's results for chunks: bytes of 32-bit ids. Texts are cut by slices, and
     a slice's new chunks are encoded together. When more than ``most`` chunks are held, those that
@@ -86,7 +99,7 @@ class Memo:
         np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * _UP.upto(len(data))[: len(data)], out=total[1:])
         size = np.diff(at)
         key = mix((total[at[1:]] - total[at[:-1]]) * _DOWN.upto(len(data))[at[:-1]] + size.astype(np.uint64))
-        _, first, where = np.unique(key, return_index=True, return_inverse=True)
+        first, where = matched(data, at, size, key)
         keys = [data[a:b] for a, b in zip(at[first].tolist(), (at[first] + size[first]).tolist())]
         held = self.held
         new = [k for k in keys if k not in held]

@@ -36,6 +36,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lumenframe.llm.chunks import Memo
 from lumenframe.llm.common import cut, new_dir
@@ -79,6 +80,11 @@ def _read_varint(data: memoryview, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def id_width(ids: int) -> int:
+    """Bytes that hold each of so many ids."""
+    return 2 if ids <= 1 << 16 else 4
+
+
 class ShardWriter:
     """Writes entries in ascending key order to a stream."""
 
@@ -97,6 +103,8 @@ class ShardWriter:
             self._close()
         shared = len(os.path.commonprefix([self.last, key])) if self.block_docs else 0
         self.first = self.first or key
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"an id does not fit {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:] + value
         self.last = key
@@ -246,11 +254,13 @@ def _chunk_encoder(tokenizer, encode: Callable[[list[str]], list[np.ndarray]], t
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends ``end_id`` and writes shards below ``out_dir``. Returns the
     manifest, which is stored beside them: ``shard, part, place, first_id, last_id, n_docs, n_tokens,
     n_bytes, start``, where ``start`` counts the ids of all shards before. The part is the range
-    of keys that one task wrote, and the place the shard's among them."""
+    of keys that one task wrote, and the place the shard's among them. ``width``: bytes of an id; by
+    default as many as the vocabulary asks for."""
+    width = width or id_width(max(end_id + 1, Tokenizer.from_file(tokenizer_path).get_vocab_size()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_of = _encoder(tokenizer_path)

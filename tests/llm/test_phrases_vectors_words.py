@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumenframe.llm import collocations as co
 from lumenframe.llm import vector_codes as vc
+from lumenframe.llm.chunks import matched
+from lumenframe.llm.sstable import ShardReader, ShardWriter, id_width
 from lumenframe.llm.word_bpe import WordBpe, word_bpe_decode, word_bpe_encode, word_bpe_round_trip
 
 WORDS = P.path("word_bpe_49k.json")
@@ -197,3 +201,26 @@ def test_tree_bpe_equals_library(spark, odd, library, piece):
 
 def test_tree_bpe_of_an_empty_table(spark):
     assert word_bpe_encode(spark.createDataFrame([], SCHEMA), WORDS).isEmpty()
+
+
+def test_chunks_with_equal_hashes_are_told_apart():
+    data = b"aa bb aa bb cc"
+    at = np.array([0, 2, 5, 8, 11, 14])
+    size = np.diff(at)
+    for key in (np.zeros(5, np.uint64), np.array([1, 2, 3, 2, 1], np.uint64), np.array([0, 1, 2, 1, 3], np.uint64)):
+        first, where = matched(data, at, size, key)
+        assert [data[at[first[w]] : at[first[w]] + size[first[w]]] for w in where] == [b"aa", b" bb", b" aa", b" bb", b" cc"]
+
+
+def test_ids_of_a_large_vocabulary_are_not_cut():
+    assert id_width(65_536) == 2 and id_width(70_000) == 4
+    for width in (2, 4):
+        out = io.BytesIO()
+        writer = ShardWriter(out, width)
+        if width == 2:
+            with pytest.raises(ValueError):
+                writer.add(b"k", np.array([69_999], np.uint32))
+        else:
+            writer.add(b"k", np.array([69_999, 3], np.uint32))
+            writer.finish()
+            assert [(k, v.tolist()) for k, v in ShardReader(pa.BufferReader(out.getvalue())).entries(0)] == [(b"k", [69_999, 3])]
