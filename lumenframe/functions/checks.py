@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -89,9 +89,19 @@ def easter(year: Column) -> Column:
     return F.make_date(y, month, day)
 
 
-def calendar(spark: SparkSession, first: str, last: str, fixed: list[tuple[int, int]] = [(1, 1), (5, 1), (12, 25)]) -> DataFrame:
-    """``day, business, nth``: each day, whether it is a business day, and how many came before."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
-    holiday = F.struct(F.month("day"), F.day("day")).isin([F.struct(F.lit(m), F.lit(x)) for m, x in fixed]) | (F.col("day") == F.date_sub(easter(F.year("day")), 2))
-    days = days.withColumn("business", ~(F.weekday("day") >= 5) & ~holiday)
+#: Months and days of yearly holidays.
+HOLIDAYS = [(1, 1), (5, 1), (12, 25)]
+
+
+def is_business_day(day: Column, fixed: list[tuple[int, int]] = HOLIDAYS) -> Column:
+    """Monday to Friday, and neither a fixed holiday nor Good Friday."""
+    holiday = F.struct(F.month(day), F.day(day)).isin([F.struct(F.lit(m), F.lit(x)) for m, x in fixed])
+    return (F.weekday(day) < 5) & ~holiday & (day != F.date_sub(easter(F.year(day)), 2))
+
+
+def calendar(dates: list[Column], rows: DataFrame, fixed: list[tuple[int, int]] = HOLIDAYS) -> DataFrame:
+    """``day, business, nth`` of each day from the first to the last of ``dates`` in ``rows``: whether it is a
+    business day, and how many came before. As long as the dates span, however many rows there are."""
+    ends = rows.agg(F.min(F.least(*dates)).alias("first"), F.max(F.greatest(*dates)).alias("last"))
+    days = ends.where("first is not null").select(F.explode(F.sequence("first", "last")).alias("day")).withColumn("business", is_business_day(F.col("day"), fixed))
     return days.withColumn("nth", F.sum(F.col("business").cast("long")).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["nth"])

@@ -16,27 +16,30 @@ def column_function(kind: str):
 
 #: Sizes of chunks in characters.
 SIZE, OVERLAP, MIN_TAIL = 900, 150, 200
-_BREAKS = ((re.compile(r"\n\s*\n"), 5), (re.compile(r"\n"), 4), (re.compile(r"[.!?]\s"), 3), (re.compile(r"[,;:]\s"), 2), (re.compile(r"\s"), 1))
+#: Where a chunk may end, best first: a blank line, a line end, a sentence, a clause, a space.
+_BREAKS = [re.compile(x) for x in (r"\n\s*\n", r"\n", r"[.!?]\s", r"[,;:]\s", r"\s")]
 
 
 def chunk_spans(text: str, size: int = SIZE, overlap: int = OVERLAP, tail: int = MIN_TAIL) -> list[tuple[int, int]]:
-    """Spans of at most ``size`` characters that end at the best break of their last three fifths;
-    of equal breaks the later. The next span starts ``overlap`` before, at a space."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            low = start + size * 2 // 5
-            best = max(((score, m.end()) for pattern, score in _BREAKS for m in pattern.finditer(text, low, end)), default=(0, end))
-            end = best[1]
-            if n - end < tail and n - start <= size + tail:
-                end = n
-        out.append((start, end))
-        if end >= n:
+    """Spans of at most ``size`` characters. The kinds of breaks are tried in turn in the last three fifths
+    of a span, and the last of the first kind found ends it. The next span starts ``overlap`` before, at a
+    space; a rest shorter than ``tail`` joins the span before it."""
+    spans: list[tuple[int, int]] = []
+    start = 0
+    while start < len(text):
+        limit = start + size
+        if limit >= len(text):
+            spans.append((start, len(text)))
             break
-        step = text.find(" ", max(start + 1, end - min(overlap, size // 2)), end)
-        start = step + 1 if step >= 0 else end
-    return out
+        found = (list(kind.finditer(text, start + size * 2 // 5, limit)) for kind in _BREAKS)
+        end = next((x[-1].end() for x in found if x), limit)
+        if len(text) - end < tail and len(text) <= start + size + tail:
+            spans.append((start, len(text)))
+            break
+        spans.append((start, end))
+        space = text.find(" ", max(start + 1, end - min(overlap, size // 2)), end)
+        start = end if space < 0 else space + 1
+    return spans
 
 
 @column_function("array<struct<ordinal:int,char_start:int,char_end:int,text:string>>")

@@ -9,25 +9,28 @@ from pyspark.sql import functions as F
 BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
-def resolve_year(day: Column, month: Column, today: Column, prefer: str) -> Column:
-    """The date with this day and month in last, this or next year that fits ``today`` best; null for
-    a day that none of them has. ``prefer``: ``future``, ``past``, ``next`` or ``nearest``."""
+#: The days from today that a reading accepts, and which end of them it prefers.
+WINDOWS = {"future": (-10, None, 1), "past": (None, 45, -1), "next": (0, None, 1)}
+
 
-    def cost(d: Column) -> Column:
-        if prefer == "future":
-            return F.when(d >= -10, d).otherwise(10000 - d)
-        if prefer == "past":
-            return F.when(d <= 45, -d).otherwise(10000 + d)
-        if prefer == "next":
-            return F.when(d >= 0, d).otherwise(10000 - d)
-        return F.abs(d)
+def resolve_year(day: Column, month: Column, today: Column, prefer: str) -> Column:
+    """The date with this day and month in last, this or next year that suits ``prefer`` (``future``, ``past``,
+    ``next`` or ``nearest``): dates inside the window first, its preferred end first; beyond it the nearest.
+    Null for a day that none of the years has."""
+    first, end, sign = WINDOWS.get(prefer, (None, None, 0))
 
-    def candidate(shift: int) -> Column:
-        written = F.format_string("%04d-%02d-%02d", (F.year(today) + shift).cast("int"), month.cast("int"), day.cast("int"))
-        found = F.try_to_timestamp(written, F.lit("yyyy-MM-dd")).cast("date")
-        return F.when(found.isNotNull(), F.struct(cost(F.datediff(found, today)).alias("cost"), F.lit(shift).alias("shift"), found.alias("day")))
+    def place(found: Column) -> Column:
+        away = F.datediff(found, today)
+        outside = F.lit(False)
+        if first is not None:
+            outside = away < first
+        if end is not None:
+            outside = away > end
+        return F.struct(outside.alias("outside"), (F.when(outside, -sign * away).otherwise(sign * away) if sign else F.abs(away)).alias("away"), found.alias("day"))
 
-    return F.array_min(F.array(*[candidate(s) for s in (-1, 0, 1)]))["day"]
+    months = F.transform(F.sequence(F.year(today) - 1, F.year(today) + 1), lambda y: F.make_date(y, month.cast("int"), F.lit(1)))
+    known = F.filter(months, lambda m: (day >= 1) & (day <= F.day(F.last_day(m))))
+    return F.array_min(F.transform(known, lambda m: place(F.date_add(m, day.cast("int") - 1))))["day"]
 
 
 def iso_utc(c: Column) -> Column:
@@ -55,20 +58,21 @@ def id_millis(c: Column) -> Column:
     return F.when(valid, value)
 
 
-def evenly(items: Column, n: Column) -> Column:
-    """``n`` items spread over a sorted array, the first and last among them."""
-    step = lambda i: F.get(items, F.bround(i * (F.size(items) - 1) / (n - 1)).cast("int"))
-    none = F.slice(items, 1, 0)
-    return F.when(n <= 0, none).when(F.size(items) <= n, items).when(n == 1, F.slice(items, 1, 1)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(1))), step))
-
-
-def plan_times(duration: Column, scenes: Column, every: float = 30.0, most: int = 8, gap: float = 2.0) -> Column:
-    """Times of frames to take: scene changes, then a grid where none is near, ``most`` of them."""
-    last = F.greatest(F.lit(0.0), duration - 0.25)
-    chosen = evenly(F.array_sort(F.array_distinct(F.transform(scenes, lambda s: F.round(F.least(F.greatest(s, F.lit(0.0)), last), 3)))), F.lit(most))
-    steps = F.ceil((duration - 0.5) / every).cast("int") - 1
-    grid = F.when(steps > 0, F.transform(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), lambda i: i * F.lit(every))).otherwise(F.array().cast("array<double>"))
-    grid = F.concat(F.array(F.least(F.lit(0.5), last)), grid)
-    extras = F.filter(grid, lambda g: F.forall(chosen, lambda c: F.abs(g - c) >= gap))
-    times = F.array_sort(F.array_distinct(F.concat(chosen, evenly(extras, most - F.size(chosen)))))
-    return F.when(duration > 0, times).otherwise(F.array(F.lit(0.0)))
+def spread(items: Column, n: Column) -> Column:
+    """``n`` items of a sorted array, as far apart as its places allow, the first and last among them. A place is
+    kept if it is the nearest whole one to some ``n``-th part of the way, halves to the even side."""
+    steps, places = n - 1, F.size(items) - 1
+    nearest = lambda i: F.bround(F.bround(i * steps / places) * places / steps)
+    some = F.when(n == 1, F.slice(items, 1, 1)).otherwise(F.filter(items, lambda _, i: nearest(i) == i))
+    return F.when(F.size(items) <= n, items).when(n >= 1, some).otherwise(F.slice(items, 1, 0))
+
+
+def frame_times(duration: Column, scenes: Column, every: float = 30.0, most: int = 8, gap: float = 2.0) -> Column:
+    """Times of frames to take: cuts between scenes, and of the opening and the ticks of a clock those that
+    keep ``gap`` from every cut, ``most`` times in all."""
+    end = F.greatest(F.lit(0.0), duration - 0.25)
+    cuts = spread(F.array_sort(F.array_distinct(F.transform(scenes, lambda s: F.round(F.least(F.greatest(s, F.lit(0.0)), end), 3)))), F.lit(most))
+    ticks = F.filter(F.sequence(F.lit(0), F.floor(F.greatest(duration, F.lit(0.0)) / every).cast("int")), lambda i: (i == 0) | (i * every < duration - 0.5))
+    ticks = F.transform(ticks, lambda i: F.when(i == 0, F.least(F.lit(0.5), end)).otherwise(i * F.lit(every)))
+    apart = F.filter(ticks, lambda t: F.coalesce(F.array_min(F.transform(cuts, lambda c: F.abs(c - t))) >= gap, F.lit(True)))
+    return F.when(duration > 0, F.array_sort(F.array_union(cuts, spread(apart, most - F.size(cuts))))).otherwise(F.array(F.lit(0.0)))

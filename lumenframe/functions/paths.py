@@ -30,11 +30,15 @@ def folder_within(path: Column, root: Column) -> Column:
     return (p == r) | F.startswith(p, F.when(F.endswith(r, F.lit("/")), r).otherwise(F.concat(r, F.lit("/"))))
 
 
+#: Lines a text must have, the percentage of single words among them, and the length of a short line.
+STACKED_LINES, STACKED_PERCENT, SHORT_LINE = 20, 60, 14
+
+
 def unstack_words(text: Column) -> Column:
-    """Words that stand one a line joined to running text: 20 lines or more, over 60 % of them one
-    word, the median line at most 14 characters."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))
-    alone = F.size(F.filter(lines, lambda x: ~F.contains(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(" "))))
-    median = F.get(F.array_sort(F.transform(lines, F.length)), F.floor(F.size(lines) / 2).cast("int"))
-    joined = F.regexp_replace(F.regexp_replace(text, r"\s*\n+\s*", " "), r"^\s+|\s+$", "")
-    return F.when((F.size(lines) >= 20) & (alone > 0.6 * F.size(lines)) & (median <= 14), joined).otherwise(text)
+    """A column of words as running text: where enough lines have no space inside, and more than half are
+    short, the lines that are not blank are joined by spaces."""
+    lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\S[^\n]*"), F.lit(0))
+    single = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^\s*\S([^ ]*\S)?\s*$"))))
+    short = F.size(F.filter(lines, lambda x: F.length(x) <= SHORT_LINE))
+    stacked = (F.size(lines) >= STACKED_LINES) & (100 * single > STACKED_PERCENT * F.size(lines)) & (short > F.floor(F.size(lines) / 2))
+    return F.when(stacked, F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), " ")).otherwise(text)

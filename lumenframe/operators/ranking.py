@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.text import fold
 
-#: Frequent words by which languages are told apart.
+#: Frequent words by which languages are told apart; of equal counts the earlier language wins.
 STOP_WORDS = {
-    "en": "the of and to in is that it for was on with as be by this are from at",
-    "es": "el la los las de del y que en un una por con para se su al no es",
-    "fr": "le la les de des du et un une en que qui est pour dans par sur au",
-    "de": "der die das und den von zu mit ist ein eine nicht dem im auf des sich",
+    "en": "the a an of in on at for with and or is are my our from to photo photos picture pictures image images last this that where when who some near",
+    "es": "el la los las un una unos unas de del en con y o es son mi mis nuestro desde foto fotos imagen imágenes último última donde dónde cuando cuándo quien quién playa perro",
+    "fr": "le la les un une des de du et ou est sont mon ma mes notre depuis photo photos image images dernier dernière où quand qui plage chien",
+    "de": "der die das ein eine und oder ist sind mein meine unser von foto fotos bild bilder letzte letzter wo wann wer strand hund",
+    "pt": "o a os as um uma uns umas de do da e ou é são meu minha nosso desde foto fotos imagem imagens último última onde quando quem praia cachorro cão",
+    "it": "il lo la i gli le un uno una di e o è sono mio mia nostro da foto immagine immagini ultimo ultima dove quando chi spiaggia cane",
 }
 
 
@@ -80,9 +82,22 @@ def bands(rows: DataFrame, score: str, strong: float = 0.27, medium: float = 0.2
 
 
 def non_english(text: Column) -> Column:
-    """es, fr or de if its stop words are at least two and more than English ones; else null."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[^ ,.!?;:\n]+"), F.lit(0))
+    """The language whose stop words are most, if there is one at all and more than English ones; null for
+    a text of fewer than two words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{No}\p{Nl}]+"), F.lit(0))
     n = {k: F.size(F.filter(words, _among(v.split()))) for k, v in STOP_WORDS.items()}
-    best = F.greatest(n["es"], n["fr"], n["de"])
-    named = F.when((n["es"] >= n["fr"]) & (n["es"] >= n["de"]), "es").when(n["fr"] >= n["de"], "fr").otherwise("de")
-    return F.when((best >= 2) & (best > n["en"]), named)
+    others = [k for k in n if k != "en"]
+    best = F.greatest(*[n[k] for k in others])
+    named = reduce(lambda later, k: F.when(n[k] == best, k).otherwise(later), reversed(others), F.lit(None))
+    return F.when((F.size(words) >= 2) & (best >= 1) & (best > n["en"]), named)
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Shared words over all words of two folded names, where an initial of ``a`` counts half for a word of ``b``; 1 for the
+    same words in any order, 0 for a name without words."""
+    words = lambda c: F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    x, y = words(a), words(b)
+    left, right = F.array_except(x, y), F.array_except(y, x)
+    initials = F.filter(left, lambda w: (F.length(w) == 1) & F.exists(right, lambda v: v.startswith(w)))
+    share = (F.size(F.array_intersect(x, y)) + 0.5 * F.size(initials)) / F.size(F.array_union(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(F.array_sort(x) == F.array_sort(y), 1.0).otherwise(F.bround(F.least(share, F.lit(1.0)), 4))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import text
 from lumenframe.operators import geo, ranking, vectors
+from lumenframe.operators import relink as matching
 from lumenframe.plans import indexes
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
@@ -101,19 +102,16 @@ def asof_locate(spark, d):
     return geo.locate(points, probes, "user_id", 7200, 3600).select("event_id", F.round("v", 6).alias("v"))
 
 
-@query(
-    "J12_relink",
-    PHOTOS_SQL + ", gone AS (SELECT id, name, size, content_hash FROM photos WHERE missing), f AS (SELECT id + 1000000 AS file, CASE WHEN id % 2 = 0 THEN name ELSE concat('x', name) END AS fname, size AS fsize, content_hash AS fhash FROM photos WHERE missing AND id % 5 <> 0), m AS (SELECT id, file, CASE WHEN name = fname AND size = fsize AND content_hash = fhash THEN 1 WHEN size = fsize AND content_hash = fhash THEN 2 ELSE 3 END AS tier FROM gone JOIN f ON size = fsize AND (content_hash = fhash OR name = fname)), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, file) AS n FROM m), u AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY tier, id) AS k FROM b WHERE n = 1) SELECT id, file, CAST(tier AS INT) AS tier FROM u WHERE k = 1",
-)
+@query("J12_relink")
 def relink(spark, d):
-    """Missing records matched to found files in three tiers, each file once."""
-    gone = photos(spark, d).where("missing").select("id", "name", "size", "content_hash")
-    files = photos(spark, d).where("missing and id % 5 <> 0").selectExpr("id + 1000000 AS file", "CASE WHEN id % 2 = 0 THEN name ELSE concat('x', name) END AS fname", "size", "content_hash AS fhash")
-    same, named = F.col("content_hash") == F.col("fhash"), F.col("name") == F.col("fname")
-    tier = F.when(same & named, 1).when(same, 2).otherwise(3)
-    found = gone.join(files, "size").where(same | named).withColumn("tier", tier)
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("tier", "file"))).where("n = 1")
-    return best.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("tier", "id"))).where("k = 1").select("id", "file", "tier")
+    """Missing records and the files found for them: moved, renamed, changed in place, copied, or of a shared name."""
+    gone = photos(spark, d).where("missing").selectExpr("id", "CASE WHEN id % 3 = 0 THEN concat('IMG_', id % 5, '.JPG') ELSE name END AS name", "CASE WHEN id % 3 = 0 THEN 9000 WHEN id % 29 = 0 THEN 0 ELSE size END AS size", "CASE WHEN id % 4 = 0 THEN NULL ELSE content_hash END AS hash")
+    found = photos(spark, d).where("missing and id % 5 <> 0").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).where("copy = 0 or id % 2 = 0")
+    files = found.selectExpr(
+        "concat('/found/', id, '-', copy) AS file", "CASE WHEN id % 3 = 0 THEN concat('img_', id % 5, '.jpg') WHEN copy = 1 THEN concat('x', name) ELSE upper(name) END AS name",
+        "CASE WHEN id % 3 = 0 THEN 9000 ELSE size END AS size", "CASE WHEN id % 7 = 0 THEN md5(content_hash) ELSE content_hash END AS hash",
+    )
+    return matching.relink(gone, files)
 
 
 @query("J13_import_duplicates", PHOTOS_SQL + ", known AS (SELECT DISTINCT content_hash FROM photos WHERE id % 4 = 0), batch AS (SELECT id, content_hash FROM photos WHERE id % 4 <> 0) SELECT b.id, k.content_hash IS NOT NULL OR row_number() OVER (PARTITION BY b.content_hash ORDER BY b.id) > 1 AS duplicate FROM batch b LEFT JOIN known k ON k.content_hash = b.content_hash")
@@ -245,21 +243,32 @@ def rank_fusion(spark, d):
     return ranking.fused(rows, {"rrf": 1.0}).select("id", F.round("rrf", 6).alias("rrf"), F.round("fused", 6).alias("scaled"))
 
 
-@query("R16_name_similarity", "WITH n AS (SELECT n_nationkey AS k, list_distinct(regexp_extract_all(lower(n_name), '[a-z]+')) AS w FROM nation) SELECT a.k AS a, b.k AS b, round(len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))), 4) AS s FROM n a JOIN n b ON a.k < b.k AND len(list_intersect(a.w, b.w)) > 0")
+_NAME_A, _NAME_B = "array_to_string(w[1:3], ' ')", "CASE doc_id % 4 WHEN 0 THEN concat_ws(' ', w[3], w[1], w[2]) WHEN 1 THEN concat_ws(' ', w[1], w[4]) WHEN 2 THEN concat_ws(' ', w[2], substr(w[3], 1, 1)) ELSE array_to_string(w[4:6], ' ') END"
+_NAME_WORDS = f"regexp_extract_all(translate(lower({{}}), '{text.ACCENTED}', '{text.PLAIN}'), '[a-z0-9]+')"
+
+
+@query(
+    "R16_name_similarity",
+    f"WITH d AS (SELECT doc_id, regexp_split_to_array(text, ' ') AS w FROM documents), n AS (SELECT doc_id, {_NAME_B} AS a, {_NAME_A} AS b FROM d), t AS (SELECT doc_id, {_NAME_WORDS.format('a')} AS x, {_NAME_WORDS.format('b')} AS y FROM n), "
+    "u AS (SELECT *, list_filter(list_distinct(x), lambda v: NOT list_contains(y, v)) AS l, list_filter(list_distinct(y), lambda v: NOT list_contains(x, v)) AS r FROM t) "
+    "SELECT doc_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN list_sort(x) = list_sort(y) THEN 1.0 ELSE round_even(least(1.0, (len(list_distinct(x)) - len(l) + 0.5 * len(list_filter(l, lambda i: length(i) = 1 AND len(list_filter(r, lambda v: starts_with(v, i))) > 0)))::DOUBLE / (len(list_distinct(x)) + len(r))), 4) END AS s FROM u",
+)
 def name_similarity(spark, d):
-    """Jaccard similarity of names that share a token, found through the token."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.array_distinct(F.regexp_extract_all(F.lower("n_name"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    t = n.select("k", "w", F.explode("w").alias("t"))
-    a, b = t.alias("x"), t.alias("y")
-    both = a.join(b, (F.col("x.t") == F.col("y.t")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.w").alias("p"), F.col("y.w").alias("q")).distinct()
-    return both.select("a", "b", F.round(F.size(F.array_intersect("p", "q")) / F.size(F.array_union("p", "q")), 4).alias("s"))
+    """Names from every document's first words, turned round, shortened to an initial, or others."""
+    w = F.split("text", " ")
+    part = lambda i: F.get(w, i - 1)
+    k = F.col("doc_id") % 4
+    other = F.when(k == 0, F.concat_ws(" ", part(3), part(1), part(2))).when(k == 1, F.concat_ws(" ", part(1), part(4))).when(k == 2, F.concat_ws(" ", part(2), F.substring(part(3), 1, 1))).otherwise(F.array_join(F.slice(w, 4, 3), " "))
+    return table(spark, d, "documents").select("doc_id", ranking.name_similarity(other, F.array_join(F.slice(w, 1, 3), " ")).alias("s"))
 
 
 _LANGS = ranking.STOP_WORDS
-_LSQL = ", ".join(f"len(list_filter(w, lambda x: list_contains({list(v.split())!r}, x))) AS {k}" for k, v in _LANGS.items())
+_LSQL = ", ".join(f"len(list_filter(w, lambda x: list_contains({v.split()!r}, x))) AS {k}_" for k, v in _LANGS.items())
+_OTHERS = [k for k in _LANGS if k != "en"]
+_BEST = "greatest(" + ", ".join(f"{k}_" for k in _OTHERS) + ")"
 
 
-@query("R18_language", f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ ,.!?;:\\n]+') AS w FROM documents), c AS (SELECT doc_id, {_LSQL} FROM w) SELECT doc_id, CASE WHEN greatest(es, fr, de) >= 2 AND greatest(es, fr, de) > en THEN CASE WHEN es >= fr AND es >= de THEN 'es' WHEN fr >= de THEN 'fr' ELSE 'de' END END AS lang FROM c")
+@query("R18_language", f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{No}}\\p{{Nl}}]+') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, {_LSQL} FROM w) SELECT doc_id, CASE WHEN n >= 2 AND {_BEST} >= 1 AND {_BEST} > en_ THEN CASE " + " ".join(f"WHEN {k}_ = {_BEST} THEN '{k}'" for k in _OTHERS) + " END END AS lang FROM c")
 def language(spark, d):
     """The language whose stop words count most, if it beats English."""
     return table(spark, d, "documents").select("doc_id", ranking.non_english(F.col("text")).alias("lang"))

@@ -13,7 +13,7 @@ from lumenframe.plans.views import PHOTOS_SQL, photos, table
 
 @query(
     "D05_resolve_year",
-    "WITH q AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS t, 1 + o_orderkey % 31 AS dd, 1 + (o_orderkey // 31) % 12 AS mm FROM orders), c AS (SELECT o_orderkey, y, t, TRY_CAST(concat(year(t) + y, '-', lpad(CAST(mm AS STRING), 2, '0'), '-', lpad(CAST(dd AS STRING), 2, '0')) AS DATE) AS c FROM q, (VALUES (-1), (0), (1)) v(y)), s AS (SELECT *, c - t AS d FROM c WHERE c IS NOT NULL) SELECT o_orderkey, arg_min(c, CASE WHEN d >= -10 THEN d ELSE 10000 - d END * 10 + y) AS future, arg_min(c, CASE WHEN d <= 45 THEN -d ELSE 10000 + d END * 10 + y) AS past, arg_min(c, CASE WHEN d >= 0 THEN d ELSE 10000 - d END * 10 + y) AS next, arg_min(c, abs(d) * 10 + y) AS nearest FROM s GROUP BY o_orderkey",
+    "WITH q AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS t, 1 + o_orderkey % 31 AS dd, 1 + (o_orderkey // 31) % 12 AS mm FROM orders), c AS (SELECT o_orderkey, y, t, TRY_CAST(concat(year(t) + y, '-', lpad(CAST(mm AS STRING), 2, '0'), '-', lpad(CAST(dd AS STRING), 2, '0')) AS DATE) AS c FROM q, (VALUES (-1), (0), (1)) v(y)), s AS (SELECT *, c - t AS d FROM c WHERE c IS NOT NULL) SELECT o_orderkey, arg_min(c, {'o': d < -10, 'r': CASE WHEN d < -10 THEN -d ELSE d END, 'y': y}) AS future, arg_min(c, {'o': d > 45, 'r': CASE WHEN d > 45 THEN d ELSE -d END, 'y': y}) AS past, arg_min(c, {'o': d < 0, 'r': CASE WHEN d < 0 THEN -d ELSE d END, 'y': y}) AS next, arg_min(c, abs(d) * 10 + y) AS nearest FROM s GROUP BY o_orderkey",
 )
 def resolve_year(spark, d):
     """Day and month without a year, read in four ways; days that no year has are left out."""
@@ -62,7 +62,7 @@ def plan_times(spark, d):
     """Milliseconds of the frames to take from each clip."""
     k = F.col("o_orderkey")
     scenes = F.array((k % 97).cast("double"), k % 31 + 0.5, ((k * 7) % 200).cast("double"))
-    times = moments.plan_times(((k * 13) % 400).cast("double"), scenes)
+    times = moments.frame_times(((k * 13) % 400).cast("double"), scenes)
     return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(times, lambda t: F.round(t * 1000).cast("long").cast("string")), ",").alias("times"))
 
 

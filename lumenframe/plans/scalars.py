@@ -16,7 +16,7 @@ def fold(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
-_SLUG = rf"regexp_replace(regexp_replace({_FOLD.format('substr(text, 1, 70)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG = rf"regexp_replace(regexp_replace({_FOLD.format('text')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 @query(
@@ -24,7 +24,7 @@ _SLUG = rf"regexp_replace(regexp_replace({_FOLD.format('substr(text, 1, 70)')},
     f"WITH s AS (SELECT doc_id, {_SLUG} AS s FROM documents), h AS (SELECT *, substr(s, 1, 40) AS h FROM s) SELECT doc_id, CASE WHEN length(s) <= 40 THEN s WHEN substr(s, 41, 1) <> '-' AND contains(h, '-') THEN regexp_replace(substr(h, 1, length(h) - strpos(reverse(h), '-')), '-+$', '') ELSE regexp_replace(h, '-+$', '') END AS slug FROM h",
 )
 def slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.slugify(F.substring("text", 1, 70)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query("X02_safe_filename", r"""SELECT page_id, substr(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]+', '_', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 120) AS name FROM pages""")
@@ -135,18 +135,26 @@ def easter(spark, d):
     return y.select("year", checks.easter(F.col("year")).alias("easter"))
 
 
-_CAL = "cal AS (SELECT CAST(day AS DATE) AS day, isodow(day) < 6 AND NOT (strftime(day, '%m-%d') IN ('01-01', '05-01', '12-25')) AND CAST(day AS DATE) NOT IN (DATE '1992-04-17', DATE '1993-04-09', DATE '1994-04-01', DATE '1995-04-14', DATE '1996-04-05', DATE '1997-03-28', DATE '1998-04-10', DATE '1999-04-02') AS business FROM range(TIMESTAMP '1992-01-01', TIMESTAMP '1999-12-31', INTERVAL 1 DAY) AS t(day))"
+_EASTER_SQL = (
+    "e AS (SELECT y, make_date(y, (h + m - 7 * n + 114) // 31, (h + m - 7 * n + 114) % 31 + 1) AS easter FROM (SELECT *, (a + 11 * h + 22 * m) // 451 AS n FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m FROM "
+    "(SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT DISTINCT CAST(year(day) AS INT) AS y FROM days))))))"
+)
+_CAL = (
+    "ends AS (SELECT least(min(CAST(o_orderdate AS DATE)), min(CAST(l_shipdate AS DATE))) AS a, greatest(max(CAST(o_orderdate AS DATE)), max(CAST(l_shipdate AS DATE))) AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey), "
+    f"days AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM ends), {_EASTER_SQL}, "
+    "cal AS (SELECT day, isodow(day) < 6 AND NOT (strftime(day, '%m-%d') IN ('01-01', '05-01', '12-25')) AND day <> easter - 2 AS business FROM days JOIN e ON y = year(day))"
+)
 
 
-@query("D10_business_days", f"WITH {_CAL}, n AS (SELECT *, coalesce(sum(business::INT) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM cal) SELECT l_orderkey, l_linenumber, CAST(b.nth - a.nth AS BIGINT) AS days, a.business AS ordered_on_business_day FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN n a ON a.day = CAST(o_orderdate AS DATE) JOIN n b ON b.day = CAST(l_shipdate AS DATE)")
+@query("D10_business_days", f"WITH {_CAL}, n AS (SELECT *, coalesce(sum(business::INT) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM cal) SELECT l_orderkey, l_linenumber, CAST(b.nth - a.nth AS BIGINT) AS days, a.business AS ordered_on_business_day FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN n a ON a.day = CAST(o_orderdate AS DATE) LEFT JOIN n b ON b.day = CAST(l_shipdate AS DATE)")
 def business_days(spark, d):
-    """Business days from an order to its shipping, through a calendar of one row a day."""
-    cal = checks.calendar(spark, "1992-01-01", "1999-12-30")
+    """Business days from an order to its shipping; a missing date leaves both null."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ship")).join(o, "l_orderkey")
-    a = F.broadcast(cal.select("day", F.col("nth").alias("n0"), F.col("business").alias("ordered_on_business_day")))
-    b = F.broadcast(cal.select(F.col("day").alias("ship"), F.col("nth").alias("n1")))
-    return li.join(a, "day").join(b, "ship").select("l_orderkey", "l_linenumber", (F.col("n1") - F.col("n0")).alias("days"), "ordered_on_business_day")
+    cal = checks.calendar([F.col("day"), F.col("ship")], li)
+    a = cal.select("day", F.col("nth").alias("n0"), F.col("business").alias("ordered_on_business_day"))
+    b = cal.select(F.col("day").alias("ship"), F.col("nth").alias("n1"))
+    return li.join(a, "day", "left").join(b, "ship", "left").select("l_orderkey", "l_linenumber", (F.col("n1") - F.col("n0")).alias("days"), "ordered_on_business_day")
 
 
 @query("D12_shift_iso", PHOTOS_SQL + "SELECT id, strftime(CAST(captured AS TIMESTAMP) - INTERVAL 5400 SECOND, '%Y-%m-%dT%H:%M:%S') AS shifted, CAST(epoch(CAST(captured AS TIMESTAMP)) AS BIGINT) AS seconds FROM photos WHERE captured IS NOT NULL")
