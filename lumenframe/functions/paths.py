@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,22 @@ def unstack_words(text: Column) -> Column:
     short = F.size(F.filter(lines, lambda x: F.length(x) <= SHORT_LINE))
     stacked = (F.size(lines) >= STACKED_LINES) & (100 * single > STACKED_PERCENT * F.size(lines)) & (short > F.floor(F.size(lines) / 2))
     return F.when(stacked, F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), " ")).otherwise(text)
+
+
+def ancestors(path: Column, sep: str = "/") -> Column:
+    """Every beginning of a path at a separator, itself included."""
+    parts = F.split(path, sep)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), sep))
+
+
+def overlaps(left: DataFrame, right: DataFrame, path: str) -> DataFrame:
+    """``left`` with ``overlaps``: rows of ``right`` with the same path, one above or one below. The right side is
+    counted by path before it is joined, so a common path meets as one row; a null path overlaps nothing."""
+    at = right.groupBy(path).agg(F.count(F.lit(1)).alias("_n")).where(F.col(path).isNotNull())
+    below = at.select("_n", F.explode(ancestors(F.col(path))).alias("_path")).groupBy("_path").agg(F.sum("_n").alias("_below"))
+    asked = left.select(path).distinct().where(F.col(path).isNotNull())
+    above = asked.select(path, F.explode(ancestors(F.col(path))).alias("_path")).where(F.col("_path") != F.col(path))
+    above = above.join(at.withColumnRenamed(path, "_path"), "_path").groupBy(path).agg(F.sum("_n").alias("_above"))
+    counts = asked.join(above, path, "left").join(below.withColumnRenamed("_path", path), path, "left")
+    counts = counts.select(path, (F.coalesce("_above", F.lit(0)) + F.coalesce("_below", F.lit(0))).cast("long").alias("overlaps"))
+    return left.join(counts, path, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0).cast("long")))

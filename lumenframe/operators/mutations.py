@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,21 @@ def group_stacks(members: DataFrame, asked: DataFrame) -> DataFrame:
     own = Window.partitionBy("stack")
     placed = rows.withColumn("place", F.row_number().over(own.orderBy("_later", "pos", "id"))).withColumn("_n", F.count(F.lit(1)).over(own))
     return placed.where("_n >= 2").select("id", "stack", "place")
+
+
+def with_undone(journal: DataFrame) -> DataFrame:
+    """``id, undone`` of the writes of a journal (``id, kind, ok, undoes``): whether an undo that succeeded names them."""
+    named = journal.where((F.col("kind") == "undo") & F.col("ok") & F.col("undoes").isNotNull()).select(F.col("undoes").alias("id")).distinct().withColumn("undone", F.lit(True))
+    return journal.where("kind = 'write'").select("id").join(named, "id", "left").withColumn("undone", F.coalesce("undone", F.lit(False)))
+
+
+def retention(local: DataFrame, browsed: DataFrame, references: list[DataFrame], now: str, days: int) -> DataFrame:
+    """``id, verdict`` of browsed records (``id, folder, touched``): ``recent`` if their folder was visited (``browsed``:
+    ``folder, at``) less than ``days`` ago or never noted, ``in use`` if a row of ``references`` (``id``) or no folder holds
+    them, ``touched`` if changed, else ``evict``. No days, or times that cannot be read, evict nothing."""
+    used = reduce(DataFrame.unionByName, references).where("id is not null").distinct().withColumn("_used", F.lit(True))
+    age = F.unix_timestamp(F.try_to_timestamp(F.lit(now))) - F.unix_timestamp(F.try_to_timestamp("at"))
+    old = F.coalesce(F.lit(days > 0) & (age >= days * 86400), F.lit(False))
+    rows = local.join(browsed, "folder", "left").join(used, "id", "left")
+    verdict = F.when(F.col("folder").isNull(), "in use").when(~old, "recent").when(F.col("_used"), "in use").when(F.coalesce("touched", F.lit(False)), "touched").otherwise("evict")
+    return rows.select("id", verdict.alias("verdict"))

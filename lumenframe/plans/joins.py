@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions import text
-from lumenframe.operators import geo, ranking, vectors
+from lumenframe.functions import paths, text
+from lumenframe.operators import geo, mutations, ranking, vectors
 from lumenframe.operators import relink as matching
 from lumenframe.plans import indexes
 from lumenframe.plans.registry import query
@@ -140,6 +140,48 @@ def unreferenced(spark, d):
     return old.join(used, "id", "left_anti")
 
 
+_OBJECTS = "concat('user:', CAST(user_id AS STRING), CASE WHEN event_id % 3 > 0 THEN concat('/type:', event_type) ELSE '' END, CASE WHEN event_id % 3 = 2 THEN concat('/day:', CAST(event_id % 7 AS STRING)) ELSE '' END)"
+
+
+@query(
+    "J16_conflicts",
+    f"WITH o AS (SELECT event_id, event_id % 2 AS side, {_OBJECTS} AS object FROM events), l AS (SELECT DISTINCT object FROM o WHERE side = 0), r AS (SELECT object, count(*) AS n FROM o WHERE side = 1 GROUP BY 1), c AS (SELECT l.object, CAST(sum(r.n) AS BIGINT) AS n FROM l JOIN r ON l.object = r.object OR starts_with(l.object, concat(r.object, '/')) OR starts_with(r.object, concat(l.object, '/')) GROUP BY 1) SELECT event_id, coalesce(n, 0) AS conflicts FROM o LEFT JOIN c USING (object) WHERE side = 0",
+)
+def conflicts(spark, d):
+    """How many writes of the other session touch the object of each write, or one above or below it."""
+    o = table(spark, d, "events").selectExpr("event_id", "event_id % 2 AS side", f"{_OBJECTS} AS object")
+    return paths.overlaps(o.where("side = 0").drop("side"), o.where("side = 1"), "object").select("event_id", F.col("overlaps").alias("conflicts"))
+
+
+_JOURNAL = "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'undo' ELSE 'write' END AS kind, value > 5 AS ok, CASE WHEN event_id % 10 = 0 THEN event_id - 1 - event_id % 3 WHEN event_id % 15 = 0 THEN NULL WHEN event_id % 5 = 0 THEN event_id + 2 END AS undoes FROM events"
+
+
+@query("J17_undone", f"WITH j AS ({_JOURNAL}) SELECT id, id IN (SELECT undoes FROM j WHERE kind = 'undo' AND ok AND undoes IS NOT NULL) AS undone FROM j WHERE kind = 'write'")
+def undone(spark, d):
+    """Writes of a journal, and whether an undo that succeeded names them."""
+    j = table(spark, d, "events").selectExpr("event_id AS id", "CASE WHEN event_id % 5 = 0 THEN 'undo' ELSE 'write' END AS kind", "value > 5 AS ok", "CASE WHEN event_id % 10 = 0 THEN event_id - 1 - event_id % 3 WHEN event_id % 15 = 0 THEN NULL WHEN event_id % 5 = 0 THEN event_id + 2 END AS undoes")
+    return mutations.with_undone(j)
+
+
+_LOCAL = "SELECT id, CASE WHEN id % 41 = 0 THEN NULL ELSE folder END AS folder, edited OR rating > 4 AS touched, CASE WHEN id % 50 = 7 THEN id + 1 END AS copy_of, stack FROM photos WHERE id % 2 = 0"
+_BROWSED = "SELECT folder, max(imported) AS at FROM photos WHERE folder <> '/lib/3' AND id % 1000 = 5 GROUP BY folder"
+_USED = "SELECT l_orderkey AS id FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' UNION SELECT id FROM photos WHERE id % 50 = 9 UNION SELECT min(id) FROM photos GROUP BY album UNION SELECT id + 1 FROM photos WHERE id % 50 = 7"
+
+
+@query(
+    "J18_retention",
+    PHOTOS_SQL + f", l AS ({_LOCAL}), b AS ({_BROWSED}), u AS ({_USED}) SELECT l.id, CASE WHEN l.folder IS NULL THEN 'in use' WHEN b.at IS NULL OR epoch(TIMESTAMP '1998-08-02 12:00:00') - epoch(CAST(b.at AS TIMESTAMP)) < 400 * 86400 THEN 'recent' WHEN l.id IN (SELECT id FROM u) THEN 'in use' WHEN touched THEN 'touched' ELSE 'evict' END AS verdict FROM l LEFT JOIN b ON l.folder = b.folder",
+)
+def retention(spark, d):
+    """What keeps each browsed record: its folder's last visit, a reference from albums, covers, stacks or copies, an edit; else it goes."""
+    p = photos(spark, d)
+    local = p.where("id % 2 = 0").selectExpr("id", "CASE WHEN id % 41 = 0 THEN NULL ELSE folder END AS folder", "edited OR rating > 4 AS touched")
+    browsed = p.where("folder <> '/lib/3' AND id % 1000 = 5").groupBy("folder").agg(F.max("imported").alias("at"))
+    members = table(spark, d, "lineitem").where("l_shipdate >= '1998-06-01'").select(F.col("l_orderkey").alias("id"))
+    stacked, covers, copies = p.where("id % 50 = 9").select("id"), p.groupBy("album").agg(F.min("id").alias("id")).select("id"), p.where("id % 50 = 7").select((F.col("id") + 1).alias("id"))
+    return mutations.retention(local, browsed, [members, covers, stacked, copies], "1998-08-02T12:00:00", 400)
+
+
 @query("J21_star_join", "SELECT n_name, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1")
 def star_join(spark, d):
     """Revenue by nation over the star schema; columns and filters reach the scans."""
