@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenframe.operators import mutations
+from lumenframe.operators import albums, mutations
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
 from lumenframe.streaming import events as stream
@@ -128,3 +128,26 @@ def group_stacks(spark, d):
     members = o.where("o_orderkey % 5 < 2").selectExpr("o_orderkey AS id", "CAST(o_custkey AS BIGINT) AS stack", "o_orderkey % 100 AS pos")
     asked = o.where("o_orderkey % 7 = 0").selectExpr("o_orderkey AS id", "CAST(-o_custkey AS BIGINT) AS into", "o_orderkey AS pos")
     return mutations.group_stacks(members, asked)
+
+
+def _albums(spark, d):
+    """Customers as albums, four to a folder, and suppliers as operations on them."""
+    a = table(spark, d, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey >= 4 THEN c_custkey div 4 END AS parent", "c_name AS name", "c_custkey % 7 < 5 AS folder", "c_custkey % 7 = 5 AS smart", "c_custkey % 7 = 6 AS filled")
+    n = F.broadcast(a.agg(F.max("id").alias("n")))  # one row
+    ops = table(spark, d, "supplier").join(n).selectExpr(
+        "s_suppkey AS seq", "element_at(array('move', 'move', 'add', 'remove', 'rename'), cast(s_suppkey % 5 + 1 as int)) AS op", "s_suppkey * 7919 % (n + 20) AS id",
+        "CASE WHEN s_suppkey % 11 > 0 THEN s_suppkey * 104729 % n END AS parent", "s_name AS name", "s_nationkey % 2 = 0 AS folder", "s_nationkey % 3 = 0 AS smart", "s_nationkey % 4 = 0 AS filled",
+    )
+    return a, ops
+
+
+@query("M04_album_ops")
+def album_ops(spark, d):
+    """Every operation of the log with what is wrong with it, if anything, at its turn."""
+    return albums.apply(*_albums(spark, d))[1]
+
+
+@query("M04_album_paths")
+def album_paths(spark, d):
+    """Every album's place in the tree after the log."""
+    return albums.paths(albums.apply(*_albums(spark, d))[0])
