@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lumenframe.functions import extract
+from lumenframe.functions import extract, markdown
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import table
 from lumenframe.sources.files import cue_lines
@@ -94,3 +94,22 @@ def sniff(spark, d):
     """The kind of each page's bytes, a few given a false beginning."""
     head = F.when(F.col("page_id") % 5 == 0, F.unhex(F.lit("FFD8FF00"))).when(F.col("page_id") % 5 == 1, F.lit("%PDF-1.7").cast("binary")).otherwise(F.substring("html", 1, 16).cast("binary"))
     return table(spark, d, "pages").select("page_id", extract.sniff(head).alias("kind"))
+
+
+def _markdown(spark, d):
+    """Every page as Markdown, a third of them with front matter."""
+    front = F.when(F.col("page_id") % 3 == 0, F.format_string("---\ntitle: Page %d\nlang: xx\n---\n", "page_id")).otherwise("")
+    return table(spark, d, "pages").select("page_id", markdown.markdown_of("html", "url").alias("body")).select("page_id", F.concat(front, "body").alias("markdown"))
+
+
+@query("H07_markdown")
+def to_markdown(spark, d):
+    """Every page as Markdown and as the text of that."""
+    pages = table(spark, d, "pages").select("page_id", markdown.markdown_of("html", "url").alias("markdown"))
+    return pages.select("page_id", "markdown", markdown.text_of("markdown").alias("text"))
+
+
+@query("X13_chunk_markdown")
+def chunk_markdown(spark, d):
+    """Every page's Markdown in chunks under its headings."""
+    return _markdown(spark, d).select("page_id", F.explode(markdown.chunks_of("markdown")).alias("c")).select("page_id", "c.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenframe.functions import moments, paths, text
+from lumenframe.functions import moments, paths, relative, text
 from lumenframe.operators import search, vectors
 from lumenframe.plans import indexes
 from lumenframe.plans.registry import query
@@ -192,3 +192,34 @@ def delta(spark, d):
     new = F.create_map(F.lit("rating"), (F.col("rating") + F.col("id") % 2).cast("string"), F.lit("label"), F.col("label"))
     both = F.map_zip_with(old, new, lambda k, a, b: ~a.eqNullSafe(b))
     return p.select("id", F.array_join(F.array_sort(F.map_keys(F.map_filter(both, lambda k, v: v))), ",").alias("changed"))
+
+
+@query(
+    "D07_parse_due",
+    "WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS t, 1 + o_orderkey % 28 AS n, 1 + o_orderkey % 12 AS m FROM orders) SELECT k AS o_orderkey, CASE k % 13 WHEN 0 THEN t + CAST(n AS INT) WHEN 1 THEN t + 14 WHEN 2 THEN CAST(t + INTERVAL 1 MONTH * CAST(m AS INT) AS DATE) WHEN 3 THEN t + 2 WHEN 4 THEN t + 1 WHEN 5 THEN t WHEN 6 THEN t + CAST(1 + (11 - isodow(t)) % 7 AS INT) WHEN 7 THEN CASE WHEN day(t) <= n THEN CAST(date_trunc('month', t) AS DATE) + CAST(n - 1 AS INT) ELSE CAST(date_trunc('month', t) + INTERVAL 1 MONTH AS DATE) + CAST(n - 1 AS INT) END WHEN 8 THEN last_day(t) WHEN 9 THEN make_date(2024, m, n) WHEN 10 THEN CASE WHEN make_date(year(t), m, n) >= t THEN make_date(year(t), m, n) ELSE make_date(year(t) + 1, m, n) END WHEN 11 THEN NULL ELSE NULL END AS due FROM o",
+)
+def parse_due(spark, d):
+    """Due dates said in thirteen ways, from every order's date."""
+    k, t = F.col("o_orderkey"), F.to_date("o_orderdate")
+    n, m = (1 + k % 28).cast("int"), (1 + k % 12).cast("int")
+    months = F.array(*[F.lit(x.split()[0]) for x in relative.MONTHS])
+    said = [
+        F.format_string("Entregar en %d días", n), F.lit("dentro de dos semanas"), F.format_string("in %d months", m), F.lit("pasado mañana por la mañana"), F.lit("Tomorrow, please"), F.lit("hoy"), F.lit("el próximo viernes"),
+        F.format_string("el día %d", n), F.lit("a fin de mes"), F.format_string("%02d/%02d/2024", n, m), F.concat(F.format_string("%d de ", n), F.element_at(months, m)), F.lit("por la mañana"), F.lit("31/02/2024"),
+    ]
+    text = F.element_at(F.array(*said), (k % 13 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", relative.parse_due(text, t).alias("due"))
+
+
+@query(
+    "D08_resolve_since",
+    "WITH e AS (SELECT event_id AS k, ts AS t, epoch_us(ts) / 1e6 AS s, 1 + event_id % 50 AS n FROM events) SELECT k AS event_id, CASE k % 11 WHEN 0 THEN epoch(date_trunc('day', t)) WHEN 1 THEN epoch(date_trunc('day', t)) - 86400 WHEN 2 THEN epoch(date_trunc('day', t)) + 21600 WHEN 3 THEN epoch(date_trunc('week', t)) WHEN 4 THEN epoch(date_trunc('month', t)) WHEN 5 THEN s - 604800 WHEN 6 THEN s - 3600 WHEN 7 THEN s - n * 3600 WHEN 8 THEN s - (n + 0.5) * 60 WHEN 9 THEN epoch(date_trunc('second', t)) ELSE NULL END AS since FROM e",
+)
+def resolve_since(spark, d):
+    """Beginnings said in eleven ways, at every event's time."""
+    k, t, n = F.col("event_id"), F.col("ts").cast("timestamp"), (1 + F.col("event_id") % 50).cast("int")
+    said = [
+        F.lit("Hoy"), F.lit("ayer"), F.lit("esta  mañana"), F.lit("this week"), F.lit("este mes"), F.lit("la semana pasada"), F.lit("last hour"), F.format_string("hace %d horas", n),
+        F.format_string("%d,5 minutes ago", n), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("soon"),
+    ]
+    return table(spark, d, "events").select("event_id", relative.resolve_since(F.element_at(F.array(*said), (k % 11 + 1).cast("int")), t).alias("since"))
