@@ -33,14 +33,14 @@ def exact_groups(photos: DataFrame) -> DataFrame:
 
 
 def simhash(docs: DataFrame, id_col: str, words: Column, bits: int = 60) -> DataFrame:
-    """``id, bits``: bit k is set if most words' digests set theirs. A row's words are summed where
-    they are; rows without words have no hash."""
-    digest = F.conv(F.substring(F.md5("w"), 1, bits // 4), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("id", "row", F.explode("words").alias("w")).select("id", "row", digest.alias("d"))
-    votes = [F.sum(F.shiftright("d", k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{k}") for k in range(bits)]
-    found = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(f"v{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(bits)])
-    return rows.groupBy("row", "id").agg(*votes).select("id", found.alias("bits"))
+    """``id, bits``: bit k is set if most words' digests set theirs. A row's words are counted where
+    they are, without a shuffle; rows without words have no hash."""
+    digests = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, bits // 4), 16, 10).cast("long"))
+    rows = docs.select(F.col(id_col).alias("id"), digests.alias("d")).where(F.size("d") > 0)
+    most = lambda k: 2 * F.size(F.filter("d", lambda x: F.call_function("getbit", x, k) == 1)) > F.size("d")
+    places = F.sequence(F.lit(0), F.lit(bits - 1))
+    found = F.aggregate(places, F.lit(0).cast("long"), lambda held, k: F.when(most(k), held.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(held))
+    return rows.select("id", found.alias("bits"))
 
 
 def hash_classes(rows: DataFrame) -> DataFrame:
