@@ -35,7 +35,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from lumenframe.plans import aggregates, changes, documents, extracts, joins, library, lookups, moments, named, scalars  # noqa: F401
+    from lumenframe.plans import aggregates, changes, documents, extracts, files, joins, library, lookups, moments, named, scalars  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.moments import iso_utc
+
 IMAGES = ("jpg", "jpeg", "png", "gif", "webp", "heic", "tif", "tiff", "bmp")
 VIDEOS = ("mp4", "mov", "mkv", "avi", "webm", "m4v")
 
@@ -42,10 +44,40 @@ def track_points(spark: SparkSession, path: str) -> DataFrame:
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
     """``id, title, link, published`` of an RSS file; the id falls back to link, then title."""
     rows = spark.read.format("xml").option("rowTag", "item").schema("guid string, title string, link string, pubDate string, description string").load(path)
-    when = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
+    when = F.try_to_timestamp(iso_utc(F.coalesce("pubDate", F.lit(""))))
     return rows.select(F.coalesce("guid", "link", "title").alias("id"), F.substring("title", 1, 300).alias("title"), "link", when.alias("published"), F.substring("description", 1, 400).alias("summary"))
 
 
+_POINT = "struct<_lat:double,_lon:double,ele:double,time:string>"
+_TRACKS = f"trk array<struct<trkseg:array<struct<trkpt:array<{_POINT}>>>>>"
+
+
+def parse_track(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, segment, time, lat, lon, ele`` of GPX documents, one a row: timed points on the globe, with the number
+    of their segment among all of the document's."""
+    read = docs.select(F.col(key), F.from_xml(text, _TRACKS).alias("x")).select(key, F.posexplode(F.flatten(F.transform("x.trk", lambda t: t["trkseg"]))).alias("segment", "s"))
+    points = read.select(key, "segment", F.explode("s.trkpt").alias("p")).withColumn("time", F.try_to_timestamp("p.time"))
+    ok = F.col("time").isNotNull() & F.col("p._lat").between(-90, 90) & F.col("p._lon").between(-180, 180)
+    return points.where(ok).select(key, "segment", "time", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("ele"))
+
+
+_ITEM = "struct<guid:string,title:string,link:string,pubDate:string,description:string,`dc:date`:string>"
+_ENTRY = "struct<id:string,title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string,summary:string>"
+_FEED = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ENTRY}>"
+
+
+def parse_feed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n, id, title, link, published, summary`` of the items of RSS, RDF and Atom documents, one a row. The id falls
+    back to the link, then the title; dates are ISO texts in UTC, empty if unreadable."""
+    x = docs.select(F.col(key), F.from_xml(text, _FEED).alias("x"))
+    item = lambda i: F.struct(i["guid"].alias("id"), i["title"].alias("title"), i["link"].alias("link"), F.coalesce(i["pubDate"], i["dc:date"]).alias("at"), i["description"].alias("summary"))
+    own = lambda links: F.coalesce(F.get(F.filter(links, lambda a: F.coalesce(a["_rel"], F.lit("alternate")) == "alternate"), 0), F.get(links, 0))["_href"]
+    entry = lambda e: F.struct(e["id"].alias("id"), e["title"].alias("title"), own(e["link"]).alias("link"), F.coalesce(e["published"], e["updated"]).alias("at"), e["summary"].alias("summary"))
+    items = F.coalesce(F.transform("x.channel.item", item), F.transform("x.item", item), F.transform("x.entry", entry))
+    rows = x.select(key, F.posexplode(items).alias("n", "i")).select(key, "n", "i.*")
+    return rows.select(key, "n", F.coalesce("id", "link", "title").alias("id"), F.substring("title", 1, 300).alias("title"), "link", iso_utc(F.coalesce("at", F.lit(""))).alias("published"), F.substring("summary", 1, 400).alias("summary"))
+
+
 def place_names(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a tab-separated place list with all of its 15 fields."""
     rows = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 15)
