@@ -54,8 +54,8 @@ def matched(data: bytes, at: np.ndarray, size: np.ndarray, key: np.ndarray) -> t
     _, first, where = np.unique(key, return_index=True, return_inverse=True)
     if (size[first][where] == size).all():
         raw = np.frombuffer(data, np.uint8)
-        shift = at[:-1][first][where] - at[:-1]
-        if (raw[np.arange(at[0], at[-1]) + np.repeat(shift, size)] == raw[at[0] : at[-1]]).all():
+        shift = (at[:-1][first][where] - at[:-1]).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        if (raw[np.arange(at[0], at[-1], dtype=shift.dtype) + np.repeat(shift, size)] == raw[at[0] : at[-1]]).all():
             return first, where
     number: dict[bytes, int] = {}
     where = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(at.tolist(), at[1:].tolist())], np.int64)
@@ -69,7 +69,7 @@ class Memo:
     is gone is encoded again."""
 
     #: Bytes of texts that are cut at a time, unless one text alone is longer.
-    SLICE = 2_000_000
+    SLICE = 1_000_000
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 500_000, longest: int = 200):
         self.encode, self.most, self.longest = encode, most, longest
