@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text
-from lumenframe.operators import dedupe, ranking, runs
+from lumenframe.operators import dedupe, ranking, ranks, runs
 from lumenframe.operators.checkpoints import cut
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
@@ -163,17 +163,17 @@ def best_of_group(spark, d):
 
 @query("A15_order_statistic", "SELECT event_type, list_sort(list(value))[CAST(floor(count(*) * 0.9) AS INT) + 1] AS p90 FROM events GROUP BY event_type")
 def order_statistic(spark, d):
-    """The value at rank floor(0.9 n) of each type, by ranks and not by collecting the group."""
-    w = Window.partitionBy("event_type")
-    e = table(spark, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return e.where(F.col("r") == F.floor(F.col("n") * 0.9)).select("event_type", F.col("value").alias("p90"))
+    """The value at rank floor(0.9 n) of each type, found between two values of a sketch."""
+    found = ranks.at_rank(table(spark, d, "events"), "event_type", "value", 0.9, F.floor(F.col("n") * 0.9))
+    return found.select("event_type", F.col("value").alias("p90"))
 
 
 @query("A16_trimmed_log_mean", "WITH q AS (SELECT event_type, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM events GROUP BY event_type) SELECT event_type, round(exp(avg(ln(greatest(value, 1e-4)))), 6) AS m FROM events JOIN q USING (event_type) WHERE value BETWEEN lo AND hi GROUP BY event_type")
 def trimmed_log_mean(spark, d):
     """The log mean of each type between its quantiles 0.1 and 0.9."""
     e = table(spark, d, "events")
-    q = e.groupBy("event_type").agg(F.percentile("value", 0.1).alias("lo"), F.percentile("value", 0.9).alias("hi"))
+    low, high = (ranks.quantile(e, "event_type", "value", share).withColumnRenamed("value", name) for share, name in ((0.1, "lo"), (0.9, "hi")))
+    q = low.join(high, "event_type")
     inside = e.join(q, "event_type").where(F.col("value").between(F.col("lo"), F.col("hi")))
     return inside.groupBy("event_type").agg(F.round(F.exp(F.avg(F.ln(F.greatest("value", F.lit(1e-4))))), 6).alias("m"))
 
@@ -194,6 +194,20 @@ def repeated_lines(spark, d):
     return keys.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n")).join(pages, "source").where(F.col("n") > 0.02 * F.col("pages")).select("source", "line", "n")
 
 
+@query(
+    "A17_without_repeated_lines",
+    rf"WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents), k AS (SELECT DISTINCT source, doc_id, {_LINE_KEY} AS k FROM l WHERE l <> '' AND length(l) <= 160), n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source), r AS (SELECT k.source, list(DISTINCT k.k) AS r FROM (SELECT k.source, k.k FROM k JOIN n ON n.source = k.source WHERE n.pages >= 3 GROUP BY k.source, k.k, n.pages HAVING count(*) > 0.02 * n.pages) k GROUP BY k.source) SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT list_contains(coalesce(r, []), {_LINE_KEY})), chr(10))) AS kept FROM documents LEFT JOIN r ON r.source = documents.source",
+)
+def without_repeated_lines(spark, d):
+    """Every text without the lines that stand on more than a share of its source's pages. A source has at most as many
+    such lines as a page has on average, divided by the share."""
+    docs = table(spark, d, "documents")
+    repeated = repeated_lines(spark, d).groupBy("source").agg(F.collect_set("line").alias("repeated"))
+    key = lambda l: F.regexp_replace(F.lower(F.trim(l)), "[0-9]+", "#")
+    kept = F.filter(F.split("text", "\n"), lambda l: ~F.array_contains(F.coalesce("repeated", F.array().cast("array<string>")), key(l)))
+    return docs.join(repeated, "source", "left").select("doc_id", F.md5(F.array_join(kept, "\n")).alias("kept"))
+
+
 @query("A19_short_line_share", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), w AS (SELECT doc_id, len(list_filter(string_split(l, ' '), lambda x: x <> '')) AS n, length(l) < 30 AS menu FROM l) SELECT doc_id, round(sum(CASE WHEN menu THEN n ELSE 0 END) / greatest(sum(n), 1), 6) AS ratio FROM w GROUP BY doc_id")
 def short_line_share(spark, d):
     """The share of a text's words in menu-like lines, row by row without a shuffle."""
