@@ -223,11 +223,14 @@ def srgb(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4))), 6).alias("linear"), F.round(F.least(F.lit(3.0), F.greatest(F.lit(-3.0), F.log2((c + 0.01) / 0.2))), 6).alias("stops"))
 
 
-_U = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
-_NORM = rf"n AS (SELECT page_id, lower(regexp_extract(url, {_U}, 1)) AS scheme, lower(regexp_extract(url, {_U}, 2)) AS host, regexp_replace(regexp_extract(url, {_U}, 4), '/+$', '') AS path, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, {_U}, 5), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '{urls.TRACKING}'))), '&') AS q FROM pages)"
+_PARTS = (
+    "h AS (SELECT page_id, split_part(trim(url), '#', 1) AS plain FROM pages), g AS (SELECT *, split_part(plain, '?', 1) AS head FROM h), f AS (SELECT *, lower(split_part(head, '://', 1)) AS scheme, substr(head, strpos(head, '://') + 3) AS rest, "
+    "substr(plain, length(head) + 2) AS query FROM g), u AS (SELECT page_id, scheme, query, lower(split_part(list_last(string_split(split_part(rest, '/', 1), '@')), ':', 1)) AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM f)"
+)
+_NORM = rf"{_PARTS}, n AS (SELECT page_id, scheme, host, regexp_replace(path, '/+$', '') AS path, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '{urls.TRACKING}'))), '&') AS q FROM u)"
 
 
-@query("H01_split_url", rf"SELECT page_id, lower(regexp_extract(url, {_U}, 1)) AS scheme, lower(regexp_extract(url, {_U}, 2)) AS host, regexp_extract(url, {_U}, 4) AS path FROM pages")
+@query("H01_split_url", f"WITH {_PARTS} SELECT page_id, scheme, host, path FROM u")
 def split_url(spark, d):
     return table(spark, d, "pages").select("page_id", urls.split_url(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.host", "u.path")
 
@@ -247,7 +250,7 @@ def unwrap_redirect(spark, d):
     return table(spark, d, "pages").select("page_id", urls.unwrap_redirect(wrapped).alias("url"))
 
 
-@query("H05_registrable_domain", rf"SELECT page_id, array_to_string(string_split(lower(regexp_extract(url, {_U}, 2)), '.')[-2:], '.') AS domain FROM pages")
+@query("H05_registrable_domain", f"WITH {_PARTS} SELECT page_id, CASE WHEN regexp_matches(host, '^[0-9]+([.][0-9]+){{3}}$') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM u")
 def registrable_domain(spark, d):
     return table(spark, d, "pages").select("page_id", urls.registrable_domain(urls.split_url(F.col("url"))["host"]).alias("domain"))
 
