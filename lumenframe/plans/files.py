@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators.checkpoints import new_folder
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
-from lumenframe.sources import calendars, files
+from lumenframe.sources import calendars, exif, files
 
 
 def _text(df: DataFrame, what: str) -> str:
@@ -93,3 +93,26 @@ def export(spark, d):
     """A selection exported as JSON lines under the name that its content gives, and read again."""
     chosen = photos(spark, d).where("rating >= 4").select("id", "name", "rating")
     return spark.read.schema("id long, name string, rating int").json(files.export_selection(chosen, new_folder(spark, "export"), ["id"]))
+
+
+@query(
+    "S06_S07_metadata",
+    PHOTOS_SQL + "SELECT id, CAST(width AS INT) AS width, CAST(height AS INT) AS height, CASE WHEN lens IS NOT NULL AND camera IS NOT NULL THEN concat('Acme ', camera) ELSE coalesce(camera, 'Acme') END AS camera, lens, CAST(iso AS INT) AS iso, round(aperture, 4) AS f_number, CASE WHEN lat IS NOT NULL AND abs(lat) <= 90 AND NOT (lat = 0 AND lon = 0) THEN round(lat, 4) END AS lat, CASE WHEN id % 7 <> 0 AND captured IS NOT NULL THEN captured ELSE strftime(to_timestamp(mtime), '%Y-%m-%dT%H:%M:%S+00:00') END AS taken_at, CASE WHEN id % 7 <> 0 AND captured IS NOT NULL THEN 'exif' ELSE 'file_mtime' END AS date_source FROM photos WHERE width IS NOT NULL",
+)
+def metadata(spark, d):
+    """Every photo as the header of a picture file, and its metadata read from that; a seventh hold an impossible date."""
+
+    def build(rows):
+        def one(r):
+            frac = lambda x, by: (round(abs(x) * by), by)
+            values = {"make": "Acme" if r["lens"] or not r["camera"] else None, "model": r["camera"], "lens": r["lens"], "iso": None if r["iso"] != r["iso"] else int(r["iso"]), "f_number": None if r["aperture"] != r["aperture"] else frac(r["aperture"], 10_000)}
+            values["shot"] = "0000:00:00 00:00:00" if r["id"] % 7 == 0 else r["captured"] and r["captured"].replace("-", ":").replace("T", " ")
+            place = None if r["lat"] != r["lat"] else {1: "S" if r["lat"] < 0 else "N", 2: [frac(r["lat"], 10_000), (0, 1), (0, 1)], 3: "W" if r["lon"] < 0 else "E", 4: [frac(r["lon"], 10_000), (0, 1), (0, 1)]}
+            return exif.write_header(int(r["width"]), int(r["height"]), {k: v for k, v in values.items() if v is not None}, place, "<" if r["id"] % 2 else ">")
+
+        for frame in rows:
+            yield frame[["id", "mtime"]].assign(content=[one(r) for r in frame.to_dict("records")])
+
+    made = photos(spark, d).where("width is not null").select("id", "mtime", "width", "height", "camera", "lens", "iso", "aperture", "lat", "lon", "captured").mapInPandas(build, "id long, mtime long, content binary")
+    read = exif.with_date(made.select("id", F.timestamp_seconds("mtime").alias("modified"), exif.read_exif("content").alias("x")), "x", "modified")
+    return read.select("id", "x.width", "x.height", "x.camera", "x.lens", "x.iso", F.round("x.f_number", 4).alias("f_number"), F.round("x.lat", 4).alias("lat"), "taken_at", "date_source")
