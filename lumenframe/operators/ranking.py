@@ -20,6 +20,13 @@ STOP_WORDS = {
 }
 
 
+#: Question and glue words, left out of what a question is about.
+GLUE_WORDS = (
+    "de la el los las un una unos unas y o u e en del al a que con por para se su sus lo le les es son no ni como más muy ya mi mis tu tus me te sobre acerca dónde donde qué cuál "
+    "cuáles cómo cuándo quién hay he ha leí escribí dice dijo del este esta esto the of an and or in on to is are was were for with that this about where what which how when who did i my"
+)
+
+
 def _equals(term: str):
     return lambda x: x == term
 
@@ -33,6 +40,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def content_words(text: Column) -> Column:
+    """The words of a question without glue words and single letters; all of them if nothing would be left."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    glue = F.split(fold(F.lit(GLUE_WORDS)), " ")
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(glue, fold(w)))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
+
+
 def stem(w: Column) -> Column:
     """Plural endings cut off."""
     return F.when((F.length(w) > 5) & w.endswith("es"), F.substring(w, F.lit(1), F.length(w) - 2)).when((F.length(w) > 4) & w.endswith("s"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)

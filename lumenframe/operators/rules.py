@@ -22,13 +22,14 @@ OPS = {
     "choice": ("is", "isNot"),
     "bool": ("is", "isNot"),
     "keywords": ("is", "isNot", "contains", "notContains", "isEmpty", "isNotEmpty"),
+    "album": ("is", "isNot"),
 }
 _SECONDS = {"hours": 3600.0, "days": 86400.0, "weeks": 7 * 86400.0, "months": 30.4375 * 86400, "years": 365.25 * 86400}
 _SYNONYMS = {"picked": "pick", "rejected": "reject"}
 
 
 def kind_of(field: str) -> str | None:
-    for kind, names in (("text", TEXT | {"text"}), ("number", NUMBER), ("date", DATE), ("choice", CHOICE), ("bool", BOOL), ("keywords", {"keywords"})):
+    for kind, names in (("text", TEXT | {"text"}), ("number", NUMBER), ("date", DATE), ("choice", CHOICE), ("bool", BOOL), ("keywords", {"keywords"}), ("album", {"album"})):
         if field in names:
             return kind
     return None
@@ -113,15 +114,16 @@ def _keywords(op: str, value) -> Column:
 _JOINED = ("name", "caption", "camera", "lens", "city", "country", "folder", "keywords", "label", "kind")
 
 
-def compile_rules(rules: dict, now: str = "1998-08-02T00:00:00") -> Column:
+def compile_rules(rules: dict, now: str = "1998-08-02T00:00:00", smart_albums: frozenset[int] = frozenset()) -> Column:
     """``{"match": all|any|none, "rules": [...]}`` -> a predicate. ``now`` is fixed by the caller,
-    so a query that depends on the clock can be repeated."""
+    so a query that depends on the clock can be repeated. ``album`` is a row's regular album; nothing is in an
+    album that is smart, or named by no number."""
     if found := problems(rules):
         raise ValueError("; ".join(found))
     parts = []
     for r in rules.get("rules", []):
         if "rules" in r:
-            parts.append(compile_rules(r, now))
+            parts.append(compile_rules(r, now, smart_albums))
             continue
         field, op, value = r["field"], r["op"], r.get("value")
         kind = kind_of(field)
@@ -135,6 +137,11 @@ def compile_rules(rules: dict, now: str = "1998-08-02T00:00:00") -> Column:
             part = _dates(F.col(field), op, value, now)
         elif kind == "keywords":
             part = _keywords(op, value)
+        elif kind == "album":
+            number = _number(value)
+            known = number is not None and number >= 0 and int(number) not in smart_albums
+            held = (F.col(field) == int(number)) if known else F.lit(False)
+            part = holds(held) if op == "is" else ~holds(held)
         elif kind == "bool":
             same = holds(F.col(field) == bool(value))
             part = same if op == "is" else ~same

@@ -258,6 +258,15 @@ def postings(spark, d):
 _BM = f"WITH {_TOK}, p AS (SELECT doc_id, {_STEM} AS term, count(*) AS tf FROM t GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT p.doc_id, sum(greatest(0.1, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN df USING (term) JOIN len USING (doc_id), st WHERE term IN ('this', 'with', 'pour') GROUP BY p.doc_id) "
 
 
+_GLUE = f"string_split(translate(lower('{ranking.GLUE_WORDS}'), '{text.ACCENTED}', '{text.PLAIN}'), ' ')"
+
+
+@query("R03_content_words", rf"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, {_GLUE} AS g FROM documents), k AS (SELECT doc_id, w, list_filter(w, lambda x: length(x) > 1 AND NOT list_contains(g, translate(lower(x), '{text.ACCENTED}', '{text.PLAIN}'))) AS k FROM w) SELECT doc_id, md5(array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w END, ' ')) AS words FROM k")
+def content_words(spark, d):
+    """What every text is about: its words without glue words."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(ranking.content_words(F.col("text")), " ")).alias("words"))
+
+
 @query("R07_bm25", _BM + "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 50")
 def bm25(spark, d):
     """The fifty best documents for three terms, from the stored index."""

@@ -96,6 +96,7 @@ RULES = {
     "F48_choice_bool": ({"match": "none", "rules": [{"field": "flag", "op": "is", "value": "rejected"}, {"field": "label", "op": "isNot", "value": "Red"}, {"field": "edited", "op": "is", "value": True}]}, "NOT (flag = 'reject' OR NOT coalesce(label = 'red', false) OR edited)"),
     "F49_keywords": ({"match": "any", "rules": [{"field": "keywords", "op": "is", "value": "rome"}, {"field": "keywords", "op": "notContains", "value": "tra ita"}]}, f"(len(list_filter({_KEYS}, lambda k: lower(k) = 'rome' OR list_contains(string_split(lower(k), '|'), 'rome'))) > 0 OR len(list_filter({_KEYS}, lambda k: contains(lower(k), 'tra') AND contains(lower(k), 'ita'))) = 0)"),
     "F50_any_text": ({"rules": [{"field": "text", "op": "contains", "value": "canon red"}]}, " AND ".join(f"contains(lower(concat_ws(' ', name, caption, camera, lens, city, country, folder, keywords, label, kind)), '{w}')" for w in ("canon", "red"))),
+    "F51_album": ({"match": "any", "rules": [{"field": "album", "op": "is", "value": "7"}, {"field": "album", "op": "is", "value": "none"}, {"match": "all", "rules": [{"field": "album", "op": "isNot", "value": 12}, {"field": "album", "op": "isNot", "value": "x"}, {"field": "rating", "op": "is", "value": 5}]}]}, "album = 7 OR (album <> 12 AND abs(rating - 5) < 1e-6)"),
     "F52_empty_sets": ({"match": "all", "rules": [{"match": "all", "rules": []}, {"match": "none", "rules": []}, {"match": "none", "rules": [{"match": "any", "rules": []}]}, {"field": "rating", "op": "is", "value": 5}]}, "abs(rating - 5) < 1e-6"),
     "F53_nested": ({"match": "all", "rules": [{"match": "any", "rules": [{"field": "rating", "op": "gte", "value": 4}, {"field": "flag", "op": "is", "value": "picked"}]}, {"match": "none", "rules": [{"field": "camera", "op": "isEmpty"}, {"field": "deleted", "op": "is", "value": True}]}]}, "(rating >= 4 - 1e-9 OR flag = 'pick') AND NOT (coalesce(camera, '') = '' OR deleted)"),
 }
