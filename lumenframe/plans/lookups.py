@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import checks, urls
+from lumenframe.operators import merchants as trade
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
 
@@ -113,3 +114,29 @@ def valid_ibans(spark, d):
     n = F.concat(F.lit("ES"), F.lpad((F.col("c_custkey") % 98).cast("string"), 2, "0"), F.lpad((F.col("c_custkey") * 104729).cast("string"), 20, "0"))
     own = F.col("c_custkey") % 98
     return table(spark, d, "customer").where(checks.iban_ok(n) & own.between(1, 98)).agg(F.count(F.lit(1)).alias("n"))
+
+
+KNOWN = [
+    trade.Merchant("store", "shopping", ("example.com",), ("news@mail.example.org",), ("Example Store", "ExStore"), (r"exstore mktp",), frozenset({"subscription"})),
+    trade.Merchant("books", "culture", ("thther.example.org",), (), ("Thther Books",), (r"thther books?",)),
+    trade.Merchant("press", "culture", ("example.org",), (), ("Example Press",), (r"press", r"example"), frozenset({"bank"})),
+    trade.Merchant("net", "telecom", ("example.net",), (), ("Example Net",), (), frozenset({"carrier", "subscription"})),
+]
+
+
+@query(
+    "R17_N17_merchants",
+    "WITH v AS (SELECT page_id, page_id % 8 AS k FROM pages), r AS (SELECT page_id, k, ['books', 'press', 'store', 'store', 'store', 'books', NULL, 'press'][CAST(k + 1 AS INT)] AS id FROM v) SELECT page_id, id, CASE id WHEN 'store' THEN 'shopping' WHEN 'books' THEN 'culture' WHEN 'press' THEN 'culture' END AS category, coalesce(id = 'store', false) AS subscription, coalesce(id = 'press', false) OR k = 6 AS bank, k IN (2, 3, 4) OR (k = 6 AND page_id % 16 = 6) AS like_store, CASE WHEN id IS NULL THEN 'bancoreal' || page_id ELSE id END AS key FROM r",
+)
+def resolved_merchants(spark, d):
+    """Merchants named in eight ways on every page, their category and flags, and likeness to one of them."""
+    k = (F.col("page_id") % 8 + 1).cast("int")
+    said = F.array(
+        F.lit("https://www.thther.example.org/a?b"), F.lit("Press <a@x.example.org>"), F.lit("News <NEWS@mail.example.org>"), F.lit("ExStore, S.L."), F.lit("Pago ÉXSTORE-MKTP 123"), F.lit("COMPRA Thther Book 99"),
+        F.concat(F.lit("Banco Real "), F.col("page_id").cast("string")), F.lit("the example"),
+    )
+    value = F.element_at(said, k)
+    other = F.when(F.col("page_id") % 16 == 6, F.lit("REALBANCO, sl")).otherwise(F.lit("Example Store"))
+    p = table(spark, d, "pages")
+    known = [trade.resolve(value, KNOWN).alias("id"), trade.category_of(value, KNOWN).alias("category"), trade.has_flag(value, "subscription", KNOWN).alias("subscription"), trade.has_flag(value, "bank", KNOWN).alias("bank")]
+    return p.select("page_id", *known, trade.similar(value, other, KNOWN).alias("like_store"), trade.merchant_key(value, KNOWN).alias("key"))
