@@ -17,7 +17,7 @@ def test_folders_and_ids_of_odd_rows(spark):
 
 def test_times_without_length_or_scenes(spark):
     rows = spark.createDataFrame([(None, None), (0.0, [1.0]), (0.1, []), (65.0, [])], "d double, s array<double>")
-    got = [r.t for r in rows.select(moments.plan_times(F.col("d"), F.coalesce("s", F.array().cast("array<double>"))).alias("t")).collect()]
+    got = [r.t for r in rows.select(moments.frame_times(F.col("d"), F.coalesce("s", F.array().cast("array<double>"))).alias("t")).collect()]
     assert got == [[0.0], [0.0], [0.0], [0.5, 30.0, 60.0]]
 
 
