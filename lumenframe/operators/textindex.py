@@ -56,7 +56,8 @@ class TextIndex:
         block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).cast("int").alias("block")
         words = rows.select("id", "dl", block, F.posexplode("w").alias("at", "word")).withColumn("term", stem(F.col("word")))
         # One deal by ranges of stems and blocks serves all three groupings below.
-        words = words.repartitionByRange(max(4, -(-total // FILE_WORDS)), "term", "block")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_WORDS))
+        words = words.repartitionByRange(parts, "term", "block")
         forms = words.groupBy("term", "block", "id", "dl", "word").agg(F.sort_array(F.collect_list("at")).alias("at"))
         entries = forms.groupBy("term", "block", "id", "dl").agg(F.sum(F.size("at")).cast("int").alias("tf"), F.collect_list(F.struct("word", "at")).alias("forms"))
         found = entries.groupBy("term", "block").agg(
