@@ -33,6 +33,19 @@ def test_hamming_join_takes_large_ids(spark, tmp_path):
     assert registry.queries()["J08_hamming_join"](spark, str(tmp_path)).count() == 3
 
 
+def test_account_numbers_with_check_digits_that_are_never_given(spark, tmp_path):
+    import duckdb
+
+    from lumenframe.plans import registry
+
+    # Every remainder of the body with every pair of digits of its own, 01 among them.
+    spark.range(98 * 97).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["N07_valid_shares"]).fetchall()[0][0]
+    assert registry.queries()["N07_valid_shares"](spark, str(tmp_path)).first().n == want == 96
+
+
 def test_empty_rule_sets(spark):
     found = {m: _verdicts(spark, [(1,)], "x int", rules.compile_rules({"match": m, "rules": []}))[0] for m in ("all", "any", "none")}
     assert found == {"all": True, "any": False, "none": True}
