@@ -104,14 +104,19 @@ def asof_locate(spark, d):
 
 @query("J12_relink")
 def relink(spark, d):
-    """Missing records and the files found for them: moved, renamed, changed in place, copied, or of a shared name."""
+    """Missing records and the files found for them: moved, renamed, changed in place, copied, or of a shared name.
+
+    A record in doubt has the class of its candidates, called by its kind and first file, and their number ``n_doubt``. The
+    members of the classes follow with tier 0 and the record that took them: candidates of a record are those that
+    none before it took. Listed for each record they would be as many as the square of a shared name's records."""
     gone = photos(spark, d).where("missing").selectExpr("id", "CASE WHEN id % 3 = 0 THEN concat('IMG_', id % 5, '.JPG') ELSE name END AS name", "CASE WHEN id % 3 = 0 THEN 9000 WHEN id % 29 = 0 THEN 0 ELSE size END AS size", "CASE WHEN id % 4 = 0 THEN NULL ELSE content_hash END AS hash")
     found = photos(spark, d).where("missing and id % 5 <> 0").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).where("copy = 0 or id % 2 = 0")
     files = found.selectExpr(
         "concat('/found/', id, '-', copy) AS file", "CASE WHEN id % 3 = 0 THEN concat('img_', id % 5, '.jpg') WHEN copy = 1 THEN concat('x', name) ELSE upper(name) END AS name",
         "CASE WHEN id % 3 = 0 THEN 9000 ELSE size END AS size", "CASE WHEN id % 7 = 0 THEN md5(content_hash) ELSE content_hash END AS hash",
     )
-    return matching.relink(gone, files)
+    found, members = matching.relink_classes(gone, files)
+    return found.unionByName(members.select(F.col("holder").alias("id"), "file", F.lit(0).alias("tier"), "doubt", F.lit(None).cast("long").alias("n_doubt")))
 
 
 @query("J13_import_duplicates", PHOTOS_SQL + ", known AS (SELECT DISTINCT content_hash FROM photos WHERE id % 4 = 0), batch AS (SELECT id, content_hash FROM photos WHERE id % 4 <> 0) SELECT b.id, k.content_hash IS NOT NULL OR row_number() OVER (PARTITION BY b.content_hash ORDER BY b.id) > 1 AS duplicate FROM batch b LEFT JOIN known k ON k.content_hash = b.content_hash")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from lumenframe.operators.relink import relink
+from lumenframe.operators.relink import relink, relink_classes
 
 RECORDS, FILES = "id long, name string, size long, hash string", "file string, name string, size long, hash string"
 
@@ -57,3 +57,17 @@ def test_copies_and_empty_tables(spark):
     records, files = [(i, f"r{i % 3}", 4, "same") for i in range(60)], [(f"/{i:02d}", f"r{i % 4}", 4, "same") for i in range(50)]
     assert _got(spark, records, files) == _plain(records, files)
     assert _got(spark, [], files) == _got(spark, records, []) == set()
+
+
+def test_records_in_doubt_share_a_class(spark):
+    # Without classes the lists of these hold 300 x 400 files.
+    records, files = [(i, "a", 5, "h" if i % 50 == 0 else None) for i in range(300)], [(f"/{i:03d}", "A", 5, "h" if i % 40 == 0 else "x") for i in range(400)]
+    found, members = relink_classes(spark.createDataFrame(records, RECORDS), spark.createDataFrame(files, FILES))
+    holder = {r.file: r.holder for r in members.collect()}
+    assert len(holder) == 400 and {r.doubt for r in members.collect()} == {"named:/000"}
+    got = set()
+    for r in found.collect():
+        free = tuple(sorted(f for f, h in holder.items() if h is None or h >= r.id)) if r.doubt else None
+        assert r.doubt is None or (r.doubt, r.n_doubt) == ("named:/000", len(free))
+        got.add((r.id, r.file, r.tier, free))
+    assert got == _plain(records, files)
