@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from datetime import date
 from html.parser import HTMLParser
@@ -227,18 +228,21 @@ def parse_cues(texts: pd.Series) -> pd.Series:
 
 def settle(balances: dict[str, int]) -> list[tuple[str, str, int]]:
     """Transfers that clear balances in cents: the largest debt pays the largest credit."""
-    left = {k: v for k, v in balances.items() if v}
+    creditors = [(-v, k) for k, v in balances.items() if v > 0]
+    debtors = [(v, k) for k, v in balances.items() if v < 0]
+    heapq.heapify(creditors)
+    heapq.heapify(debtors)
     out = []
-    while left:
-        creditor = max(sorted(left), key=lambda k: left[k])
-        debtor = min(sorted(left), key=lambda k: left[k])
-        n = min(left[creditor], -left[debtor])
-        if n <= 0:
-            break
+    while creditors and debtors:
+        (credit, creditor), (debt, debtor) = creditors[0], debtors[0]
+        n = min(-credit, -debt)
         out.append((debtor, creditor, n))
-        left[creditor] -= n
-        left[debtor] += n
-        left = {k: v for k, v in left.items() if v}
+        # Who is cleared leaves; the other's rest finds its place among the others.
+        for heap, rest, who in ((creditors, credit + n, creditor), (debtors, debt + n, debtor)):
+            if rest:
+                heapq.heapreplace(heap, (rest, who))
+            else:
+                heapq.heappop(heap)
     return out
 
 
