@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters.
 
-The model is trained on trusted rows, at most ``most`` of them, taken in the order of a hash of
-their id; one in ``HELD`` trusted rows, by that hash, never trains it. Counts, continuation counts,
+The model is trained on all trusted rows but one in ``HELD``, by a hash of their id, that never trains it; given ``most``, only on
+the first so many in the order of that hash. Counts, continuation counts,
 context totals and their back-off weights are tables keyed by n-gram; the distinct 4-grams of each
 block of rows are joined with these tables order by order, and each block gets the probabilities of
 its own n-grams back to score its rows, which travel as compressed chunks. A row is kept if its perplexity is at most the given quantile of
@@ -34,6 +34,8 @@ ORDER = 4
 START, END, OTHER = 2, 3, 0xFFFD
 #: One in so many trusted rows is held out of training.
 HELD = 5
+#: Ids of trusted rows that are broadcast rather than joined by a shuffle of the texts.
+BROADCAST_IDS = 8_000_000
 _MASK = {k: (1 << 16 * k) - 1 for k in (1, 2, 3)}
 
 
@@ -181,19 +183,22 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
 def quality_by_perplexity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    most: int = 50_000, quantile: float = 0.995, few: int = 30, is_table: bool = False,
+    most: int | None = None, quantile: float = 0.995, few: int = 30, is_table: bool = False,
 ) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_chars, log10_prob, perplexity, threshold, kept``.
-    ``labels``: ids and ``quality``; 1 marks the trusted rows, of which at most ``most`` train the
-    model and all others set the thresholds."""
+    ``labels``: ids and ``quality``; 1 marks the trusted rows. One in ``HELD`` of them sets the thresholds, all
+    others train the model, or the first ``most`` of them where that is given."""
     ids = labels.where("quality = 1").select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
     every = store(ids, "kn-labelled")
     order = F.xxhash64("_id")
-    ids = store(every.where(F.pmod(order, F.lit(HELD)) != 0).orderBy(order, "_id").limit(most), "kn-trusted")  # bounded by ``most``: fit to broadcast
+    ids = every.where(F.pmod(order, F.lit(HELD)) != 0)
+    ids = store(ids if most is None else ids.orderBy(order, "_id").limit(most), "kn-trusted")
+    # Ids alone fit a broadcast up to this many, which saves moving the texts; more are joined by a shuffle.
+    near = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    trusted = own.join(F.broadcast(ids), "_id", "left_semi")
+    trusted = own.join(near(ids), "_id", "left_semi")
     scored = store(perplexities(docs, trusted, id_col, text_col, lang_col, is_table), "kn-scores")
-    unseen = every.join(F.broadcast(ids), "_id", "left_anti")
+    unseen = every.join(near(ids), "_id", "left_anti")
     sample = scored.join(unseen, scored["doc_id"] == unseen["_id"], "left_semi")
     cut_at = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = sample.groupBy("lang").agg(cut_at.alias("_own"), F.count(F.lit(1)).alias("_n")).select(F.col("lang").alias("_lang"), "_own", "_n")

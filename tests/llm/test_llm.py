@@ -353,6 +353,25 @@ def test_thresholds_cover_all_unseen_trusted_rows(spark, prose):
         assert len(unseen) >= 30 and {r.threshold for r in found if r.lang == lang} == {max(unseen)}
 
 
+def test_every_trusted_row_trains_or_sets_thresholds(spark, monkeypatch):
+    from lumenframe.llm import kneser_ney
+
+    n, seen = 70_000, []
+
+    def counted(docs, trusted, *_):
+        seen.append(trusted.count())
+        return docs.selectExpr("doc_id", "lang", "1L AS n_chars", "0D AS log10_prob", "CAST(doc_id AS double) AS perplexity")
+
+    monkeypatch.setattr(kneser_ney, "perplexities", counted)
+    docs = spark.range(n).selectExpr("id AS doc_id", "'a' AS text", "'en' AS lang")
+    held = spark.range(n).where(F.pmod(F.xxhash64("id"), F.lit(kneser_ney.HELD)) == 0)
+    for most_sent in (kneser_ney.BROADCAST_IDS, 0):
+        monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", most_sent)
+        found = quality_by_perplexity(docs, docs.selectExpr("doc_id", "1 AS quality"), quantile=1.0)
+        assert seen.pop() == n - held.count() > 50_000
+        assert found.agg(F.min("threshold")).first()[0] == held.agg(F.max("id")).first()[0]
+
+
 def _plain_kneser_ney(texts):
     """log10 of the probability of a character after three others, by counting in dictionaries."""
     from collections import Counter
