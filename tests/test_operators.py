@@ -82,6 +82,33 @@ def test_hamming_join_is_exact(spark):
     assert got == {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if (bits[i] ^ bits[j]).bit_count() <= 6}
 
 
+def test_blocks_of_alike_hashes_are_counted_and_joined_without_pairs(spark, monkeypatch):
+    rnd = random.Random(3)
+    bits = [rnd.getrandbits(59) for _ in range(40)]
+    # A crowd of which most are near one another, and one far from it.
+    bits += [bits[0] ^ sum(1 << p for p in rnd.sample(range(12), rnd.randint(0, 5))) for _ in range(260)]
+    bits = sorted(set(bits))
+    monkeypatch.setattr(dedupe, "BLOCK", 50)
+    rows = spark.createDataFrame(list(enumerate(bits)), "id long, bits long")
+    near = {i: {j for j, y in enumerate(bits) if i != j and (x ^ y).bit_count() <= 6} for i, x in enumerate(bits)}
+    assert {r.id: r.n for r in dedupe.near_counts(rows, 6).collect()} == {i: len(n) for i, n in near.items() if n}
+    forest = dedupe.near_forest(rows, 6)
+    cells = (-(-len(bits) // 50)) ** 2
+    assert forest.count() < cells * 50 < sum(map(len, near.values())) / 2
+    joined = {r.node: r.component for r in dedupe.components(forest, "id_a", "id_b").collect()}
+    want = {}
+    for i in near:
+        todo = [i] if i not in want and near[i] else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = i
+                todo += near[x]
+    assert joined == want
+    members = spark.createDataFrame([(c, bits[i]) for i, c in joined.items()], "component long, bits long")
+    assert {r.component: r.max_distance for r in dedupe.widest(members, "component").collect()} == {c: max((bits[i] ^ bits[j]).bit_count() for i in want for j in want if want[i] == want[j] == c) for c in want.values()}
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in dedupe.components(pairs, "a", "b").collect()}
