@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -202,23 +203,45 @@ def translate(queries: DataFrame, index: EntityIndex, to: str = "", forms: DataF
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?")
 
 
-@F.pandas_udf(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
-def _placed(texts: pd.Series) -> pd.DataFrame:
-    """Words with their places, which no built-in function tells."""
-    out = []
-    for t in texts:
-        found = list(_WORD.finditer(t or ""))
-        out.append(([m[0] for m in found], [m.start() for m in found], [m.end() for m in found]))
-    return pd.DataFrame(out, columns=["words", "starts", "ends"])
+#: Words of a text that travel together, and rows and characters of a batch.
+_PIECE, _ROWS, _CHARS = 256, 64, 1 << 20
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, text`` -> ``doc, i, own, words, starts, ends``: the words of each text with their places, which no built-in function
+    tells, in pieces: ``own`` words from the ``i``-th, and those after that a run of theirs may reach."""
+    for batch in batches:
+        doc, texts, out, size = batch.column(0), batch.column(1), [], 0
+        for at in range(len(batch)):
+            t = texts[at].as_py() or ""
+            found = [(m[0], m.start(), m.end()) for m in _WORD.finditer(t)]
+            for i in range(0, len(found), _PIECE):
+                words, starts, ends = zip(*found[i : i + _PIECE + SPAN - 1])
+                out.append((at, i, min(_PIECE, len(found) - i), words, starts, ends))
+                size += ends[-1] - starts[0]
+                if len(out) >= _ROWS or size >= _CHARS:
+                    yield _batch(doc, out)
+                    out, size = [], 0
+        if out:
+            yield _batch(doc, out)
+
+
+def _batch(doc: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    at, i, own, words, starts, ends = zip(*rows)
+    ints = pa.list_(pa.int32())
+    arrays = [doc.take(pa.array(at)), pa.array(i, pa.int32()), pa.array(own, pa.int32()), pa.array(map(list, words), pa.list_(pa.string())), pa.array(map(list, starts), ints), pa.array(map(list, ends), ints)]
+    return pa.RecordBatch.from_arrays(arrays, ["doc", "at", "own", "words", "starts", "ends"])
 
 
 def mentions(docs: DataFrame, index: EntityIndex, id_col: str, text_col: str, kinds: list[str] | None = None) -> DataFrame:
     """``id, start, end, span, matches, ambiguous``: entities named in texts, at most three for each
     place, best first."""
-    words = docs.select(F.col(id_col).alias("doc"), _placed(F.col(text_col)).alias("w")).where(F.size("w.words") > 0)
-    words = words.select("doc", "w.*", F.transform("w.words", compact).alias("parts"))
-    places = words.select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(
-        i.alias("i"), F.slice("parts", i, F.lit(SPAN)).alias("parts"), F.slice("words", i, F.lit(SPAN)).alias("words"), F.get("starts", i - 1).alias("start"), F.slice("ends", i, F.lit(SPAN)).alias("ends"),
+    asked = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    kind = asked.schema["doc"].dataType.simpleString()
+    words = asked.mapInArrow(_placed, f"doc {kind}, at int, own int, words array<string>, starts array<int>, ends array<int>")
+    words = words.select("*", F.transform("words", compact).alias("parts"))
+    places = words.select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.struct(
+        (F.col("at") + i).alias("i"), F.slice("parts", i, F.lit(SPAN)).alias("parts"), F.get("starts", i - 1).alias("start"), F.slice("ends", i, F.lit(SPAN)).alias("ends"),
     ))).alias("p")).select("doc", "p.*")
     runs = places.select("doc", "i", "start", "ends", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n"))
     runs = runs.select("doc", "i", "n", "start", F.get("ends", F.col("n") - 1).alias("end"), F.array_join(F.slice("parts", F.lit(1), F.col("n")), "").alias("key"))

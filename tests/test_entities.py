@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 
 from lumenframe.operators import entities as en
@@ -167,3 +168,15 @@ def test_ratio_bound_loses_no_alike_key():
         if difflib.SequenceMatcher(None, a, b).ratio() * 0.95 >= 0.78:
             r = 0.78 / 0.95
             assert len(a) * r / (2 - r) <= len(b) <= len(a) * (2 - r) / r
+
+
+def test_long_texts_travel_in_pieces(spark):
+    text = " ".join("Alpha Beta Gamma" if i in (84, 85, 170) else f"w{i} x y" for i in range(2000))
+    batch = pa.RecordBatch.from_pydict({"doc": [7, 8, 9], "text": [text, None, text[:40]]})
+    out = list(en._placed(iter([batch])))
+    assert max(len(w) for b in out for w in b.column("words").to_pylist()) < 300 and max(map(len, out)) <= 64
+    # Names stand across the ends of pieces (words 256 and 512) and are found once, at their places.
+    known = spark.createDataFrame([("thing", "1", "Alpha Beta Gamma", None, [])], "kind string, id string, en string, es string, aliases array<string>")
+    docs = spark.createDataFrame([(7, text), (8, None)], "doc long, text string")
+    found = en.mentions(docs, en.EntityIndex.build(known, ["thing"]), "doc", "text").collect()
+    assert sorted((r.start, r.end) for r in found) == [(m.start(), m.end()) for m in re.finditer("Alpha Beta Gamma", text)] and len(found) == 3
