@@ -5,9 +5,10 @@ folder, smart, filled`` with ``op`` one of ``add``, ``remove``, ``rename`` and `
 
 The log is not walked. Every round supposes which operations were accepted, makes the versions of each
 album that follow (from one accepted operation to the next), and checks all operations against the versions
-of their time; ancestors at that time are climbed one level a step, for all moves together. Rounds end
+of their time; ancestors at that time are climbed for all moves together, some levels a job. Rounds end
 when the supposition stands. The first operation is judged rightly at once, so what stands is what the
-order gives.
+order gives. A false supposition may hold folders that lie in each other: a climb that comes back to a folder
+ends there, whatever it says, since the next round judges again.
 
 Defined results: a null parent is the root; an operation on an unknown album, or with a null id, is refused;
 albums that repeat an id are one; an empty log leaves the tree; other operations are refused.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from lumenframe.operators.checkpoints import stored
 
 _ROW = ["id", "parent", "name", "folder", "smart", "filled"]
+#: Levels climbed in one job.
+LEVELS = 6
 
 
 def _versions(albums: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -43,23 +46,36 @@ def _at(rows: DataFrame, versions: DataFrame, node: str, prefix: str) -> DataFra
     return rows.join(v, (F.col(node) == F.col(f"{prefix}id")) & then, "left").drop(f"{prefix}since", f"{prefix}until", f"{prefix}there")
 
 
-def _judged(ops: DataFrame, versions: DataFrame) -> DataFrame:
-    """``seq, problem``: what is wrong with each operation, null if nothing."""
-    seen = stored(_at(_at(ops, versions, "id", "own_"), versions, "parent", "up_"), "album-ops")
-    # Climb from the new parent of each move; who meets itself would be below itself.
-    moves = seen.where("op = 'move' AND up_folder AND parent <> id AND own_id IS NOT NULL").select("seq", "id", F.col("up_parent").alias("node"))
-    loops = moves.select("seq").limit(0)
+def _loops(moves: DataFrame, versions: DataFrame) -> DataFrame:
+    """``seq`` of the moves (``seq, id, node``) that meet their own album when they climb from ``node``."""
+    there = versions.where("there").select(F.col("id").alias("_id"), F.col("since").alias("_since"), F.col("until").alias("_until"), F.col("parent").alias("_parent"))
+    then = (F.col("_since") < F.col("seq")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("seq")))
+    moves = stored(moves.where("node IS NOT NULL").withColumn("mark", F.lit(None).cast(moves.schema["node"].dataType)), "album-climb")
+    loops, job = moves.where("node = id").select("seq"), 0
     while True:
-        moves = stored(moves.where("node IS NOT NULL"), "album-climb")
-        loops = loops.unionByName(moves.where("node = id").select("seq"))
         moves = moves.where("node <> id")
         if moves.isEmpty():
-            break
-        moves = _at(moves, versions, "node", "up_").where("up_id IS NOT NULL").select("seq", "id", F.col("up_parent").alias("node"))
+            return loops
+        job += 1
+        # A circle without the own album leads back to the mark, which moves on at jobs 1, 2, 4, 8 and so on.
+        if job & (job - 1) == 0:
+            moves = moves.withColumn("mark", F.col("node"))
+        for _ in range(LEVELS):
+            # Who has met itself stays at its own album, which is there.
+            up = F.when(F.col("node") == F.col("id"), F.col("id")).otherwise(F.col("_parent"))
+            moves = moves.join(there, (F.col("node") == F.col("_id")) & then).select("seq", "id", up.alias("node"), "mark").where("node <> mark")
+        moves = stored(moves, "album-climb")
+        loops = loops.unionByName(moves.where("node = id").select("seq"))
+
+
+def _judged(ops: DataFrame, versions: DataFrame) -> DataFrame:
+    """``seq, problem``: what is wrong with each operation, null if nothing."""
+    seen = stored(_at(_at(ops, versions, "id", "own_"), versions, "parent", "up_"), "album-ops")
+    loops = _loops(seen.where("op = 'move' AND up_folder AND parent <> id AND own_id IS NOT NULL").select("seq", "id", F.col("up_parent").alias("node")), versions)
     held = versions.where("there AND parent IS NOT NULL").select(F.col("parent").alias("_parent"), "since", "until")
     within = (F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") >= F.col("seq")))
     full = seen.where("op = 'remove'").join(held, (F.col("id") == F.col("_parent")) & within, "left_semi").select("seq").withColumn("full", F.lit(True))
-    rows = seen.join(loops.distinct().withColumn("loop", F.lit(True)), "seq", "left").join(full, "seq", "left")
+    rows = seen.join(loops.withColumn("loop", F.lit(True)), "seq", "left").join(full, "seq", "left")
     exists, into = F.col("own_id").isNotNull(), F.col("parent").isNull() | F.coalesce("up_folder", F.lit(False))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     add = F.when(F.col("id").isNull(), "no id").when(exists, "album exists").when(~into, "parent must be an existing folder").when(yes("smart") & (yes("folder") | yes("filled")), "a smart album holds rules, not photos")
@@ -90,11 +106,11 @@ def apply(albums: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame, Data
 
 
 def paths(albums: DataFrame) -> DataFrame:
-    """``id, depth, path``: the names from the root, by climbing all albums one level a step."""
-    rows = stored(albums.select("id", F.col("parent").alias("up"), F.array("name").alias("names")), "album-paths")
-    up = albums.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("name").alias("_name"))
-    done = rows.limit(0)
-    while not rows.isEmpty():
-        done = done.unionByName(rows.where("up IS NULL"))
-        rows = stored(rows.where("up IS NOT NULL").join(up, F.col("up") == F.col("_id")).select("id", F.col("_parent").alias("up"), F.concat(F.array("_name"), "names").alias("names")), "album-paths")
+    """``id, depth, path``: the names from the root, by going down from it one level a step, so that no folder
+    is asked for by more than its own albums. What the root does not reach has no path."""
+    level = done = stored(albums.where("parent IS NULL").select("id", F.array("name").alias("names")), "album-paths")
+    below = albums.where("parent IS NOT NULL").select(F.col("id").alias("_id"), "parent", "name")
+    while not level.isEmpty():
+        level = stored(below.join(level, F.col("parent") == F.col("id")).select(F.col("_id").alias("id"), F.concat("names", F.array("name")).alias("names")), "album-paths")
+        done = done.unionByName(level)
     return done.select("id", F.size("names").alias("depth"), F.array_join("names", "/").alias("path"))

@@ -79,3 +79,17 @@ def test_empty(spark):
     after, judged, back = al.apply(spark.createDataFrame(albums, ALBUMS), spark.createDataFrame([], OPS))
     assert [tuple(r) for r in after.collect()] == albums[:1] and judged.isEmpty() and back.isEmpty()
     assert al.paths(spark.createDataFrame([], ALBUMS)).isEmpty()
+
+
+def test_circles_of_a_false_supposition(spark):
+    """Two refused moves, once supposed, put folders into each other; a later move climbs into that circle."""
+    none = ("n", None, None, None)
+    albums = [(i, None, f"a{i}", True, False, False) for i in range(1, 6)]
+    ops = [(1, "move", 2, 1, *none), (2, "move", 1, 2, *none), (3, "move", 3, 1, *none), (4, "move", 4, 3, *none), (5, "move", 1, 4, *none), (6, "move", 5, 4, *none)]
+    _, _, said = _run(spark, albums, ops)
+    assert [said[k] is None for k in range(1, 7)] == [True, False, True, True, False, True]
+
+
+def test_paths_of_what_the_root_reaches(spark):
+    rows = [(1, None, "a", True, False, False), (2, 1, "b", True, False, False), (3, 9, "lost", True, False, False), (4, 5, "c", True, False, False), (5, 4, "d", True, False, False)]
+    assert {tuple(r) for r in al.paths(spark.createDataFrame(rows, ALBUMS)).collect()} == {(1, 1, "a"), (2, 2, "a/b")}
