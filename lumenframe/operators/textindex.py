@@ -1,6 +1,6 @@
 """A stored inverted index: positional postings of word stems, in sorted files that a search reads by stem.
 
-A segment holds one row for each stem and block of documents: who has it, how often, in which
+A segment holds a row for each stem and block of documents, or several for a block of long ones: who has it, how often, in which
 forms and where, and the greatest frequency and least length among them. Blocks are the same documents for
 every stem, by a hash of the id, about ``BLOCK`` of them, so a frequent stem is many rows. Files are ranges
 of stems; a list of their first and last stems tells a search which to open, and Parquet's own
@@ -19,16 +19,22 @@ nothing; other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators.ranking import stem, tokens
+from lumenframe.operators.checkpoints import stored
+from lumenframe.operators.ranking import plain_stem, stem, tokens
 
 BLOCK = 1024
 #: Words of text for each file of a segment, about.
 FILE_WORDS = 5_000_000
+#: Documents of a task that groups words; words that it groups at a time, about.
+TASK, _SLICE = 16 * BLOCK, 1 << 20
 K1, B = 1.2, 0.75
 
 
@@ -41,6 +47,58 @@ def _less(n: int):
     return lambda place: place - n
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, id, w``, ordered by block -> rows of postings, each of some documents of one block, and rows without a stem
+    that tell the documents' lengths. Words are grouped where their documents stand, so that only groups are shuffled."""
+    for batch in batches:
+        blocks, words, first = batch.column(0).to_numpy(), batch.column(2), 0
+        ends = words.offsets.to_numpy()
+        while first < len(batch):
+            same, few = np.searchsorted(blocks, blocks[first], "right"), np.searchsorted(ends, ends[first] + _SLICE, "right") - 1
+            last = max(first + 1, int(min(same, few)))
+            flat = words.values.slice(ends[first], ends[last] - ends[first])
+            yield from _grouped(int(blocks[first]), batch.column(1).slice(first, last - first), flat, np.diff(ends[first : last + 1]))
+            first = last
+
+
+def _starts(changes: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, changes))
+
+
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def _grouped(block: int, ids: pa.Array, words: pa.Array, dl: np.ndarray) -> Iterator[pa.RecordBatch]:
+    shape = ["id", "dl", "tf", "forms"]
+    names = ["term", "block", "n", "max_tf", "min_dl", "docs"]
+    none = pa.nulls(len(ids), pa.list_(pa.struct([("word", pa.string()), ("at", pa.list_(pa.int32()))])))
+    lengths = pa.StructArray.from_arrays([ids, pa.array(dl, pa.int32()), pa.nulls(len(ids), pa.int32()), none], shape)
+    null = pa.nulls(1, pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([block], pa.int32()), pa.nulls(1, pa.int64()), null, null, _lists(np.array([0]), lengths)], names)
+    if not len(words):
+        return
+    coded = words.dictionary_encode()
+    stems = pa.array([plain_stem(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    word = coded.indices.to_numpy()
+    term = stems.indices.to_numpy()[word]
+    doc = np.repeat(np.arange(len(dl)), dl)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)
+    order = np.lexsort((word, doc, term))  # keeps the order of equal ones
+    doc, term, word, at = doc[order], term[order], word[order], at[order]
+    other_term = term[1:] != term[:-1]
+    other_doc = other_term | (doc[1:] != doc[:-1])
+    rows, entries, forms = _starts(other_term), _starts(other_doc), _starts(other_doc | (word[1:] != word[:-1]))
+    each = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word[forms])), _lists(forms, pa.array(at, pa.int32()))], ["word", "at"])
+    tf, own = np.diff(np.append(entries, len(doc))), doc[entries]
+    found = pa.StructArray.from_arrays([ids.take(pa.array(own)), pa.array(dl[own], pa.int32()), pa.array(tf, pa.int32()), _lists(np.searchsorted(forms, entries), each)], shape)
+    held = np.searchsorted(entries, rows)
+    counts = np.diff(np.append(held, len(entries)))
+    most, least = np.maximum.reduceat(tf, held), np.minimum.reduceat(dl[own], held)
+    columns = [stems.dictionary.take(pa.array(term[rows])), pa.array(np.full(len(rows), block), pa.int32()), pa.array(counts, pa.int64()), pa.array(most, pa.int32()), pa.array(least, pa.int32()), _lists(held, found)]
+    yield pa.RecordBatch.from_arrays(columns, names)
+
+
 class TextIndex:
     """The segments of an index, oldest first, each a folder."""
 
@@ -50,20 +108,18 @@ class TextIndex:
     def add(self, docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
         """The index with the documents as another segment."""
         path = f"{self.folder}/{len(self.segments):06d}-{uuid.uuid4().hex[:8]}"
-        rows = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-        lengths = _written(rows.select("id", "dl"), f"{path}/docs")
-        n, filled, total = lengths.agg(F.count(F.lit(1)), F.count_if(F.col("dl") > 0), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).cast("int").alias("block")
-        words = rows.select("id", "dl", block, F.posexplode("w").alias("at", "word")).withColumn("term", stem(F.col("word")))
-        # One deal by ranges of stems and blocks serves all three groupings below.
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_WORDS))
-        words = words.repartitionByRange(parts, "term", "block")
-        forms = words.groupBy("term", "block", "id", "dl", "word").agg(F.sort_array(F.collect_list("at")).alias("at"))
-        entries = forms.groupBy("term", "block", "id", "dl").agg(F.sum(F.size("at")).cast("int").alias("tf"), F.collect_list(F.struct("word", "at")).alias("forms"))
-        found = entries.groupBy("term", "block").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("id", "dl", "tf", "forms")).alias("docs")
-        )
-        postings = _written(found.sortWithinPartitions("term", "block"), f"{path}/postings")
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        kind, count, shuffled = rows.schema["id"].dataType.simpleString(), rows.count(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // BLOCK)))).cast("int")
+        tasks = max(shuffled, -(-count // TASK))
+        dealt = rows.withColumn("block", block).repartitionById(tasks, F.col("block") % tasks).sortWithinPartitions("block")
+        words = dealt.select("block", "id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+        shape = f"term string, block int, n long, max_tf int, min_dl int, docs array<struct<id:{kind},dl:int,tf:int,forms:array<struct<word:string,at:array<int>>>>>"
+        made = stored(words.mapInArrow(_postings, shape), "text-postings")
+        lengths = _written(made.where("term IS NULL").select(F.explode("docs").alias("d")).select("d.id", "d.dl"), f"{path}/docs")
+        filled, total = lengths.agg(F.count_if(F.col("dl") > 0), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        parts = max(shuffled, -(-total // FILE_WORDS))
+        postings = _written(made.where("term IS NOT NULL").repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block"), f"{path}/postings")
         name = F.element_at(F.split(F.input_file_name(), "/"), -1)
         postings.select("term", name.alias("file")).groupBy("file").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1).write.parquet(f"{path}/files")
         # Entries of earlier segments that the new documents replace.

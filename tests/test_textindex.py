@@ -95,3 +95,35 @@ def test_ladder(spark, built):
     assert {(r.id, r.tier) for r in index.ladder(["hou", "sea", "sea"]).collect()} == begun
     assert {(r.id, r.tier) for r in index.ladder(["zzz", "a1"]).collect()} == {(i, 2) for i, w in words.items() if "a1" in w}
     assert index.ladder([]).isEmpty()
+
+
+def test_words_are_grouped_before_they_are_shuffled(spark, tmp_path):
+    """A row of postings for a stem and block, made in pieces when a block's texts are long; stems as Spark's."""
+    from pyspark.sql import functions as F
+
+    from lumenframe.operators.ranking import plain_stem, stem
+
+    words = ["as", "gases", "boxes", "trees", "class", "es", "ñandues", "𝒳𝒳es", ""]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", stem(F.col("w")).alias("s")).collect()
+    assert {r.w: r.s for r in got} == {w: plain_stem(w) for w in words}
+    # 300,000 different pairs of words and documents would be as many shuffled rows; one block shuffles one a stem.
+    docs = spark.range(600).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("text"))
+    index = TextIndex(spark, f"file://{tmp_path}/one").add(docs, "id", "text")
+    made = spark.read.parquet(*_made(spark))
+    assert made.where("term is not null").count() == 500 and made.where("term is not null").agg(F.max("n")).first()[0] == 600
+    assert index.phrase(["w7", "w8"]).count() == 600
+    # Texts longer than a slice of words make several rows of one stem and block.
+    long = spark.range(3).select("id", F.repeat(F.lit("so it goes "), 400_000).alias("text"))
+    index = TextIndex(spark, f"file://{tmp_path}/long").add(long, "id", "text")
+    assert index.postings(["so"]).count() == 3
+    assert {(r.id, r.n) for r in index.phrase(["it", "goes"]).collect()} == {(i, 400_000) for i in range(3)}
+
+
+def _made(spark):
+    """The newest stored postings of this session."""
+    import glob
+    import os
+
+    from lumenframe.operators.checkpoints import shared_folder
+
+    return [max(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/text-postings-*"), key=os.path.getmtime)]
