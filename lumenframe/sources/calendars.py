@@ -1,8 +1,9 @@
 """Calendar files as tables of events, and events as calendar files.
 
-A file's lines are unfolded in Spark, not in one reader's loop: every line knows its file and place, and one
-that begins with a blank goes on from the nearest line before that does not. Events are what lies between
-their ``BEGIN`` and ``END``; components inside an event, such as alarms, are no part of its own fields.
+A file is one row, so nothing is shuffled to read it: a line that begins with a blank is joined to the nearest
+line before that does not, the text is cut where events begin, and each event's lines are folded into its
+fields. Events are what lies between their ``BEGIN`` and ``END``; components inside an event, such as alarms, are
+no part of its own fields.
 
 Defined results: an event without an end is closed by the next or the file's end; repeated fields keep the first; values
 are unescaped; times are read as dates, local times or UTC; empty files have no events; unknown
@@ -11,13 +12,15 @@ fields are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The fields of an event, by column.
 FIELDS = {"uid": "UID", "summary": "SUMMARY", "location": "LOCATION", "description": "DESCRIPTION", "start": "DTSTART", "end": "DTEND", "rule": "RRULE", "status": "STATUS"}
 #: Octets of a written line.
 WIDTH = 75
+#: The line before an event's first.
+_OPENS = r'\n(?=(?i:BEGIN)(?![A-Za-z0-9-])[^:;\n]*(?:;(?:[^":\n]|"[^"\n]*")*)?:(?i:VEVENT)(?:\n|\z))'
 
 
 def _unescaped(c: Column) -> Column:
@@ -33,23 +36,27 @@ def escaped(c: Column) -> Column:
 
 def parse_calendar(files: DataFrame, key: str, text: str) -> DataFrame:
     """``files`` (a key and a text) -> ``key, event`` and the columns of ``FIELDS``, with ``start_at``, ``end_at`` and ``all_day``."""
-    lines = files.select(F.col(key).alias("key"), F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")).alias("n", "line")).where("line <> ''")
-    by_place = Window.partitionBy("key").orderBy("n")
-    folded = F.regexp_like("line", F.lit("^[ \t]"))
-    lines = lines.withColumn("whole", F.sum(F.when(folded, 0).otherwise(1)).over(by_place))
-    whole = lines.groupBy("key", "whole").agg(F.array_sort(F.collect_list(F.struct("n", F.when(folded, F.substring(F.col("line"), 2, 1 << 30)).otherwise(F.col("line")).alias("line")))).alias("parts"))
-    whole = whole.select("key", F.col("whole").alias("n"), F.array_join(F.transform("parts", lambda p: p["line"]), "").alias("line"))
-    head = F.upper(F.regexp_extract("line", r"^([A-Za-z0-9-]+)", 1))
-    value = F.regexp_extract("line", r'^[^:;]*(?:;(?:[^":]|"[^"]*")*)?:((?s).*)$', 1)
-    whole = whole.select("key", "n", head.alias("head"), value.alias("value"), F.regexp_extract("line", r"^[^:;]*((?:;(?:[^\":]|\"[^\"]*\")*)?):", 1).alias("params"))
-    opens = F.when(F.col("head") == "BEGIN", 1).when(F.col("head") == "END", -1).otherwise(0)
-    whole = whole.withColumn("event", F.sum(F.when((F.col("head") == "BEGIN") & (F.upper("value") == "VEVENT"), 1).otherwise(0)).over(by_place))
-    own = Window.partitionBy("key", "event").orderBy("n")
-    fields = whole.where("event > 0").withColumn("depth", F.sum(opens).over(own)).where("depth = 1 AND head NOT IN ('BEGIN', 'END')")
-    first = lambda name, c: F.min_by(F.when(F.col("head") == name, c), F.when(F.col("head") == name, F.col("n")))
-    columns = [first(name, _unescaped(F.col("value"))).alias(c) for c, name in FIELDS.items()]
-    zones = [first(name, F.regexp_extract("params", 'TZID="?([^";:]+)', 1)).alias(f"{c}_zone") for c, name in (("start", "DTSTART"), ("end", "DTEND"))]
-    found = fields.groupBy("key", "event").agg(*columns, *zones)
+    # Empty lines are none; what then begins with a blank goes on from the line before.
+    whole = F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n")), "\n+", "\n"), "\n[ \t]", "")
+    parts = files.select(F.col(key).alias("key"), F.posexplode(F.split(whole, _OPENS)).alias("event", "part")).where("event > 0")
+    head = lambda x: F.upper(F.regexp_extract(x, r"^([A-Za-z0-9-]+)", 1))
+    value = lambda x: F.regexp_extract(x, r'^[^:;]*(?:;(?:[^":]|"[^"]*")*)?:((?s).*)$', 1)
+    params = lambda x: F.regexp_extract(x, r"^[^:;]*((?:;(?:[^\":]|\"[^\"]*\")*)?):", 1)
+    line = lambda x: F.struct(head(x).alias("head"), value(x).alias("value"), F.when(head(x) == "DTSTART", params(x)).alias("params"))
+    lines = parts.select("key", "event", F.transform(F.filter(F.split("part", "\n"), lambda x: x != ""), line).alias("lines"))
+    none = F.lit(None).cast("string")
+    # Name in the state, name of the field, and what of its line is kept.
+    kept = [*[(c, name, "value") for c, name in FIELDS.items()], ("start_params", "DTSTART", "params")]
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x["head"] == "BEGIN", 1).when(x["head"] == "END", -1).otherwise(0)
+        own = (depth == 1) & ~x["head"].isin("BEGIN", "END")
+        return F.struct(depth.alias("depth"), (s["any"] | own).alias("any"), *[F.coalesce(s[c], F.when(own & (x["head"] == name), x[part])).alias(c) for c, name, part in kept])
+
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("any"), *[none.alias(c) for c, _, _ in kept])
+    found = lines.select("key", "event", F.aggregate("lines", state, step).alias("s")).where("s.any")
+    zone = lambda c: F.regexp_extract(c, 'TZID="?([^";:]+)', 1)
+    found = found.select("key", "event", *[_unescaped(F.col(f"s.{c}")).alias(c) for c in FIELDS], zone(F.col("s.start_params")).alias("start_zone"))
     day = F.regexp_like("start", F.lit(r"^\d{8}$"))
     moment = lambda c: F.coalesce(F.try_to_timestamp(c, F.lit("yyyyMMdd'T'HHmmssX")), F.try_to_timestamp(c, F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(c, F.lit("yyyyMMdd")))
     return found.select(F.col("key").alias(key), F.col("event").cast("int").alias("event"), *FIELDS, F.nullif("start_zone", F.lit("")).alias("start_zone"), moment(F.col("start")).alias("start_at"), moment(F.col("end")).alias("end_at"), F.coalesce(day, F.lit(False)).alias("all_day"))

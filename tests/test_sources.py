@@ -40,3 +40,13 @@ def test_tracks_and_feeds_of_odd_documents(spark):
     feeds = [(1, "<rss><channel><item><title>only</title></item></channel></rss>"), (2, None), (3, "<feed/>"), (4, "<rss><channel><item><link>l</link><pubDate>never</pubDate></item></channel></rss>")]
     rows = files.parse_feed(spark.createDataFrame(feeds, "k int, t string").withColumn("n", F.lit(1)), "k", "t").collect()
     assert sorted((r.k, r.id, r.published) for r in rows) == [(1, "only", ""), (4, "l", "")]
+
+
+def test_reading_calendars_shuffles_nothing(spark):
+    texts = [
+        (1, " folded first\nBEGIN:VEVENT\n\n \nUID:a\n\n b\nEND:VEVENT\nUID:outside\nBegin;X=\"a:b\":vevent\nX-ONLY:1\nEND:VEVENT"),
+        (2, "BEGIN:VEVENT\nEND:VEVENT\nBEGINNING:VEVENT\nBEGIN:VEVENTS\nBEGIN:VEVENT\rUID:c\rBEGIN:VALARM\rUID:d\rEND:VALARM\rUID:e"),
+    ]
+    read = calendars.parse_calendar(spark.createDataFrame(texts, "k long, t string"), "k", "t")
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.event, r.uid) for r in read.collect()) == [(1, 1, "ab"), (1, 2, None), (2, 2, "c")]
