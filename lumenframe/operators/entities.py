@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.operators.checkpoints import stored
+
 #: The scores of the stages and what names by alias or id lose.
 EXACT, FORM, PREFIX, WORDS, SHARE, LIKE = 1.0, 0.96, 0.8, 0.78, 0.12, 0.95
 ALIAS_LESS, ID_LESS = 0.02, 0.01
@@ -158,6 +160,7 @@ def lookup(queries: DataFrame, index: EntityIndex, forms: DataFrame | None = Non
     """``queries`` (``query``) -> ``query, rank, kind, id, en, es, score, how, matched, matched_lang``: the best
     ``limit`` entities of each distinct query. ``forms`` (``query, form``) are other spellings to try."""
     asked = queries.select("query").where("query is not null").distinct().withColumn("q", compact(F.col("query"))).where("q <> ''")
+    asked = stored(asked, "entity-queries")  # every stage asks for them, and their table may be large
     names = index.names if kinds is None else index.names.where(F.col("kind").isin(kinds))
     less = F.when(F.col("lang") == "alias", ALIAS_LESS).when(F.col("lang") == "id", ID_LESS).otherwise(0.0)
     hit = lambda df, stage: df.select("query", "key", F.lit(stage).alias("stage"), F.col("score").cast("double").alias("score"))

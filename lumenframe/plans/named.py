@@ -28,7 +28,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     w = F.split("en", " ")
     miss = F.concat(F.substring("en", 1, 2), F.substring("en", F.lit(4), F.length("en")))
     forms = F.array("es", miss, F.substring("en", 1, 6), F.array_join(F.reverse(w), " "), F.element_at("aliases", 1))
-    docs = table(spark, d, "documents").select(F.array_join(F.slice(F.split("text", "\\s+"), 1, 3), " ").alias("query"))
+    docs = table(spark, d, "documents").select(F.array_join(F.slice(F.split("text", "\\s+", 4), 1, 3), " ").alias("query"))
     return e.select(F.explode(forms).alias("query")).union(docs).where("query is not null").distinct()
 
 

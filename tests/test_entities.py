@@ -180,3 +180,12 @@ def test_long_texts_travel_in_pieces(spark):
     docs = spark.createDataFrame([(7, text), (8, None)], "doc long, text string")
     found = en.mentions(docs, en.EntityIndex.build(known, ["thing"]), "doc", "text").collect()
     assert sorted((r.start, r.end) for r in found) == [(m.start(), m.end()) for m in re.finditer("Alpha Beta Gamma", text)] and len(found) == 3
+
+
+def test_queries_are_made_once(spark):
+    """The stages of a lookup read stored queries; whatever made those is no part of their plan."""
+    rows = [("title", "x1", "Red House", "Casa Roja", None)]
+    index = en.EntityIndex.build(spark.createDataFrame(rows, "kind string, id string, en string, es string, aliases array<string>"), ["title"])
+    found = en.lookup(spark.range(2).selectExpr("if(id = 0, 'red house', 'casa rojas') AS query"), index)
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query, r.how) for r in found.collect()) == [("casa rojas", "fuzzy"), ("red house", "exact")]
