@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,12 +69,22 @@ def spread(items: Column, n: Column) -> Column:
     return F.when(F.size(items) <= n, items).when(n >= 1, some).otherwise(F.slice(items, 1, 0))
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def frame_times(duration: Column, scenes: Column, every: float = 30.0, most: int = 8, gap: float = 2.0) -> Column:
     """Times of frames to take: cuts between scenes, and of the opening and the ticks of a clock those that
     keep ``gap`` from every cut, ``most`` times in all."""
     end = F.greatest(F.lit(0.0), duration - 0.25)
-    cuts = spread(F.array_sort(F.array_distinct(F.transform(scenes, lambda s: F.round(F.least(F.greatest(s, F.lit(0.0)), end), 3)))), F.lit(most))
+    distinct = F.array_sort(F.array_distinct(F.transform(scenes, lambda s: F.round(F.least(F.greatest(s, F.lit(0.0)), end), 3))))
     ticks = F.filter(F.sequence(F.lit(0), F.floor(F.greatest(duration, F.lit(0.0)) / every).cast("int")), lambda i: (i == 0) | (i * every < duration - 0.5))
     ticks = F.transform(ticks, lambda i: F.when(i == 0, F.least(F.lit(0.5), end)).otherwise(i * F.lit(every)))
-    apart = F.filter(ticks, lambda t: F.coalesce(F.array_min(F.transform(cuts, lambda c: F.abs(c - t))) >= gap, F.lit(True)))
-    return F.when(duration > 0, F.array_sort(F.array_union(cuts, spread(apart, most - F.size(cuts))))).otherwise(F.array(F.lit(0.0)))
+
+    def planned(cuts: Column) -> Column:
+        apart = F.filter(ticks, lambda t: F.coalesce(F.array_min(F.transform(cuts, lambda c: F.abs(c - t))) >= gap, F.lit(True)))
+        return F.array_sort(F.array_union(cuts, _once(apart, lambda x: spread(x, most - F.size(cuts)))))
+
+    times = _once(_once(distinct, lambda x: spread(x, F.lit(most))), planned)
+    return F.when(duration > 0, times).otherwise(F.array(F.lit(0.0)))

@@ -33,3 +33,9 @@ def test_search_of_nothing_and_stacks_of_one(spark):
     members = spark.createDataFrame([(1, 5, 0), (2, 5, 1), (3, 6, 0)], "id long, stack long, pos long")
     asked = spark.createDataFrame([(1, 9, 0)], "id long, into long, pos long")
     assert sorted(tuple(r) for r in mutations.group_stacks(members, asked).collect()) == [(1, 9, 1), (2, 9, 2)]
+
+
+def test_frame_times_compute_their_cuts_once(spark):
+    rows = spark.range(1).select(moments.frame_times(F.lit(100.0) + F.col("id"), F.array(F.col("id") + 5.0)).alias("t"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("array_distinct") == 1
+    assert rows.first().t == [0.5, 5.0, 30.0, 60.0, 90.0]
