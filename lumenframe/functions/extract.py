@@ -4,17 +4,56 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def column_function(kind: str):
     """A pandas UDF that is built when a query calls it, since workers import this module too."""
     return lambda f: lambda *columns: F.pandas_udf(f, kind)(*columns)
 
+
+#: Rows of a batch that a task gives back, and characters of its texts, about.
+ROWS, CHARS = 512, 1 << 20
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], make: Callable[..., Iterable[tuple]], shape: pa.Schema, keys: int) -> Iterator[pa.RecordBatch]:
+    """The first ``keys`` columns beside each tuple that ``make`` gives for the others, at most ``ROWS`` to a batch."""
+    for batch in batches:
+        at, out, size = [], [], 0
+        for i in range(len(batch)):
+            for row in make(*[c[i].as_py() for c in batch.columns[keys:]]):
+                at.append(i)
+                out.append(row)
+                size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+                if len(out) >= ROWS or size >= CHARS:
+                    yield _packed(batch.columns[:keys], at, out, shape)
+                    at, out, size = [], [], 0
+        if out:
+            yield _packed(batch.columns[:keys], at, out, shape)
+
+
+def _packed(held: list[pa.Array], at: list[int], out: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+    made = [pa.array(v, k) for v, k in zip(zip(*out), shape.types[len(held) :])]
+    return pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int32())) for c in held), *made], shape.names)
+
+
+def each_row(rows: DataFrame, make: Callable[..., Iterable[tuple]], shape: str, keys: int = 1) -> DataFrame:
+    """The first ``keys`` columns of ``rows`` beside each tuple that ``make`` gives for the others. Values become Python
+    objects a row at a time and results leave in small batches, so memory follows neither the rows of a batch nor their texts."""
+    kinds = StructType([*rows.schema.fields[:keys], *StructType.fromDDL(shape).fields])
+    arrow = to_arrow_schema(kinds)
+    return rows.mapInArrow(lambda batches: small_batches(batches, make, arrow, keys), kinds)
+
+
 #: Sizes of chunks in characters.
 SIZE, OVERLAP, MIN_TAIL = 900, 150, 200
 #: Where a chunk may end, best first: a blank line, a line end, a sentence, a clause, a space.
@@ -43,9 +82,10 @@ def chunk_spans(text: str, size: int = SIZE, overlap: int = OVERLAP, tail: int =
     return spans
 
 
-@column_function("array<struct<ordinal:int,char_start:int,char_end:int,text:string>>")
-def chunk_text(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"ordinal": i, "char_start": a, "char_end": b, "text": t[a:b].strip()} for i, (a, b) in enumerate(chunk_spans(t or ""))])
+def chunk_text(texts: DataFrame) -> DataFrame:
+    """``id, text`` -> a row for each chunk, with its place in the text."""
+    made = lambda t: ((i, a, b, t[a:b].strip()) for i, (a, b) in enumerate(chunk_spans(t or "")))
+    return each_row(texts, made, "ordinal int, char_start int, char_end int, text string")
 
 
 def make_snippet(text: str, term: str, width: int = 160) -> str:
@@ -143,9 +183,9 @@ def read_html(html: str) -> dict:
     return {"title": title[:300], "text": text, "description": r.meta.get("og:description") or r.meta.get("description"), "canonical": r.meta.get("canonical") or r.meta.get("og:url"), "n_links": len(r.links)}
 
 
-@column_function("title string, text string, description string, canonical string, n_links int")
-def readable(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_html(h or "") for h in html], columns=["title", "text", "description", "canonical", "n_links"])
+def readable(html: DataFrame) -> DataFrame:
+    """``id, html`` -> ``id`` and what ``read_html`` finds."""
+    return each_row(html, lambda h: [tuple(read_html(h or "").values())], "title string, text string, description string, canonical string, n_links int")
 
 
 #: Month names in four languages.
@@ -207,9 +247,9 @@ def page_splits(text: str, size: int) -> list[str]:
     return pages
 
 
-@column_function("array<string>")
-def split_pages(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: page_splits(t or "", 2000))
+def split_pages(texts: DataFrame) -> DataFrame:
+    """``id, text`` -> a row for each page."""
+    return each_row(texts, lambda t: enumerate(page_splits(t or "", 2000)), "page int, text string")
 
 
 _CUE = re.compile(r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})\s*-->\s*(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})[^\n]*\n(.*?)(?=\n\s*\n|\Z)", re.S)

@@ -15,13 +15,12 @@ from lumenframe.streaming import captions
 @query("X12_chunk_text")
 def chunk_text(spark, d):
     """Chunks of every document with their places in the text."""
-    chunks = table(spark, d, "documents").select("doc_id", F.explode(extract.chunk_text("text")).alias("c"))
-    return chunks.select("doc_id", "c.ordinal", "c.char_start", "c.char_end", "c.text")
+    return extract.chunk_text(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("X11_split_pages")
 def split_pages(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(extract.split_pages("text")).alias("page", "text"))
+    return extract.split_pages(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("R13_snippet")
@@ -34,7 +33,7 @@ def snippet(spark, d):
 @query("H06_H11_readable")
 def readable(spark, d):
     """Title, readable text and meta fields of every page."""
-    return table(spark, d, "pages").select("page_id", extract.readable("html").alias("r")).select("page_id", "r.*")
+    return extract.readable(table(spark, d, "pages").select("page_id", "html"))
 
 
 @query("D06_find_dates")
@@ -96,20 +95,24 @@ def sniff(spark, d):
     return table(spark, d, "pages").select("page_id", extract.sniff(head).alias("kind"))
 
 
+def _front():
+    """Front matter for a third of the pages."""
+    return F.when(F.col("page_id") % 3 == 0, F.format_string("---\ntitle: Page %d\nlang: xx\n---\n", "page_id")).otherwise("")
+
+
 def _markdown(spark, d):
     """Every page as Markdown, a third of them with front matter."""
-    front = F.when(F.col("page_id") % 3 == 0, F.format_string("---\ntitle: Page %d\nlang: xx\n---\n", "page_id")).otherwise("")
-    return table(spark, d, "pages").select("page_id", markdown.markdown_of("html", "url").alias("body")).select("page_id", F.concat(front, "body").alias("markdown"))
+    made = markdown.markdown_of(table(spark, d, "pages").select("page_id", "html", "url"))
+    return made.select("page_id", F.concat(_front(), "markdown").alias("markdown"))
 
 
 @query("H07_markdown")
 def to_markdown(spark, d):
     """Every page as Markdown and as the text of that."""
-    pages = table(spark, d, "pages").select("page_id", markdown.markdown_of("html", "url").alias("markdown"))
-    return pages.select("page_id", "markdown", markdown.text_of("markdown").alias("text"))
+    return markdown.both_of(table(spark, d, "pages").select("page_id", "html", "url"))
 
 
 @query("X13_chunk_markdown")
 def chunk_markdown(spark, d):
     """Every page's Markdown in chunks under its headings."""
-    return _markdown(spark, d).select("page_id", F.explode(markdown.chunks_of("markdown")).alias("c")).select("page_id", "c.*")
+    return markdown.chunks_of(table(spark, d, "pages").select("page_id", _front().alias("front"), "html", "url"))
