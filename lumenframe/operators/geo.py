@@ -19,7 +19,10 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def nearest(points: DataFrame, places: DataFrame, most_km: float) -> DataFrame:
     """``id, city, km``: the nearest ``(city, clat, clon)`` within ``most_km`` of each
     ``(id, lat, lon)``; the lower city number wins ties. Places are listed under every latitude
-    band and longitude cell that ``most_km`` reaches, so points meet near places only."""
+    band and longitude cell that ``most_km`` reaches, so points meet near places only. Points of one
+    spot are asked for once, and of the cities of one spot only the lowest can win."""
+    places = places.groupBy("clat", "clon").agg(F.min("city").alias("city"))
+    spots = points.select("lat", "lon").distinct()
     band = math.degrees(most_km / RADIUS) * 1.001
     wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(most_km / RADIUS)) / F.greatest(F.cos(F.radians(F.abs("clat"))), F.lit(1e-9))))) * 1.001
     reach = F.when(F.abs("clat") + band >= 90, F.lit(180.0)).otherwise(wide)
@@ -28,11 +31,13 @@ def nearest(points: DataFrame, places: DataFrame, most_km: float) -> DataFrame:
     columns = F.sequence(F.floor((F.col("clon") - F.col("reach")) / band), F.floor((F.col("clon") + F.col("reach")) / band))
     cells = spread.select("city", "clat", "clon", "row", F.explode(columns).alias("column"))
     # A point is looked up in its own turn and in both next ones, so the date line is no border.
-    own = points.select("id", "lat", "lon", F.floor(F.col("lat") / band).alias("row"), F.explode(F.array(F.col("lon"), F.col("lon") + 360, F.col("lon") - 360)).alias("x"))
-    own = own.select("id", "lat", "lon", "row", F.floor(F.col("x") / band).alias("column"))
+    own = spots.select("lat", "lon", F.floor(F.col("lat") / band).alias("row"), F.explode(F.array(F.col("lon"), F.col("lon") + 360, F.col("lon") - 360)).alias("x"))
+    own = own.select("lat", "lon", "row", F.floor(F.col("x") / band).alias("column"))
     km = haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
     found = own.join(cells, ["row", "column"]).withColumn("km", km).where(F.col("km") <= most_km)
-    best = found.groupBy("id").agg(F.min(F.struct("km", "city")).alias("m"))
+    best = found.groupBy("lat", "lon").agg(F.min(F.struct("km", F.col("city").isNull().alias("none"), "city")).alias("m"))
+    # An id of several spots has the nearest city of them all.
+    best = points.join(best, ["lat", "lon"]).groupBy("id").agg(F.min("m").alias("m"))
     return best.select("id", "m.city", "m.km")
 
 
