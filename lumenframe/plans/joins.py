@@ -256,8 +256,7 @@ _STEM = "CASE WHEN length(w) > 5 AND suffix(w, 'es') THEN substr(w, 1, length(w)
 @query("R02_R04_A13_postings", f"WITH {_TOK}, p AS (SELECT doc_id, {_STEM} AS term FROM t) SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM p GROUP BY term")
 def postings(spark, d):
     """Document and collection frequencies of stems."""
-    p = ranking.postings(table(spark, d, "documents"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return ranking.frequencies(table(spark, d, "documents"), "doc_id", "text")
 
 
 _BM = f"WITH {_TOK}, p AS (SELECT doc_id, {_STEM} AS term, count(*) AS tf FROM t GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT p.doc_id, sum(greatest(0.1, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN df USING (term) JOIN len USING (doc_id), st WHERE term IN ('this', 'with', 'pour') GROUP BY p.doc_id) "
