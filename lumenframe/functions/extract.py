@@ -28,17 +28,18 @@ ROWS, CHARS = 512, 1 << 20
 def small_batches(batches: Iterator[pa.RecordBatch], make: Callable[..., Iterable[tuple]], shape: pa.Schema, keys: int) -> Iterator[pa.RecordBatch]:
     """The first ``keys`` columns beside each tuple that ``make`` gives for the others, at most ``ROWS`` to a batch."""
     for batch in batches:
+        held, asked = batch.columns[:keys], batch.columns[keys:]
         at, out, size = [], [], 0
         for i in range(len(batch)):
-            for row in make(*[c[i].as_py() for c in batch.columns[keys:]]):
+            for row in make(*[c[i].as_py() for c in asked]):
                 at.append(i)
                 out.append(row)
                 size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
                 if len(out) >= ROWS or size >= CHARS:
-                    yield _packed(batch.columns[:keys], at, out, shape)
+                    yield _packed(held, at, out, shape)
                     at, out, size = [], [], 0
         if out:
-            yield _packed(batch.columns[:keys], at, out, shape)
+            yield _packed(held, at, out, shape)
 
 
 def _packed(held: list[pa.Array], at: list[int], out: list[tuple], shape: pa.Schema) -> pa.RecordBatch:

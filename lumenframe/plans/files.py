@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions import extract
 from lumenframe.operators.checkpoints import new_folder
 from lumenframe.plans.registry import query
 from lumenframe.plans.views import PHOTOS_SQL, photos, table
@@ -102,17 +103,14 @@ def export(spark, d):
 def metadata(spark, d):
     """Every photo as the header of a picture file, and its metadata read from that; a seventh hold an impossible date."""
 
-    def build(rows):
-        def one(r):
-            frac = lambda x, by: (round(abs(x) * by), by)
-            values = {"make": "Acme" if r["lens"] or not r["camera"] else None, "model": r["camera"], "lens": r["lens"], "iso": None if r["iso"] != r["iso"] else int(r["iso"]), "f_number": None if r["aperture"] != r["aperture"] else frac(r["aperture"], 10_000)}
-            values["shot"] = "0000:00:00 00:00:00" if r["id"] % 7 == 0 else r["captured"] and r["captured"].replace("-", ":").replace("T", " ")
-            place = None if r["lat"] != r["lat"] else {1: "S" if r["lat"] < 0 else "N", 2: [frac(r["lat"], 10_000), (0, 1), (0, 1)], 3: "W" if r["lon"] < 0 else "E", 4: [frac(r["lon"], 10_000), (0, 1), (0, 1)]}
-            return exif.write_header(int(r["width"]), int(r["height"]), {k: v for k, v in values.items() if v is not None}, place, "<" if r["id"] % 2 else ">")
+    def build(key, width, height, camera, lens, iso, aperture, lat, lon, captured):
+        frac = lambda x, by: (round(abs(x) * by), by)
+        values = {"make": "Acme" if lens or not camera else None, "model": camera, "lens": lens, "iso": iso, "f_number": None if aperture is None else frac(aperture, 10_000)}
+        values["shot"] = "0000:00:00 00:00:00" if key % 7 == 0 else captured and captured.replace("-", ":").replace("T", " ")
+        place = None if lat is None else {1: "S" if lat < 0 else "N", 2: [frac(lat, 10_000), (0, 1), (0, 1)], 3: "W" if lon < 0 else "E", 4: [frac(lon, 10_000), (0, 1), (0, 1)]}
+        return [(exif.write_header(width, height, {k: v for k, v in values.items() if v is not None}, place, "<" if key % 2 else ">"),)]
 
-        for frame in rows:
-            yield frame[["id", "mtime"]].assign(content=[one(r) for r in frame.to_dict("records")])
-
-    made = photos(spark, d).where("width is not null").select("id", "mtime", "width", "height", "camera", "lens", "iso", "aperture", "lat", "lon", "captured").mapInPandas(build, "id long, mtime long, content binary")
-    read = exif.with_date(made.select("id", F.timestamp_seconds("mtime").alias("modified"), exif.read_exif("content").alias("x")), "x", "modified")
+    asked = photos(spark, d).where("width is not null").select("id", F.timestamp_seconds("mtime").alias("modified"), F.col("id").alias("key"), "width", "height", "camera", "lens", "iso", "aperture", "lat", "lon", "captured")
+    found = exif.read_exif(extract.each_row(asked, build, "content binary", 2), 2)
+    read = exif.with_date(found.select("id", "modified", F.struct(*found.columns[2:]).alias("x")), "x", "modified")
     return read.select("id", "x.width", "x.height", "x.camera", "x.lens", "x.iso", F.round("x.f_number", 4).alias("f_number"), F.round("x.lat", 4).alias("lat"), "taken_at", "date_source")
