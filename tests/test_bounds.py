@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lumenframe.functions import extract, markdown
+from lumenframe.llm import sharding
 from lumenframe.operators import geo, ranking
 from lumenframe.plans import extracts, files
 
@@ -62,3 +64,12 @@ def test_stems_are_counted_in_their_rows(spark):
     assert sorted(map(tuple, ranking.frequencies(docs, "doc_id", "text").collect())) == [("a", 1, 1), ("b", 1, 1), ("c", 0, 1), ("lamp", 2, 5)]
     once = docs.where("doc_id is null or doc_id <> 2")
     assert sorted(map(tuple, ranking.frequencies(once, "doc_id", "text").collect())) == [("a", 1, 1), ("c", 0, 1), ("lamp", 1, 3)]
+
+
+def test_files_of_about_the_target_are_not_merged_again(spark, tmp_path):
+    table = sharding.Table(spark, f"file://{tmp_path}/t")
+    # Runs of 64 x 300 bytes: a file that begins late holds ten of them and falls short of the target of 10.5.
+    sharding.append(table, spark.range(0, 64 * 168, 1, 1).selectExpr("id AS doc_id", "repeat('x', 300) AS text"), arrival=64)
+    target = 64 * 300 * 21 // 2
+    assert sharding.compact(table, target=target) and table.runs().where(F.col("n_bytes") < target).count() >= 4
+    assert not sharding.compact(table, target=target) and table.rows().count() == 64 * 168
