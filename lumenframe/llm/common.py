@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +90,16 @@ def blocks(docs: DataFrame, rows: int = 2048) -> DataFrame:
     return docs.withColumn("block", F.shiftright(F.monotonically_increasing_id(), rows.bit_length() - 1))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices with about ``most`` bytes of texts in a column, so that what a task makes of
+    texts follows no batch's size. No row is cut."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+        for lo, hi in zip([0, *ends], [*ends, len(batch)]):
+            yield batch.slice(lo, hi - lo)
+
+
 def whole(text: Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(text, F.lit(""))

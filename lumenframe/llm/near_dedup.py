@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Scratch, sifted, store
+from lumenframe.llm.common import Scratch, pieces, sifted, store
 from lumenframe.llm.components import components
 from lumenframe.llm.shingles import shingle_sets
 
@@ -70,7 +70,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n, h1, h2, trees, bits = [], [], [], [], []
             for s in shingle_sets(_texts(batch.column(1)), width):
                 n.append(len(s))
@@ -91,7 +91,7 @@ def _sketches(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             sets = list(shingle_sets(_texts(batch.column(1)), width))
             asked = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             right = [i for i, s in enumerate(sets) if s.sum(dtype=np.uint64) == asked[i]]

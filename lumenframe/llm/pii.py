@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.bilstm_crf import KINDS, Tagger, codes, spans_of
+from lumenframe.llm.common import pieces
 
 #: Characters of a window, the step between windows, and windows decoded at once.
 WINDOW, STEP, BATCH = 96, 32, 512
@@ -298,7 +299,7 @@ def mask_personal(docs: DataFrame, text_col: str = "text", tagger: Tagger | None
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = batch.column(at).to_pylist()
             found = find_spans(tagger, [t or "" for t in texts])
             new = [None if t is None else masked(t, every) if every else t for t, (_, every) in zip(texts, found)]

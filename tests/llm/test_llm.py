@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import bilstm_crf, near_dedup, pii
 from lumenframe.llm.bpe import StreamDecoder, Transducer, bpe_decode, bpe_encode, bpe_round_trip, read_ranks
 from lumenframe.llm.chunks import chunks
+from lumenframe.llm.common import pieces
 from lumenframe.llm.components import components
 from lumenframe.llm.exact_dedup import drop_copies, exact_dedup
 from lumenframe.llm.kneser_ney import perplexities, quality_by_perplexity
@@ -145,6 +146,19 @@ def test_large_regions_keep_their_scope(spark, prose, monkeypatch):
     assert {tuple(r) for r in x.join(y, scope).where("a < b").select("a", "b").distinct().collect()} == want
 
 
+def test_sketches_and_sets_follow_no_batch():
+    """A batch of 3 MB leaves in slices of about 1 MB, with all rows and values."""
+    texts = [None, "", *(f"a{k} b c d e f " * 10_000 for k in range(20))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(22), pa.int64()), pa.array(texts), pa.array([0] * 22, pa.int64())], ["doc_id", "text", "h1"])
+    parts = list(near_dedup._sketches(4)(iter([batch])))
+    assert len(parts) >= 3 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(22))
+    assert [n for p in parts for n in p.column(1).to_pylist()] == [0, 0] + [6] * 20
+    h1 = pa.concat_arrays([p.column(2) for p in parts])
+    sets = list(near_dedup._sets(4)(iter([batch.set_column(2, "h1", h1)])))
+    assert len(sets) >= 3 and [i for p in sets for i in p.column(0).to_pylist()] == list(range(22))
+    assert [len(p) for p in pieces(iter([batch.slice(0, 0)]), 1)] == [0]
+
+
 def test_near_groups_of_odd_rows(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(odd, width=4).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (None, 1, None, True), (5, 1, 5, True), (6, 1, 5, False)} <= got
