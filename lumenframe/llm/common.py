@@ -53,16 +53,24 @@ def store(df: DataFrame, what: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one job, below one folder of the shared ones, which is given back as a whole."""
+    """Tables of one job, below one folder of the shared ones, which is given back as a whole. With ``free``
+    the shuffle files of a table go as soon as it is written, not when the driver collects its garbage."""
 
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root, self.n = spark, new_dir(spark, what), 0
+    FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, what: str, free: bool = False):
+        self.spark, self.root, self.n, self.free = spark, new_dir(spark, what), 0, free
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read back, with its lineage cut."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.FREE, "false")
+        self.spark.conf.set(self.FREE, str(self.free or before == "true").lower())
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.FREE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

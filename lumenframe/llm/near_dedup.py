@@ -26,7 +26,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,18 +119,27 @@ def _most_differ(percent: int) -> int:
     return int(np.ceil(HASHES * p + 5 * np.sqrt(HASHES * p * (1 - p))))
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree, with the region it stands in; regions of one are left out."""
+def _regions(classes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A row for each class and tree, with the region it stands in; regions of one are left out.
+
+    Only keys are counted in full: rows whose key is surely nobody else's are left out before anything is shuffled."""
     label = f"substring(trees, tree * {4 * DEPTH} + 1, {{}})"
-    keys = classes.select("node", "trees").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    keys = keys.select("node", "tree", F.xxhash64("tree", F.expr(label.format(16))).alias("r4"))
-    shared = keys.groupBy("r4").agg(F.count(F.lit(1)).alias("r4_n")).where("r4_n > 1")
-    rows = keys.join(shared, "r4").join(classes.select("node", "n", "class_size", "trees", *BITS), "node")
+    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("r4", F.xxhash64("tree", F.expr(label.format(16))))
+    shared = rows.groupBy("r4").agg(F.count(F.lit(1)).alias("r4_n"))
+    shared = keep(shared.where("r4_n > 1"))
+    rows = rows.select("node", "n", *BITS, F.expr(f"substring(trees, tree * {4 * DEPTH} + 17, {4 * DEPTH - 16})").alias("label"), "r4")
+    rows = sifted(rows, F.col("r4"), shared.select("r4")).where("_hit").drop("_hit").join(shared, "r4")
     deals = F.ceil(F.col("r4_n") / REGION).cast("int")
-    return rows.select(
-        "node", "n", F.col("class_size").alias("copies"), *BITS, F.expr(f"substring(trees, tree * {4 * DEPTH} + 17, {4 * DEPTH - 16})").alias("label"),
-        "r4", deals.alias("deals"), F.pmod(F.xxhash64("node", "r4"), deals).cast("int").alias("deal"),
-    )
+    return rows.select("node", "n", *BITS, "label", "r4", deals.alias("deals"), F.pmod(F.xxhash64("node", "r4"), deals).cast("int").alias("deal"))
+
+
+def _first_rows(sketches: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``sketches`` that ``classes`` are named after. Rows that no copy can be take no part in the join."""
+    valid = sketches.where("n > 0 and doc_id is not null")
+    copies = scratch.keep(valid.select("node").join(classes.select("node"), "node", "left_anti"))
+    rows = sifted(valid, F.xxhash64("node"), copies.select(F.xxhash64("node")))
+    asked = rows.where("_hit").join(classes.select("node"), "node", "left_semi").select(rows.columns)
+    return rows.where("not _hit").unionByName(asked).drop("_hit")
 
 
 def _state(links: DataFrame) -> DataFrame:
@@ -261,6 +270,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: st
     hubs = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("deals")).where("deals > 1")
     if hubs.isEmpty():
         return pairs.join(own, end)
+    hubs = F.broadcast(hubs)  # a row for SPLIT pairs at most; the sets move once
     pairs = pairs.join(hubs, end, "left").withColumn("deal", F.pmod(F.xxhash64(other), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
     own = own.join(hubs, end, "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
     return pairs.join(_every_deal(own), [end, "deal"]).drop("deal")
@@ -322,15 +332,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are linked when their shingle sets have a Jaccard similarity of at least ``percent``
     hundredths; ``component_id`` is the smallest id that links reach, ``kept`` whether it is the
     row's own; ``n_links`` counts the verified links of its class that joined components."""
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch, first = Scratch(docs.sparkSession, "near", free=True), Scratch(docs.sparkSession, "near-sketches", free=True)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = scratch.keep(plain.mapInArrow(_sketches(width), _SKETCH))
+    sketches = first.keep(plain.mapInArrow(_sketches(width), _SKETCH).withColumn("node", F.monotonically_increasing_id()))
     key = ["h1", "h2", "n"]
-    classes = base.where("n > 0 and doc_id is not null").groupBy(*key).agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"), F.first("trees").alias("trees"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(4)]
-    )
-    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
-    regions = scratch.keep(_regions(classes))
+    base = scratch.keep(sketches.select("doc_id", *key, "node"))
+    classes = base.where("n > 0 and doc_id is not null").groupBy(*key)
+    classes = scratch.keep(classes.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"), F.min("node").alias("node")))
+    regions = _regions(_first_rows(sketches, classes, first), first.keep)
+    regions = scratch.keep(regions.join(classes.select("node", F.col("class_size").alias("copies")), "node"))
+    first.clear()  # the values of all rows are the largest table, and regions hold what is left to compare
     # A repeated id may stand for several texts: only the one with the class's digest gives its set.
     asked = scratch.keep(regions.select("node").distinct().join(classes.select("node", "h1", F.col("first_id").alias("doc_id")), "node"))
     texts = sifted(plain, F.xxhash64("doc_id"), asked.select(F.xxhash64("doc_id"))).where("_hit").drop("_hit").join(asked, "doc_id").select("node", "text", "h1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -159,6 +160,35 @@ def test_sketches_and_sets_follow_no_batch():
     assert [len(p) for p in pieces(iter([batch.slice(0, 0)]), 1)] == [0]
 
 
+def test_values_of_all_rows_are_given_back(spark, prose, monkeypatch):
+    """No search starts while the values of all rows are stored, copies count once in a region, and a write's shuffle files go with it."""
+    base = prose(120)
+    rows = spark.createDataFrame([(k, " ".join(base[: 120 - k % 3])) for k in range(60)] + [(100 + k, " ".join(prose(90))) for k in range(20)], "doc_id long, text string").repartition(3)
+    keep, links, seen, trees = near_dedup.Scratch.keep, near_dedup._links, {}, []
+
+    def kept(self, df):
+        trees.extend([self.root] * ("trees" in df.columns))
+        return keep(self, df)
+
+    def begun(regions, *rest):
+        seen["regions"] = regions.groupBy("r4").agg(F.count("node").alias("k"), F.sum("copies").alias("rows")).collect()
+        seen["stored"] = [r for r in trees if os.path.exists(r.removeprefix("file://"))]
+        return links(regions, *rest)
+
+    monkeypatch.setattr(near_dedup.Scratch, "keep", kept)
+    monkeypatch.setattr(near_dedup, "_links", begun)
+    got = {r.doc_id: (r.component_id, r.class_size) for r in near_groups(rows, width=4).collect()}
+    assert len(trees) == 1 and not seen["stored"]
+    assert {(r.k, r.rows) for r in seen["regions"]} <= {(3, 60), (2, 40)} and seen["regions"]
+    assert got == {k: (0, 20) if k < 60 else (k, 1) for k in [*range(60), *range(100, 120)]}
+    scratch = near_dedup.Scratch(spark, "free", free=True)
+    made = []
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, k, v, f=type(spark.conf).set: (made.append((k, v)), f(self, k, v)))
+    keep(scratch, rows.groupBy("text").count())
+    assert [v for k, v in made if k == scratch.FREE] == ["true", "false"]
+    scratch.clear()
+
+
 def test_near_groups_of_odd_rows(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(odd, width=4).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (None, 1, None, True), (5, 1, 5, True), (6, 1, 5, False)} <= got
