@@ -39,8 +39,8 @@ EXACT, FORM, PREFIX, WORDS, SHARE, LIKE = 1.0, 0.96, 0.8, 0.78, 0.12, 0.95
 ALIAS_LESS, ID_LESS = 0.02, 0.01
 #: Below these the middle and the last stage are asked.
 MIDDLE_BELOW, LIKE_BELOW, LEAST = 0.95, 0.9, 0.78
-#: Keys that a beginning may name, and words of a mention.
-BEGUN, SPAN = 60, 5
+#: Fixed value: words of a mention.
+SPAN = 5
 #: Words that are no mention alone.
 STOP = (
     "a al algo ante con contra de del desde el ella en entre es esta este esto la las le les lo los me mi muy no nos o para pero por que se si sin sobre su sus te todo tu un una uno y ya "
@@ -106,9 +106,8 @@ class EntityIndex:
         names = rows.groupBy("key", "kind", "id").agg(F.min(F.struct("x", "en", "es", "place")).alias("m"))
         names = names.select("key", "m.x.lang", "m.x.name", "kind", "id", "m.en", "m.es", "m.place")
         keys = names.groupBy("key").agg(F.min(F.struct("place", "id", "name")).alias("m")).select("key", F.array_distinct(key_words(F.col("m.name"))).alias("words"))
-        # A beginning names the first keys in their order, so an index of more is not needed.
+        # A beginning names all its keys: as many rows as keys have letters.
         begun = keys.select("key", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("key"))), lambda n: F.substring("key", F.lit(1), n))).alias("prefix")).where("prefix <> key")
-        begun = begun.withColumn("nth", F.row_number().over(Window.partitionBy("prefix").orderBy("key"))).where(F.col("nth") <= BEGUN).drop("nth")
         by_word = keys.select("key", F.explode("words").alias("word"))
         by_gram = keys.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
         counts = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("df"))
@@ -156,6 +155,13 @@ def _like(asked: DataFrame, index: EntityIndex, least: float) -> DataFrame:
     return pairs.select("q", "key", (_ratio("q", "key") * LIKE).alias("score")).where(F.col("score") >= least)
 
 
+def _best(found: DataFrame, of: str, limit: int) -> DataFrame:
+    """The best ``limit`` entities of each ``of``, ranked, with one hit for each: the best, then that of the earlier stage."""
+    one = found.groupBy(of, "kind", "id").agg(F.min(F.struct((-F.col("score")).alias("less"), "stage", "key", "lang", "name", "en", "es", "place")).alias("m"))
+    one = one.select(of, "kind", "id", "m.*").withColumn("score", -F.col("less"))
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(of).orderBy("less", "place", "en", "id"))).where(F.col("rank") <= limit)
+
+
 def lookup(queries: DataFrame, index: EntityIndex, forms: DataFrame | None = None, kinds: list[str] | None = None, limit: int = 5, least: float = LEAST) -> DataFrame:
     """``queries`` (``query``) -> ``query, rank, kind, id, en, es, score, how, matched, matched_lang``: the best
     ``limit`` entities of each distinct query. ``forms`` (``query, form``) are other spellings to try."""
@@ -174,9 +180,12 @@ def lookup(queries: DataFrame, index: EntityIndex, forms: DataFrame | None = Non
     left = asked.join(best, "query", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
     middle = left.where(F.col("best") < MIDDLE_BELOW)
-    begun = middle.where(F.length("q") >= 3).join(index.begun, F.col("q") == F.col("prefix"))
-    begun = hit(begun.withColumn("score", PREFIX + SHARE * F.length("q") / F.length("key")), 2)
-    several = middle.select("query", F.filter(key_words(F.col("query")), lambda w: F.length(w) >= 3).alias("asked")).where(F.size("asked").between(2, 6))
+    # Spellings of one beginning share its keys, so no more rows are joined than the index has. An entity that ``limit`` others
+    # of this stage precede can rank only by a better hit of another stage, so the best of each beginning are enough.
+    begun = middle.where(F.length("q") >= 3).select("q").distinct().join(index.begun, F.col("q") == F.col("prefix")).drop("prefix").join(names, "key")
+    begun = begun.withColumn("score", F.round(PREFIX + SHARE * F.length("q") / F.length("key"), 4)).withColumn("stage", F.lit(2))
+    begun = middle.select("query", "q").join(_best(begun, "q", limit), "q").select(*entity, "score")
+    several = middle.select("query", F.filter(key_words(F.col("query")), lambda w: F.length(w) >= 3).alias("asked")).where(F.size("asked") >= 2)
     rarest = several.select("query", "asked", F.explode(F.array_distinct("asked")).alias("word")).join(index.word_counts, "word")
     rarest = rarest.groupBy("query", "asked").agg(F.min(F.struct("df", "word")).alias("m")).select("query", "asked", F.col("m.word").alias("word"))
     worded = rarest.join(index.by_word, "word").join(index.keys, "key").where(F.size(F.array_except("asked", "words")) == 0)
@@ -184,14 +193,10 @@ def lookup(queries: DataFrame, index: EntityIndex, forms: DataFrame | None = Non
     last = left.where(F.col("best") < LIKE_BELOW)
     alike = hit(last.join(_like(last, index, least), "q"), 4)
 
-    later = begun.unionByName(worded).unionByName(alike).join(names, "key").select(*entity, F.round("score", 4).alias("score"))
-    found = first.unionByName(later).where(F.col("score") >= least)
-    # One hit for each entity: the best, then that of the earlier stage.
-    one = found.groupBy("query", "kind", "id").agg(F.min(F.struct((-F.col("score")).alias("less"), "stage", "key", "lang", "name", "en", "es", "place")).alias("m"))
-    one = one.select("query", "kind", "id", "m.*").withColumn("score", -F.col("less"))
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("less", "place", "en", "id")))
+    later = worded.unionByName(alike).join(names, "key").select(*entity, F.round("score", 4).alias("score"))
+    found = first.unionByName(begun).unionByName(later).where(F.col("score") >= least)
     how = F.element_at(F.array(*map(F.lit, STAGES)), F.col("stage") + 1)
-    return ranked.where(F.col("rank") <= limit).select("query", "rank", "kind", "id", "en", "es", "score", how.alias("how"), F.col("name").alias("matched"), F.col("lang").alias("matched_lang"))
+    return _best(found, "query", limit).select("query", "rank", "kind", "id", "en", "es", "score", how.alias("how"), F.col("name").alias("matched"), F.col("lang").alias("matched_lang"))
 
 
 def translate(queries: DataFrame, index: EntityIndex, to: str = "", forms: DataFrame | None = None) -> DataFrame:

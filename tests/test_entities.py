@@ -189,3 +189,19 @@ def test_queries_are_made_once(spark):
     found = en.lookup(spark.range(2).selectExpr("if(id = 0, 'red house', 'casa rojas') AS query"), index)
     assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.query, r.how) for r in found.collect()) == [("casa rojas", "fuzzy"), ("red house", "exact")]
+
+
+def test_a_beginning_names_all_its_keys(spark):
+    """The shortest keys, which score best, stand behind many others; spellings of one beginning and long queries lose nothing."""
+    rows = [("thing", f"x{i}", f"Abcde {i:03d} filler", f"Otra {i:03d}", []) for i in range(90)] + [("place", "z", "Abcdez", "Zeta Corta", []), ("title", "y", "Abcdey", "Corta", ["abcdew"])]
+    rows.append(("title", "long", "one two three four five six seven eight", "", []))
+    plain = Plain(rows, named.KINDS)
+    index = en.EntityIndex.build(spark.createDataFrame(rows, "kind string, id string, en string, es string, aliases array<string>"), named.KINDS)
+    got = _lookup(spark, index, ["abcde", "ABC-de", "abcde 0", "eight seven six five four three two one"])
+    by = {}
+    for r in got:
+        by.setdefault(r[0], []).append((r[3], r[6], r[7], r[8]))
+    short = round(0.8 + 0.12 * 5 / 6, 4)
+    assert by["abcde"][:2] == by["ABC-de"][:2] == [("y", short, "prefix", "abcdew"), ("z", short, "prefix", "Abcdez")] and by["abcde"] == by["ABC-de"] and len(by["abcde"]) == 5
+    assert by["abcde 0"] == [(r[3], r[4], r[5], r[6]) for r in plain.lookup("abcde 0")]
+    assert by["eight seven six five four three two one"] == [("long", 0.9, "tokens", rows[-1][2])]
