@@ -205,3 +205,13 @@ def test_a_beginning_names_all_its_keys(spark):
     assert by["abcde"][:2] == by["ABC-de"][:2] == [("y", short, "prefix", "abcdew"), ("z", short, "prefix", "Abcdez")] and by["abcde"] == by["ABC-de"] and len(by["abcde"]) == 5
     assert by["abcde 0"] == [(r[3], r[4], r[5], r[6]) for r in plain.lookup("abcde 0")]
     assert by["eight seven six five four three two one"] == [("long", 0.9, "tokens", rows[-1][2])]
+
+
+def test_translation_takes_the_best_of_all_keys_of_a_beginning(spark):
+    """Seventy longer names stand before the best two; both decide the text and whether it is ambiguous."""
+    rows = [("thing", f"x{i}", f"Casab {i:03d} del norte", None, []) for i in range(70)] + [("place", "best", "Casabz", "White House", []), ("title", "next", "Casabyy", "Other House", [])]
+    schema = "kind string, id string, en string, es string, aliases array<string>"
+    asked = spark.createDataFrame([("casab",)], "query string")
+    told = lambda rows: [tuple(r) for r in en.translate(asked, en.EntityIndex.build(spark.createDataFrame(rows, schema), named.KINDS)).collect()]
+    assert told(rows) == [("casab", "es", "White House", True)]
+    assert told(rows[:-1]) == [("casab", "es", "White House", False)]
