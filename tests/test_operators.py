@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -109,6 +110,69 @@ def test_blocks_of_alike_hashes_are_counted_and_joined_without_pairs(spark, monk
     assert {r.component: r.max_distance for r in dedupe.widest(members, "component").collect()} == {c: max((bits[i] ^ bits[j]).bit_count() for i in want for j in want if want[i] == want[j] == c) for c in want.values()}
 
 
+def _chained(bits, most):
+    """The smallest place that chains of near ones join each place to, of those that have any near one."""
+    found, want = {i: [j for j, y in enumerate(bits) if i != j and (x ^ y).bit_count() <= most] for i, x in enumerate(bits)}, {}
+    for i in found:
+        todo = [i] if i not in want and found[i] else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = i
+                todo += found[x]
+    return want
+
+
+@pytest.mark.parametrize("most", [0, 3, 6, 9])
+def test_groups_around_a_core_and_the_rest_are_joined_exactly(spark, monkeypatch, most):
+    """Two crowds, a chain that joins one to a third, hashes near a crowd's rim and lone ones, with 64 bits."""
+    monkeypatch.setattr(dedupe, "BLOCK", 90)
+    monkeypatch.setattr(dedupe, "FEW", 5)
+    rnd = random.Random(most)
+    flip = lambda b, n: b ^ sum(1 << p for p in rnd.sample(range(64), n))
+    centres = [rnd.getrandbits(64) for _ in range(3)]
+    bits = [flip(c, rnd.randint(0, most)) for c, n in zip(centres, (200, 120, 60)) for _ in range(n)] + [flip(c, most + 2) for c in centres for _ in range(20)] + [rnd.getrandbits(64) for _ in range(30)]
+    apart = [p for p in range(64) if (centres[0] ^ centres[1]) >> p & 1]
+    bits += [centres[0] ^ sum(1 << p for p in apart[:n]) for n in range(0, len(apart), max(1, most))]
+    bits = [b - (1 << 64) if b >> 63 else b for b in dict.fromkeys(bits)]
+    rnd.shuffle(bits)
+    rows = spark.createDataFrame([*enumerate(bits), (None, bits[0] ^ 1)], "id long, bits long").repartition(3)
+    want = _chained([b % (1 << 64) for b in bits], most)
+    joined = [(r.node, r.component) for r in dedupe.near_components(rows, most).collect()]
+    assert dict(joined) == want and len(joined) == len(want)
+    forest = dedupe.near_forest(rows, most)
+    assert {r.node: r.component for r in dedupe.components(forest, "id_a", "id_b").collect()} == want
+    members = spark.createDataFrame([(c, bits[i]) for i, c in want.items()], "component long, bits long")
+    groups = {}
+    for i, c in want.items():
+        groups.setdefault(c, []).append(bits[i] % (1 << 64))
+    assert {r.component: r.max_distance for r in dedupe.widest(members, "component").collect()} == {c: max((x ^ y).bit_count() for x in g for y in g) for c, g in groups.items()}
+
+
+def test_crowds_are_joined_without_comparing_their_members(spark):
+    """A crowd around one hash meets no bucket of its own; the links that leave cells do not grow with it."""
+    rnd = random.Random(8)
+    crowd = list({sum(1 << p for p in rnd.sample(range(60), rnd.randint(0, 3))) for _ in range(3000)})
+    far = [(1 << 60) - 1, (1 << 60) - 2, (1 << 30) - 1]
+    rows = spark.createDataFrame(list(enumerate(crowd + far)), "id long, bits long")
+    labelled = dedupe._labelled(rows, 6).cache()
+    assert labelled.where("core = 0").count() == len(crowd) and dedupe._buckets(labelled.where("core = 0"), 6).isEmpty()
+    assert [(r.id_a, r.id_b) for r in dedupe._label_links(labelled, 6).distinct().collect()] == [(len(crowd), len(crowd) + 1)]
+
+
+def test_simhash_sums_words_where_they_are(spark):
+    """Texts of up to a thousand words, ties, repeated and null ids, rows without words; the plan has no shuffle."""
+    rnd = random.Random(5)
+    words = [[f"w{rnd.randint(0, 40)}é" for _ in range(n)] for n in (1, 2, 254, 255, 256, 510, 511, 1000)] + [["a"] * 600, [], None, ["b", "b", "c", "d"]]
+    docs = spark.createDataFrame([(i if i != 3 else None, w) for i, w in enumerate(words)] + [(0, ["z"])], "doc long, words array<string>")
+    for bits in (60, 32):
+        digests = lambda w: [int(hashlib.md5(x.encode()).hexdigest()[: bits // 4], 16) for x in w]
+        voted = lambda w: sum(1 << k for k in range(bits) if sum((d >> k & 1) * 2 - 1 for d in digests(w)) > 0)
+        found = dedupe.simhash(docs, "doc", F.col("words"), bits)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(str((r.doc, voted(r.words))) for r in docs.collect() if r.words)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in dedupe.components(pairs, "a", "b").collect()}
